@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from presswell.llm import mixing, oracles, quality_rules, sharding, simhash, substring
+from presswell.llm import mixing, oracles, quality_rules, rulefit, sharding, simhash, substring, toxicity
 from presswell.llm.common import table
 
 
@@ -29,16 +29,26 @@ def op5_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op7_quality_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rulefit.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_simhash_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op4_source_mixing": op4_source_mixing,
     "op5_extendible_sharding": op5_extendible_sharding,
+    "op7_quality_rule_ensemble": op7_quality_rule_ensemble,
     "op8_simhash_anchor": op8_simhash_anchor,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
