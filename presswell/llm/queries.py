@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from presswell.llm import mixing, oracles, quality_rules, rulefit, sharding, simhash, substring, toxicity
+from presswell.llm import bpe, mixing, oracles, quality_rules, rulefit, sharding, simhash, substring, toxicity
 from presswell.llm.common import table
 
 
@@ -29,6 +30,11 @@ def op5_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return found.drop("ids")
+
+
 def op7_quality_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rulefit.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_source_mixing": op4_source_mixing,
     "op5_extendible_sharding": op5_extendible_sharding,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_quality_rule_ensemble": op7_quality_rule_ensemble,
     "op8_simhash_anchor": op8_simhash_anchor,
     "op10_toxicity": op10_toxicity,
