@@ -2,23 +2,49 @@
 
 Each stage is a function of (spark, docs, sf_dir); ``run`` writes what a stage
 returns as Parquet into the shared folder and reads it as the next one's docs.
+All stages but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from presswell.llm import simhash
+from presswell.llm import bpe, mixing, rulefit, simhash, substring
 from presswell.llm.common import materialize, table
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble scores under one half go."""
+    return rulefit.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of SimHash near-duplicates stays."""
     return simhash.keep_one(docs)
 
 
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has are cut out of the later ones."""
+    return substring.cut_passages(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows are taken as often as the source weights ask, in queue order."""
+    return mixing.mixed_documents(docs)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row of the mix, and the digest of what they decode to."""
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 STAGES = [
+    ("quality_classifier", quality_classifier),
     ("simhash_near_dedup", simhash_near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("source_mixing", source_mixing),
+    ("byte_bpe", byte_bpe),
 ]
 
 #: Trained models and byte-level BPE are beyond SQL; the tests compare brute force.

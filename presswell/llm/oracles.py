@@ -76,3 +76,25 @@ SELECT doc_id, bytes, depth, prefix, shard_bytes, shard_rows
 FROM h JOIN b ON hash >> (60 - depth) = prefix
 WHERE (shard_bytes <= 1048576 OR shard_rows = 1 OR depth = 60)
 """
+
+OP9 = r"""
+WITH changes(entry, day, act) AS (VALUES
+  ('casino-win.example.com', DATE '2024-01-05', 1), ('free-bets.example.com', DATE '2024-02-01', 1),
+  ('free-bets.example.com', DATE '2024-06-15', 0), ('free-bets.example.com', DATE '2024-09-01', 1),
+  ('ads-track.example.com', DATE '2024-03-10', 1), ('ads-track.example.com', DATE '2024-11-20', 0),
+  ('spam-farm.example.com', DATE '2023-12-01', 1), ('cheap-pills.example.com', DATE '2024-04-22', 1),
+  ('adult-x.example.net', DATE '2024-01-01', 1), ('tionsh.example.com/fr', DATE '2024-05-01', 1),
+  ('blog.tionsh.example.com/fr', DATE '2024-05-01', 1), ('blog.tionsh.example.com/fr', DATE '2024-08-01', 0),
+  ('tionble.example.org/de', DATE '2024-07-01', 1)),
+p AS (SELECT page_id, url, TIMESTAMP '2024-01-01' + to_days((page_id * 37 % 366)::INT) + to_hours(page_id % 24) AS fetched_at,
+             lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host, lower(regexp_extract(url, '^[a-z]+://([^?#]*)', 1)) AS rest FROM pages),
+active AS (SELECT p.page_id, p.url, p.fetched_at, c.entry, c.day, c.act,
+                row_number() OVER (PARTITION BY p.page_id, p.url, c.entry ORDER BY c.day DESC) AS latest
+         FROM p JOIN changes AS c ON c.day <= p.fetched_at::DATE
+          AND CASE WHEN c.entry LIKE '%/%' THEN (rtrim(p.rest, '/') || '/') LIKE (c.entry || '/%')
+                   ELSE p.host = c.entry OR ends_with(p.host, '.' || c.entry) END),
+hit AS (SELECT page_id, url, entry, day, row_number() OVER (PARTITION BY page_id, url ORDER BY length(entry) DESC, entry) AS k
+        FROM active WHERE latest = 1 AND act = 1)
+SELECT p.page_id, p.url, p.fetched_at, p.host, hit.entry IS NOT NULL AS blocked, hit.entry, hit.day AS listed_on
+FROM p LEFT JOIN hit ON p.page_id = hit.page_id AND p.url = hit.url AND k = 1
+"""

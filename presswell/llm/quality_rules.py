@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from presswell.llm.common import SPACE_CHARS, materialize
+from presswell.llm.common import SPACE_CHARS, let, materialize
 
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -22,11 +22,6 @@ GRID = (20, 35, 50, 75, 100, 150, 200, 300, 400, 500, 600, 700, 800, 900)
 RULES = ("symbols", "dup_lines", "repeats", "capitals")
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _grams(hashes: Column, size: int) -> Column:
     many = F.transform(F.sequence(F.lit(0), F.size(hashes) - size), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(size)]))
     return F.when(F.size(hashes) >= size, many).otherwise(F.array().cast("array<bigint>"))

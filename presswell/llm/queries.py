@@ -6,12 +6,29 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from presswell.llm import bpe, mixing, oracles, quality_rules, rulefit, sharding, simhash, substring, toxicity
+from presswell.llm import bpe, merkle, mixing, oracles, quality_rules, rulefit, sharding, simhash, substring, toxicity, urllist
 from presswell.llm.common import table
 
 
 SHARD_BYTES = 1 << 20
+#: The dated block list of the URL query: entry, day, action.
+URL_CHANGES = (
+    ("casino-win.example.com", "2024-01-05", "add"),
+    ("free-bets.example.com", "2024-02-01", "add"),
+    ("free-bets.example.com", "2024-06-15", "remove"),
+    ("free-bets.example.com", "2024-09-01", "add"),
+    ("ads-track.example.com", "2024-03-10", "add"),
+    ("ads-track.example.com", "2024-11-20", "remove"),
+    ("spam-farm.example.com", "2023-12-01", "add"),
+    ("cheap-pills.example.com", "2024-04-22", "add"),
+    ("adult-x.example.net", "2024-01-01", "add"),
+    ("tionsh.example.com/fr", "2024-05-01", "add"),
+    ("blog.tionsh.example.com/fr", "2024-05-01", "add"),
+    ("blog.tionsh.example.com/fr", "2024-08-01", "remove"),
+    ("tionble.example.org/de", "2024-07-01", "add"),
+)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +39,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compared(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -43,6 +64,13 @@ def op8_simhash_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages have no fetch time; page_id spreads them over the days of 2024."""
+    fetched = F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(CAST(page_id * 37 % 366 AS INT), CAST(page_id % 24 AS INT))")
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", fetched.alias("fetched_at"))
+    return urllist.judged(captures, spark.createDataFrame(URL_CHANGES, "entry string, day string, action string"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,11 +78,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op3_merkle_fingerprint": op3_merkle_fingerprint,
     "op4_source_mixing": op4_source_mixing,
     "op5_extendible_sharding": op5_extendible_sharding,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_quality_rule_ensemble": op7_quality_rule_ensemble,
     "op8_simhash_anchor": op8_simhash_anchor,
+    "op9_url_list": op9_url_list,
     "op10_toxicity": op10_toxicity,
 }
 
@@ -62,4 +92,5 @@ ORACLES: dict[str, str] = {
     "op2_quality_rules": oracles.OP2,
     "op4_source_mixing": oracles.OP4,
     "op5_extendible_sharding": oracles.OP5,
+    "op9_url_list": oracles.OP9,
 }
