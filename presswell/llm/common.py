@@ -58,6 +58,13 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores in front as no column of ``df`` has."""
+    while name in df.columns:
+        name = "_" + name
+    return name
+
+
 def n_words(text: Column) -> Column:
     """Number of maximal runs of non-space characters; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

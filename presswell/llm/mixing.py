@@ -15,7 +15,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from presswell.llm.common import materialize, n_words
+from presswell.llm.common import materialize, n_words, spare
 
 #: Documents that one running sum may hold, on average.
 RUN_ROWS = 20_000
@@ -107,38 +107,29 @@ def mixed_documents(docs: DataFrame, repeat: int = 3, **options) -> DataFrame:
     over all sources.
     """
     columns = docs.columns
-    q = queue(docs, repeat, **options)
-    passes = F.explode(F.sequence(F.lit(0), F.lit(repeat - 1)))
+    ids = {n: spare(docs, n) for n in ("_id", "_source", "_size", "_n", "_entries", "_row", "_e", "_finish")}
+    i_, s_, z_ = ids["_id"], ids["_source"], ids["_size"]
+    key = [i_, s_, z_]
+    q = queue(docs, repeat, **options).where("size > 0 AND target > 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(repeat - 1))))
     served = F.least(F.col("size"), F.floor("target") - F.col("k") * F.col("source_size") - F.col("before"))
-    taken = (
-        q.where("size > 0 AND target > 0").withColumn("k", passes).withColumn("_taken", served).where("_taken > 0")
-        .select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_taken",
-                ((F.col("k") * F.col("source_size") + F.col("before") + F.col("_taken")) / F.col("target")).alias("_finish"))
-    )
-    # Rows that agree in id, source and size are told apart by their number.
-    spread = Window.partitionBy("_id", "_source", "_size")
-    entries = taken.groupBy("_id", "_source", "_size").agg(
-        F.sort_array(F.collect_list(F.struct("_finish", "_taken"))).alias("_entries"))
-    named = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_source": F.col("source").cast("string"), "_size": n_words(F.col("text"))})
-    first = named.groupBy("_id", "_source", "_size").agg(F.count(F.lit(1)).alias("_n"))
-    entries = entries.alias("e").join(first.alias("f"), _match("e", "f")).select("e.*", "_n")
-    joined = named.alias("d").join(entries.alias("e"), _match("d", "e")).select("d.*", "_n", "_entries")
-    single = joined.where("_n = 1").withColumn("_row", F.lit(0))
-    many = joined.where("_n > 1").withColumn("_row", F.row_number().over(spread.orderBy(F.md5("text"))) - 1)
-    # Entry j of n equal rows belongs to row j modulo n.
-    own = F.filter("_entries", lambda x, j: j % F.col("_n") == F.col("_row"))
-    out = single.unionByName(many).withColumn("_e", F.explode(own))
-    words = F.col("_e._taken")
-    whole = F.col("_e._taken") >= F.col("_size")
-    head = F.concat_ws(" ", F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), words.cast("int")))
-    out = out.withColumn("text", F.when(whole, F.col("text")).otherwise(head))
+    finish = (F.col("k") * F.col("source_size") + F.col("before") + F.col("taken")) / F.col("target")
+    entries = q.withColumn("taken", served).where("taken > 0").groupBy(F.col("doc_id").alias(i_), F.col("source").alias(s_), F.col("size").alias(z_)).agg(
+        F.sort_array(F.collect_list(F.struct(finish.alias("finish"), "taken"))).alias(ids["_entries"]))
+    # Rows that agree in id, source and size share their entries by number.
+    named = docs.withColumns({i_: F.col("doc_id").cast("long"), s_: F.col("source").cast("string"), z_: n_words(F.col("text"))})
+    many = named.groupBy(*key).agg(F.count(F.lit(1)).alias(ids["_n"]))
+    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in key]
+    entries = entries.alias("e").join(many.alias("m"), same("e", "m")).select("e.*", F.col(f"m.{ids['_n']}"))
+    joined = named.alias("d").join(entries.alias("e"), same("d", "e")).select("d.*", *[F.col(f"e.{ids[c]}") for c in ("_entries", "_n")])
+    single = joined.where(F.col(ids["_n"]) == 1).withColumn(ids["_row"], F.lit(0))
+    numbered = F.row_number().over(Window.partitionBy(*key).orderBy(F.md5("text"))) - 1
+    several = joined.where(F.col(ids["_n"]) > 1).withColumn(ids["_row"], numbered)
+    own = F.filter(ids["_entries"], lambda x, j: j % F.col(ids["_n"]) == F.col(ids["_row"]))
+    out = single.unionByName(several).withColumn(ids["_e"], F.explode(own))
+    taken = F.col(f"{ids['_e']}.taken")
+    whole = taken >= F.col(z_)
+    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), taken.cast("int")), " ")
+    changed = {ids["_finish"]: F.col(f"{ids['_e']}.finish"), "text": F.when(whole, F.col("text")).otherwise(head)}
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*columns, F.col("_e._finish").alias("_finish")).orderBy("_finish", "doc_id").select(*columns)
-
-
-def _match(a: str, b: str):
-    return (
-        F.col(f"{a}._id").eqNullSafe(F.col(f"{b}._id")) & F.col(f"{a}._source").eqNullSafe(F.col(f"{b}._source"))
-        & (F.col(f"{a}._size") == F.col(f"{b}._size"))
-    )
+        changed["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length(head).cast(docs.schema["n_chars"].dataType))
+    return out.withColumns(changed).orderBy(ids["_finish"], "doc_id").select(*columns)

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from presswell.llm.common import spare
+
 STATISTICS = (
     "words", "mean_word", "longest_word", "capitals", "digits", "symbols", "sentence_ends", "commas", "exclaims", "bars",
     "line_words", "dup_lines", "distinct_words", "dup_trigrams", "marked_words",
@@ -177,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, sample_rows: int
         .groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("_label"))
         .orderBy(F.md5(F.col("_id").cast("string")), "_id").limit(sample_rows)
     )
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("_id")).select("_id", "_label", text_statistics("text").alias("s"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("_id")).select("_id", "_label", text_statistics("text").alias("s"))
     got = rows.select("_id", "_label", "s.*").toPandas().sort_values(["_id", *STATISTICS])
     if not len(got):
         return Model(0.0, [])
@@ -189,13 +191,14 @@ def fold(doc_id: str, parts: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % parts
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column ``score``: the probability of label 1.
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name``: the probability of label 1.
 
     Null and empty texts have all statistics zero and are scored like any
     other; all columns and rows stay.
     """
-    return docs.withColumn("_stats", text_statistics("text")).withColumn("score", model.score("_stats")).drop("_stats")
+    stats = spare(docs, "_stats")
+    return docs.withColumn(stats, text_statistics("text")).withColumn(name, model.score(stats)).drop(stats)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -214,4 +217,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject."""
     model = fit(docs, labels, fold("doc_id", 3) != 1)
-    return scored(docs, model).where("score >= 0.5").select(*docs.columns)
+    score = spare(docs, "_score")
+    return scored(docs, model, score).where(F.col(score) >= 0.5).drop(score)

@@ -176,15 +176,13 @@ def near_duplicates(docs: DataFrame, threshold: int = 3, size: int = 3, seed: in
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the smallest doc_id.
 
-    Of rows that repeat a doc_id within one component one stays.  Rows without
-    a doc_id stay only where nothing they are linked with has one.
+    Of rows that repeat a doc_id one stays.  Rows without a doc_id have no
+    place in that order and stay.
     """
     found = near_duplicates(docs, **options)
     verdicts = materialize(
-        found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept"
+        found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept"
     )
-    same = F.col("k.doc_id").eqNullSafe(docs["doc_id"])
-    columns = [docs[c] for c in docs.columns]
-    single = docs.join(verdicts.where("n = 1").alias("k"), same, "left_semi").select(*columns)
-    again = docs.join(verdicts.where("n > 1").alias("k"), same, "left_semi").dropDuplicates(["doc_id"])
-    return single.union(again.select(*single.columns))
+    single = docs.join(verdicts.where("n = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    again = docs.join(verdicts.where("n > 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return single.union(again).union(docs.where("doc_id IS NULL"))

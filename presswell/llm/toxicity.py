@@ -23,9 +23,13 @@ HIDDEN, RANDOM = 8, 4
 WORD_SLOTS, GRAM_BITS = 1 << 17, 18
 INPUTS = 4 + RANDOM
 #: Labelled documents that are learned from, at most; chosen by hash of doc_id.
-SAMPLE_ROWS = 12_000
-#: Share of them that the log-odds are counted from; the network sees the rest.
-COUNTED = 0.6
+SAMPLE_ROWS = 8_000
+#: Documents that the prior of a key's shares counts as.
+PRIOR = 4.0
+#: Training documents whose highest window calibrates the scores, at most.
+CALIBRATED = 1_500
+#: Steps of training, at least.
+LEAST_STEPS = 200
 _EDGE = b".,;:!?\"'()[]{}<>|#*$%&-_"
 #: Words, and different words, that are scored as one block.
 BLOCK_WORDS, REMEMBERED = 2_000_000, 200_000
@@ -58,36 +62,42 @@ class Inputs:
     """Input vectors of words from the counts of labelled documents."""
 
     def __init__(self, texts: list[str | None], toxic: np.ndarray, seed: int = 0) -> None:
-        words, grams = np.zeros((2, WORD_SLOTS)), np.zeros((2, 1 << GRAM_BITS))
+        self.words, self.grams = np.zeros((2, WORD_SLOTS), np.float32), np.zeros((2, 1 << GRAM_BITS), np.float32)
         for text, label in zip(texts, toxic.astype(int)):
             if distinct := list({w.strip(_EDGE) for w in set(_words(text))}):
-                words[label, np.unique(_word_slots(distinct))] += 1
-                grams[label, np.unique(_gram_slots(distinct)[0])] += 1
-        self.word_odds, self.gram_odds = _log_odds(words, toxic), _log_odds(grams, toxic)
+                self.words[label, np.unique(_word_slots(distinct))] += 1
+                self.grams[label, np.unique(_gram_slots(distinct)[0])] += 1
+        self.total = np.array([(toxic == 0).sum(), (toxic == 1).sum()], np.float32)
         self.random = np.random.default_rng(seed).normal(0, 0.3, (1024, RANDOM)).astype(np.float32)
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        """(n, INPUTS) for n words: word inputs, then character inputs."""
+    def _odds(self, counts: np.ndarray, slots: np.ndarray, own: int | None) -> np.ndarray:
+        """Half the log ratio of a key's document shares, shrunk by a prior."""
+        found, total = counts[:, slots], self.total.copy()
+        if own is not None:
+            found[own] -= 1
+            total[own] -= 1
+        prior = np.maximum(total / max(1.0, total.sum()), 1e-3)[:, None]
+        ratio = (np.maximum(found, 0) + PRIOR * prior) / prior
+        return np.clip(np.log(ratio[1] / ratio[0]) / 2, -3, 3)
+
+    def of(self, words: list[bytes], own: int | None = None) -> np.ndarray:
+        """(n, INPUTS) for n words: word inputs, then character inputs.
+
+        ``own`` is the label of the counted text that the words are from; it is
+        left out of the counts, so that a text meets its words as new ones.
+        """
         if not words:
             return np.zeros((0, INPUTS), np.float32)
         words = [w.strip(_EDGE) for w in words]
         slot, (grams, starts) = _word_slots(words), _gram_slots(words)
         many = np.diff(np.append(starts, len(grams)))[:, None]
-        odds = self.gram_odds[grams]
+        odds = self._odds(self.grams, grams, own)
         return np.concatenate([
-            self.word_odds[slot][:, None], np.maximum.reduceat(odds, starts)[:, None], np.add.reduceat(odds, starts)[:, None] / many,
+            self._odds(self.words, slot, own)[:, None], np.maximum.reduceat(odds, starts)[:, None], np.add.reduceat(odds, starts)[:, None] / many,
             np.ones((len(words), 1)), self.random[slot % np.uint64(1024)],
         ], 1).astype(np.float32)
 
 
-def _log_odds(counts: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Shrunken log ratio of the document shares that have a key."""
-    total = np.array([(toxic == 0).sum(), (toxic == 1).sum()], float)
-    base = counts.sum(0) / max(1.0, total.sum())
-    clean, bad = (counts + 4 * base[None, :] + 1e-3) / (total[:, None] + 4)
-    return np.clip(np.log(bad / clean) * (counts.sum(0) > 1), -3, 3).astype(np.float32)
-
-
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -167,7 +177,7 @@ class Network:
         """Adam over shuffled batches; x (N, T, INPUTS), mask (N, T)."""
         rng, step = np.random.default_rng(seed), 0
         m, v = ({k: np.zeros_like(w) for k, w in self.p.items()} for _ in range(2))
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-LEAST_STEPS * batch // len(y)))):
             order = rng.permutation(len(y))
             for k in range(0, len(order), batch):
                 own, step = order[k : k + batch], step + 1
@@ -191,44 +201,38 @@ class Scorer:
     def __init__(self, inputs: Inputs, network: Network, scale: float = 1.0, shift: float = 0.0) -> None:
         self.inputs, self.network, self.scale, self.shift = inputs, network, scale, shift
 
-    def logits(self, texts: list[str | None], block: int = 1024) -> np.ndarray:
+    def highest(self, ids: list[np.ndarray], vectors: np.ndarray, many: int, block: int = 1024) -> np.ndarray:
+        """Highest window logit of each text; ``ids`` are rows of ``vectors``."""
+        p, tops = self.network.p, np.full(many, -np.inf, np.float32)
+        # The last row is padding.
+        table = np.concatenate([vectors, np.zeros((1, INPUTS), np.float32)]) @ np.concatenate([p["xf"], p["xb"]], 1)
+        flat = np.concatenate([*ids, [len(vectors)]]).astype(np.int32)
+        sizes = np.array([len(x) for x in ids])
+        first, windows = np.cumsum(sizes) - sizes, np.array([_windows(n) for n in sizes.tolist()])
+        owner = np.repeat(np.arange(many), windows)
+        start = first[owner] + STRIDE * (np.arange(windows.sum()) - (np.cumsum(windows) - windows)[owner])
+        end = (first + sizes)[owner]
+        for k in range(0, len(owner), block):
+            place = start[None, k : k + block] + np.arange(WINDOW)[:, None]
+            mask = place < end[None, k : k + block]
+            x = table[flat[np.where(mask, place, len(flat) - 1)]]
+            logit, _ = self.network.forward(x[..., : 3 * HIDDEN], x[..., 3 * HIDDEN :], mask)
+            np.maximum.at(tops, owner[k : k + block], logit)
+        return tops
+
+    def logits(self, texts: list[str | None]) -> np.ndarray:
         """Highest window logit of each whole text."""
-        at = 0
-        p = self.network.p
-        weights = np.concatenate([p["xf"], p["xb"]], 1)
-        known = _Numbers()
-        tops = np.full(len(texts), -np.inf, np.float32)
-        ids: list[np.ndarray] = []
-        spans: list[tuple[int, int, int]] = []
-
-        def flush() -> None:
-            if not spans:
-                return
-            # The last row is padding.
-            table = np.concatenate([self.inputs.of(list(known)), np.zeros((1, INPUTS), np.float32)]) @ weights
-            flat = np.concatenate([*ids, np.array([len(known)], np.int32)])
-            many = np.array([_windows(n) for _, _, n in spans])
-            owner = np.repeat([i for i, _, _ in spans], many)
-            nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            start = np.repeat([first for _, first, _ in spans], many) + STRIDE * nth
-            end = np.repeat([first + n for _, first, n in spans], many)
-            for k in range(0, len(owner), block):
-                place = start[None, k : k + block] + np.arange(WINDOW)[:, None]
-                mask = place < end[None, k : k + block]
-                x = table[flat[np.where(mask, place, len(flat) - 1)]]
-                logit, _ = self.network.forward(x[..., : 3 * HIDDEN], x[..., 3 * HIDDEN :], mask)
-                np.maximum.at(tops, owner[k : k + block], logit)
-
-        for i, text in enumerate(texts):
+        out, known, ids, at = [], _Numbers(), [], 0
+        for text in texts:
             words = _words(text)
             ids.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
-            spans.append((i, at, len(words)))
             at += len(words)
             if at > BLOCK_WORDS or len(known) > REMEMBERED:
-                flush()
-                known, ids, spans, at = _Numbers(), [], [], 0
-        flush()
-        return tops
+                out.append(self.highest(ids, self.inputs.of(list(known)), len(ids)))
+                known, ids, at = _Numbers(), [], 0
+        if ids:
+            out.append(self.highest(ids, self.inputs.of(list(known)), len(ids)))
+        return np.concatenate(out) if out else np.zeros(0, np.float32)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         return _sigmoid(self.scale * self.logits(texts).astype(float) + self.shift)
@@ -242,33 +246,31 @@ def _windows(n: int) -> int:
 def learn(texts: list[str | None], toxic: np.ndarray, seed: int = 0) -> Scorer:
     """Train on whole labelled texts.
 
-    The log-odds come from one part of the texts and the network learns and is
-    calibrated on the other, so that it meets words as it will in new texts.
     Of each text the window with the highest log-odds counts with the text's
-    label, and of clean texts one more at random.
+    label, and of clean texts one more at random.  Words are met with their own
+    text left out of the counts, as they will be in new texts.
     """
-    cut = int(len(texts) * COUNTED)
-    inputs, network, rng = Inputs(texts[:cut], toxic[:cut], seed), Network(seed), np.random.default_rng(seed)
-    texts, toxic = texts[cut:], toxic[cut:]
-    xs, ms, ys = [], [], []
-    for text, label in zip(texts, toxic):
-        words = _words(text)
-        vectors = inputs.of(words)
+    inputs, network, rng = Inputs(texts, toxic, seed), Network(seed), np.random.default_rng(seed)
+    xs, ms, ys, kept = [], [], [], []
+    for text, label in zip(texts, toxic.astype(int)):
+        vectors = inputs.of(_words(text), label)
         odds = vectors[:, 0] + vectors[:, 1]
-        starts = STRIDE * np.arange(_windows(len(words)))
-        tops = [odds[s : s + WINDOW].max(initial=-9) for s in starts]
-        for s in {int(starts[int(np.argmax(tops))]), int(rng.choice(starts))} if label == 0 else {int(starts[int(np.argmax(tops))])}:
-            own = vectors[s : s + WINDOW]
+        starts = STRIDE * np.arange(_windows(len(vectors)))
+        best = int(starts[int(np.argmax([odds[s : s + WINDOW].max(initial=-9) for s in starts]))])
+        for s in sorted({best, int(rng.choice(starts))} if label == 0 else {best}):
             x = np.zeros((WINDOW, INPUTS), np.float32)
-            x[: len(own)] = own
+            x[: len(vectors[s : s + WINDOW])] = vectors[s : s + WINDOW]
             xs.append(x)
-            ms.append(np.arange(WINDOW) < len(own))
+            ms.append(np.arange(WINDOW) < len(vectors) - s)
             ys.append(float(label))
-    if toxic.any() and not toxic.all():
+        if len(kept) < CALIBRATED:
+            kept.append(vectors)
+    if ys and toxic.any() and not toxic.all():
         network.train(np.stack(xs), np.stack(ms), np.array(ys, np.float32), seed=seed)
     scorer = Scorer(inputs, network)
-    logit = scorer.logits(texts).astype(float)
-    scorer.scale, scorer.shift = _calibrate(logit, toxic.astype(float))
+    if kept:
+        logit = scorer.highest([np.arange(len(v)) + n for v, n in zip(kept, np.cumsum([0, *map(len, kept)]).tolist())], np.concatenate(kept), len(kept))
+        scorer.scale, scorer.shift = _calibrate(logit.astype(float), toxic[: len(kept)].astype(float))
     return scorer
 
 
@@ -294,8 +296,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from, sample_rows: int = SAMPL
         .groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").alias("_label"))
         .orderBy(F.md5(F.col("_id").cast("string")), "_id").limit(sample_rows)
     )
-    got = docs.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("_id")).select("_id", "_label", "text").toPandas()
-    got = got.assign(_order=[xxhash.xxh64_intdigest(str(i)) for i in got["_id"]]).sort_values(["_order", "text"], kind="stable")
+    got = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("_id")).select("_id", "_label", "text").toPandas()
+    got = got.sort_values(["_id", "text"], kind="stable")
     return learn(got["text"].tolist(), (got["_label"] == 1).to_numpy(int))
 
 
