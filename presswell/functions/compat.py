@@ -44,7 +44,7 @@ def hour(c: Column | str) -> Column:
 
 def share(part: Column, whole: Column) -> Column:
     """Ratio to three places; 0 of nothing."""
-    return F.when(whole == 0, F.lit(0.0)).otherwise(F.round(part / whole, 3))
+    return F.when(whole == 0, F.lit(0.0)).otherwise(F.round(F.try_divide(part, whole), 3))
 
 
 def minutes_between(a: Column, b: Column) -> Column:

@@ -117,7 +117,7 @@ def language(c: Column) -> Column:
     cyr = F.length(F.regexp_replace(t, "[^Ѐ-ԯ]", ""))
     lat = F.length(F.regexp_replace(t, "[^A-z]", ""))
     total = cyr + lat
-    between = lambda x: (x / total >= 0.3) & (x / total <= 0.7)
+    between = lambda x: (10 * x >= 3 * total) & (10 * x <= 7 * total)
     return (
         F.when((total >= 40) & between(cyr) & between(lat), "mixed").when(total < 15, "unknown")
         .when(cyr >= 2 * lat, "ru").when(lat >= 2 * cyr, "en").otherwise("unknown")

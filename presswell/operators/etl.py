@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presswell.functions import records as R
-from presswell.functions.compat import text
+from presswell.functions.compat import items, text
 from presswell.operators import dedup
+from presswell.operators.summary import summary
+from presswell.operators.terms import canon_persons, tfidf_keywords
 
 
 def silver(raw: DataFrame) -> DataFrame:
@@ -30,9 +32,13 @@ def gold(found: DataFrame, published: bool = True) -> DataFrame:
     rows = dedup.within_batch(rows).where(R.passes_quality(F.col("body_status"), F.col("clean_text")))
     rows = rows.withColumn("nlp_text", F.trim(F.concat(text("title"), F.lit(". "), text("clean_text"))))
     rows = rows.withColumn("lang", R.language(F.col("nlp_text")))
-    score = R.lexicon_score(R.sentiment_input(F.lit(""), F.col("clean_text")))
+    rows = rows.withColumns({"summary": summary("clean_text"), "entities_persons": F.array_join(R.capitalised(F.col("nlp_text")), "; ")})
+    rows = rows.join(tfidf_keywords(rows, "id", "nlp_text"), "id")
+    rows = rows.join(canon_persons(rows, "id", "entities_persons").withColumnRenamed("persons", "entities_persons_canon"), "id")
+    score = R.lexicon_score(R.sentiment_input(F.col("summary"), F.col("clean_text")))
     return rows.withColumns({
         "text_length_chars": F.length("clean_text").cast("long"), "num_sentences": F.size(R.sentences(F.col("clean_text"))).cast("long"),
-        "keyphrases": R.merged_phrases(R.keyphrases(F.col("nlp_text"), F.col("lang")), F.lit("")),
+        "num_keywords": F.size(items("keywords")).cast("long"),
+        "keyphrases": R.merged_phrases(R.keyphrases(F.col("nlp_text"), F.col("lang")), F.col("keywords")),
         "sentiment_score": F.when(F.abs(score) >= 0.2, score), "sentiment_label": F.when(F.abs(score) >= 0.2, R.sentiment_label(score)).otherwise(""),
     })
