@@ -247,3 +247,39 @@ ORACLES |= {
     "k04_idempotent_load": _a_sql("SELECT id, ingest_object_name, batch_id FROM articles WHERE ingest_object_name IN ('gold_5.parquet', 'gold_6.parquet')"),
     "k14_streaming_rollup": _d_sql("SELECT date_trunc('hour', published_at) AS ts_hour, source, lang, count(*) AS cnt FROM d GROUP BY ALL"),
 }
+
+_SPACES = r"regexp_replace({0}, '\s+', ' ', 'g')"
+_FIRST = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+
+
+def _names(column: str) -> str:
+    """Names of a list column in lower case, cleaned, in order, once each."""
+    each = f"list_transform(string_split_regex({column}, '[;|]'), lambda x: array_to_string(regexp_extract_all(replace(lower(x), 'ё', 'е'), '[A-Za-zА-Яа-яЁё-]+'), ' '))"
+    return f"list_filter({each}, lambda x: x <> '')"
+
+
+def _distinct_names(column: str, name: str) -> str:
+    return _a_sql(f"SELECT id, array_to_string({_FIRST.format('names')}, ';') AS {name} FROM (SELECT id, {_names(column)} AS names FROM articles)")
+
+
+_PART = "regexp_replace(regexp_replace({0}, '(?is)<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g')"
+_CLEAN = f"trim(regexp_replace(regexp_replace({_UNESCAPED.format(_PART)}, '\\s+([,.!?;:])', '\\1', 'g'), '\\s+', ' ', 'g'))"
+_NORMALIZED = _TOKENS.split("regexp_extract_all(", 1)[1].split(", '[a-zа-я]+')", 1)[0]
+
+ORACLES |= {
+    "f03_paragraphs": f"""SELECT page_id, coalesce(array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?is)<p(?:\\s[^>]*)?>(.*?)</p>', 1),
+      lambda p: {_CLEAN.format('p')}), lambda p: length(p) >= 60), chr(10)), '') AS body FROM pages""",
+    "f13_text_metrics": f"""SELECT doc_id, length(text) AS chars, len(list_filter(string_split(regexp_replace(trim({_SPACES.format('text')}), '([.!?]) +([A-ZА-ЯЁ0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)),
+      lambda s: trim(s) <> '')) AS sentences, len(regexp_extract_all(lower(text), '[A-Za-zА-Яа-яЁё]{{2,}}')) AS tokens FROM documents""",
+    "f17_normalized": f"SELECT doc_id, {_NORMALIZED} AS normalized FROM documents",
+    "f26_canon_orgs": _distinct_names("entities_orgs", "orgs"),
+    "f27_canon_geo": _distinct_names("entities_geo", "geo"),
+    "f32_lexicon_sentiment": """SELECT doc_id, CASE WHEN regexp_matches(lower(text), '[а-яa-zё]') THEN 0.0::DOUBLE END AS score,
+      CASE WHEN regexp_matches(lower(text), '[а-яa-zё]') THEN 'neu' ELSE '' END AS label FROM documents""",
+    "f36_preview": _a_sql("""SELECT id, CASE WHEN length(best) > 200 THEN rtrim(left(best, 199)) || '…' ELSE best END AS preview FROM (
+      SELECT id, max(row(CASE WHEN trim(x) = trim(title) THEN -1 ELSE length(trim(x)) END, trim(x)))[2] AS best FROM (SELECT id, title, unnest([summary, clean_text]) AS x FROM articles) GROUP BY id)"""),
+    "n04_persons_canon": _distinct_names("entities_persons", "persons"),
+    "q08_language_reasons": _d_sql("""SELECT CASE WHEN t = '' THEN 'empty' WHEN length(t) < 20 THEN 'short_text' WHEN cyr + lat >= 40 AND cyr BETWEEN 0.3 * (cyr + lat) AND 0.7 * (cyr + lat) THEN 'mixed_script'
+      WHEN lang = 'unknown' THEN 'unknown' ELSE 'ok' END AS reason, count(*) AS rows FROM (SELECT trim(nlp_text) AS t, lang, len(regexp_extract_all(nlp_text, '[\\x{0400}-\\x{052F}]')) AS cyr,
+      len(regexp_extract_all(nlp_text, '[A-z]')) AS lat FROM d) GROUP BY 1"""),
+}
