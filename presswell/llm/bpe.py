@@ -23,8 +23,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from presswell.llm.common import give_back
+
 #: Different pieces that a worker remembers; then it starts over.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 #: Pieces of one query.
 AT_ONCE = 50_000
 #: Longer pieces, in bytes, take as many rounds as they have bytes, which a
@@ -139,7 +141,7 @@ class Codec:
                 yield b"".join(runs), b"".join(map(words, runs))
 
 
-def _lots(texts: list[str | None], chars: int = 8_000_000) -> Iterator[list[str | None]]:
+def _lots(texts: list[str | None], chars: int = 2_000_000) -> Iterator[list[str | None]]:
     lot, size = [], 0
     for text in texts:
         lot.append(text)
@@ -185,6 +187,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             out = pd.DataFrame(rows, columns=["n_tokens", "ids", "ids_sha256", "decoded_sha256"])
             out.insert(0, "doc_id", part["doc_id"].astype("Int64").to_numpy())
             yield out
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(
         run, "doc_id bigint, n_tokens bigint, ids binary, ids_sha256 string, decoded_sha256 string"

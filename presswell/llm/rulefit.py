@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from presswell.llm.common import spare
+from presswell.llm.common import give_back, spare
 
 STATISTICS = (
     "words", "mean_word", "longest_word", "capitals", "digits", "symbols", "sentence_ends", "commas", "exclaims", "bars",
@@ -55,6 +55,7 @@ def statistics(text: str | None) -> list[float]:
 def _statistics(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for part in parts:
         yield pd.DataFrame([statistics(t) for t in part], columns=list(STATISTICS), dtype=float)
+    give_back()
 
 
 #: Evaluated once, although several columns read it.
