@@ -120,7 +120,7 @@ def mixed_documents(docs: DataFrame, repeat: int = 3, **options) -> DataFrame:
     many = named.groupBy(*key).agg(F.count(F.lit(1)).alias(ids["_n"]))
     same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in key]
     entries = entries.alias("e").join(many.alias("m"), same("e", "m")).select("e.*", F.col(f"m.{ids['_n']}"))
-    joined = named.alias("d").join(entries.alias("e"), same("d", "e")).select("d.*", *[F.col(f"e.{ids[c]}") for c in ("_entries", "_n")])
+    joined = named.alias("d").join(entries.hint("shuffle_hash").alias("e"), same("d", "e")).select("d.*", *[F.col(f"e.{ids[c]}") for c in ("_entries", "_n")])
     single = joined.where(F.col(ids["_n"]) == 1).withColumn(ids["_row"], F.lit(0))
     numbered = F.row_number().over(Window.partitionBy(*key).orderBy(F.md5("text"))) - 1
     several = joined.where(F.col(ids["_n"]) > 1).withColumn(ids["_row"], numbered)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presswell.llm.common import materialize
+from presswell.llm.common import give_back, materialize
 from presswell.llm.graph import connected_components, forest
 
 #: Fingerprints of one anchor that are compared as one block.
@@ -73,6 +73,7 @@ def signatures(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
         for part in parts:
             fps = [_signed(fingerprint(t, size, seed)) for t in part["text"]]
             yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "fp": np.array(fps, np.int64)})
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id bigint, fp bigint")
 
@@ -183,6 +184,10 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     verdicts = materialize(
         found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept"
     )
-    single = docs.join(verdicts.where("n = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    again = docs.join(verdicts.where("n > 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return single.union(again).union(docs.where("doc_id IS NULL"))
+    once, repeated = (verdicts.where(n).select("doc_id") for n in ("n = 1", "n > 1"))
+    kept = docs.join(once.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    # Ids are dealt out by hash at every size: they grow with the documents.
+    # Only where ids repeat are the texts dealt out a second time.
+    if repeated.isEmpty():
+        return kept
+    return kept.union(docs.join(repeated.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
