@@ -121,6 +121,23 @@ def test_planted_passages(spark):
     assert left[2] == rows[1][1][60:] and left[1] == rows[0][1] and left[6] == rows[5][1] and len(left[10]) == 10
 
 
+def planted(spark, groups):
+    """Each group's passages in random context; ids count up within a group from a hundred times its number."""
+    rng = random.Random(5)
+    rows = [(100 * g + k, " ".join([*prose(rng, 90), *words, *prose(rng, 90)])) for g, passages in enumerate(groups) for k, words in enumerate(passages)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+
+
+def test_exact_passages_after_partial_quotes(spark):
+    rng, groups = random.Random(6), []
+    for g in range(40):
+        passage = prose(rng, 50)
+        edited = [w if i % 7 else "changed" for i, w in enumerate(passage)]
+        groups.append([passage[:49], passage[1:], passage[3:48], edited, passage, passage[:49], passage[2:], edited, passage])
+    found = {(r["doc_id"], r["source_doc_id"]) for r in substring.repeated_passages(planted(spark, groups)).collect()}
+    assert {(100 * g + 8, 100 * g + 4) for g in range(40)} <= found
+
+
 def test_passages_of_test_data(spark, small):
     """Every run of 50 words that an earlier document has is inside a found passage."""
     docs = spark.read.parquet(f"{small}/documents.parquet")
