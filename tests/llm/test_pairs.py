@@ -138,6 +138,33 @@ def test_exact_passages_after_partial_quotes(spark):
     assert {(100 * g + 8, 100 * g + 4) for g in range(40)} <= found
 
 
+@pytest.mark.parametrize("change", ["insert", "delete"])
+def test_near_passages_with_a_shifted_rest(spark, change):
+    rng, groups = random.Random(7), []
+    for g in range(60):
+        passage = prose(rng, 50)
+        edited = [*passage[:25], "changed", *passage[25:]]
+        groups.append([passage, edited] if change == "insert" else [passage[:25] + passage[26:], passage])
+    got = {r["doc_id"] for r in substring.repeated_passages(planted(spark, groups)).collect()}
+    assert got <= {100 * g + 1 for g in range(60)}
+    assert len(got) >= 54
+
+
+def test_spans_of_repeated_beginnings():
+    rng = np.random.default_rng(8)
+    word = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    tokens = lambda *parts: substring.shingle_hashes(np.concatenate(parts), 5)
+    for size, early in ((94, slice(0, 49)), (50, slice(0, 10)), (50, slice(40, 50)), (94, slice(45, 94))):
+        passage = word(size)
+        source = tokens(word(30), passage[early], word(200), passage, word(30), passage[early], word(9))
+        spans = substring.matched_spans(tokens(word(60), passage, word(20)), source, 46, 0.8)
+        at = 230 + len(passage[early])
+        assert (60, 60 + size - 4, at, at + size - 4, 1.0) in spans
+    line = np.tile(word(3), 2000)
+    assert substring.matched_spans(tokens(word(60), line), tokens(word(9), line), 46, 0.8, 1000)[0][4] == 1.0
+    assert substring.matched_spans(word(60), word(60), 46, 0.8) == []
+
+
 def test_passages_of_test_data(spark, small):
     """Every run of 50 words that an earlier document has is inside a found passage."""
     docs = spark.read.parquet(f"{small}/documents.parquet")
