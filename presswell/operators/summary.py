@@ -25,34 +25,27 @@ def _informative(sentence: str) -> bool:
     return len(sentence) >= 25 and len(_WORD.findall(sentence)) >= 5 and marks < max(4, len(sentence) // 25)
 
 
-def _weights(sentences: list[str]) -> np.ndarray:
-    """Unit TF-IDF rows over words and word pairs of the sentences."""
+def _weights(sentences: list[str]) -> list[dict[str, float]]:
+    """Sparse unit TF-IDF rows over words and word pairs of the sentences."""
     grams = []
     for s in sentences:
         words = [w for w in _WORD.findall(s.lower()) if w not in K.STOP_RU]
         grams.append(Counter(words) + Counter(map(" ".join, zip(words, words[1:]))))
     df = Counter(g for c in grams for g in c)
-    index = {g: i for i, g in enumerate(sorted(g for g, k in df.items() if k <= 0.95 * len(sentences)))}
-    x = np.zeros((len(sentences), max(1, len(index))))
-    for i, c in enumerate(grams):
-        for g, k in c.items():
-            if g in index:
-                x[i, index[g]] = k * (np.log((1 + len(sentences)) / (1 + df[g])) + 1)
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.where(norm == 0, 1, norm)
+    n = len(sentences)
+    idf = {g: np.log((1 + n) / (1 + k)) + 1 for g, k in df.items() if k <= 0.95 * n}
+    rows = [{g: k * idf[g] for g, k in c.items() if g in idf} for c in grams]
+    norms = [sum(w * w for w in row.values()) ** 0.5 for row in rows]
+    return [{g: w / norm for g, w in row.items()} for row, norm in zip(rows, norms)]
 
 
-def summarize(body: str | None, most: int = 3, chars: int = 700, spread: float = 0.7, window: int = 400) -> str:
+def summarize(body: str | None, most: int = 3, chars: int = 700, spread: float = 0.7) -> str:
     """Up to ``most`` sentences by weight, each unlike those chosen before.
 
-    Earlier sentences weigh more; the chosen ones keep their order.  A text of
-    over ``window`` informative sentences is weighed window by window, then the
-    windows' choices against each other, so memory stays bounded.
+    Earlier sentences weigh more; the chosen ones keep their order.
     """
     parts = [p.strip() for p in _SPLIT.split(re.sub(r"\s+", " ", (body or "").strip())) if p.strip()]
     parts = [p for p in parts if _informative(p)] or parts
-    while len(parts) > window:
-        parts = [s for k in range(0, len(parts), window) for s in _choose(parts[k : k + window], most, spread)]
     return " ".join(_choose(parts, most, spread))[:chars].strip()
 
 
@@ -60,14 +53,15 @@ def _choose(parts: list[str], most: int, spread: float) -> list[str]:
     if len(parts) <= most:
         return parts
     x = _weights(parts)
-    score = x.sum(1) * np.linspace(1.0, 0.7, len(parts))
+    score = np.array([sum(row.values()) for row in x]) * np.linspace(1.0, 0.7, len(parts))
     chosen: list[int] = []
     nearest = np.zeros(len(parts))
     for _ in range(most):
         gain = score - spread * nearest
         gain[chosen] = -np.inf
         chosen.append(int(np.argmax(gain)))
-        nearest = np.maximum(nearest, x @ x[chosen[-1]])
+        last = x[chosen[-1]]
+        nearest = np.maximum(nearest, [sum(w * last[g] for g, w in row.items() if g in last) for row in x])
     return [parts[i] for i in sorted(chosen)]
 
 

@@ -61,6 +61,15 @@ def test_actions(spark):
     assert got == {1: ("ann:said,went|bob:went", "said;went"), 2: ("", "")}
 
 
+def test_summary_weighs_a_long_text_as_a_whole():
+    tail = lambda i: f"{chr(97 + i % 26)}{chr(97 + i // 26)}"
+    long = [f"Alpha beta gamma delta epsilon number{tail(i)} here." for i in range(450)]
+    # Two are the longest; by blocks of 400 only the last is weighed against 50 others.
+    long[380] = "Seven rare words stand only within this single sentence."
+    long[430] = "Other quite uncommon terms appear inside that closing line."
+    assert summarize(" ".join(long)) == " ".join([long[0], long[380], long[430]])
+
+
 def test_summary():
     long = "Alpha beta gamma delta epsilon words. " * 1 + "Zeta eta theta iota kappa lambda. " + "Mu nu xi omicron pi rho sigma. " + "Tau upsilon phi chi psi omega one."
     assert summarize(None) == summarize("") == ""
