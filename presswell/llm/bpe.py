@@ -1,156 +1,230 @@
 """Byte-level BPE encoding and decoding by recursive DuckDB queries.
 
-A text is cut by the tokenizer's pattern.  The different pieces of a batch
-become rows of (piece, position, token).  A recursive query joins neighbours to
-the merge table and contracts each piece's leftmost pair of minimum rank until
-none is left; an ordered aggregation then collects the ids, and another one
-decodes each run of ids to its bytes.  A Python worker remembers the pieces it
-has seen, up to a bound, over the batches and partitions it is given.
+A text is cut into words, and each different word by the tokenizer's pattern
+into pieces.  The pieces of a lot become lists of byte tokens.  A recursive
+query joins their token-position rows to the merge table and contracts each
+piece's leftmost pair of minimum rank until none is left; an ordered
+aggregation then decodes the ids to bytes.  A Python worker remembers words and
+pieces in Arrow arrays, up to a bound, over the batches it is given.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import duckdb
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presswell.llm.common import give_back
 
-#: Different pieces that a worker remembers; then it starts over.
-REMEMBERED = 250_000
-#: Pieces of one query.
-AT_ONCE = 50_000
-#: Longer pieces, in bytes, take as many rounds as they have bytes, which a
-#: heap of pairs does faster and with the same result.
-LONG = 256
-
-_POSITION = 24
+#: Different words, and pieces, that a worker remembers (about 50 bytes each).
+REMEMBERED = 1_500_000
+#: Characters of a lot of texts; pieces and bytes of one query.
+LOT_CHARS, AT_ONCE, AT_ONCE_BYTES = 6_000_000, 50_000, 2_000_000
+#: From so many tokens on a piece contracts all places of its minimum rank in one round.
+MANY_TOKENS = 64
 
 _ENCODE = f"""
-WITH RECURSIVE t(k, tok, done) AS (
-  SELECT k, tok, false FROM bytes
+WITH RECURSIVE t(w, toks) USING KEY (w) AS (
+  SELECT w, toks FROM words
   UNION ALL
-  SELECT k, tok, done FROM (
-    WITH x AS (SELECT k, tok, lead(tok) OVER p AS follows, lead(k) OVER p AS next FROM t WHERE NOT done WINDOW p AS (ORDER BY k)),
-         z AS (SELECT k >> {_POSITION} AS w, min(c::BIGINT << {_POSITION} | (k & {(1 << _POSITION) - 1})) AS best,
-                      arg_min(next, c::BIGINT << {_POSITION} | (k & {(1 << _POSITION) - 1})) AS gone
-               FROM x JOIN merges ON a = tok AND b = follows AND next >> {_POSITION} = k >> {_POSITION} GROUP BY ALL)
-    SELECT t.k, CASE WHEN t.k & {(1 << _POSITION) - 1} = best & {(1 << _POSITION) - 1} THEN (best >> {_POSITION})::INT ELSE t.tok END AS tok,
-           best IS NULL AS done, gone
-    FROM t LEFT JOIN z ON t.k >> {_POSITION} = z.w WHERE NOT t.done)
-  WHERE gone IS NULL OR k <> gone)
-SELECT k, tok FROM t WHERE done
+  SELECT w, toks FROM (
+    WITH p AS (SELECT w, len(toks) > {MANY_TOKENS} AS long, unnest(toks) AS a, unnest(toks[2:]) AS b, generate_subscripts(toks, 1) AS i FROM t),
+         h AS (SELECT w, long, i, c, alone FROM p JOIN merges USING (a, b)),
+         m AS (SELECT w, long, min(c::BIGINT << 32 | i) AS best FROM h GROUP BY w, long),
+         -- Equal ranks in a row overlap: of such a run every other one is taken, the first included.
+         n AS (SELECT w, i, c, alone, row_number() OVER (PARTITION BY w ORDER BY i) AS n FROM h JOIN m USING (w) WHERE m.long AND c = best >> 32),
+         r AS (SELECT w, i, c, alone, n, row_number() OVER (PARTITION BY w, i - n ORDER BY i) AS k FROM n),
+         g AS (SELECT w, i, c FROM r WHERE CASE WHEN alone THEN n = 1 ELSE k % 2 = 1 END)
+    SELECT w, toks[:(best & 4294967295) - 1] || [(best >> 32)::INT] || toks[(best & 4294967295) + 2:] AS toks FROM m JOIN t USING (w) WHERE NOT long
+    UNION ALL
+    SELECT p.w, list(coalesce(g.c, p.a) ORDER BY p.i) AS toks
+    FROM p SEMI JOIN m ON p.w = m.w LEFT JOIN g ON p.w = g.w AND p.i = g.i ANTI JOIN g AS gone ON p.w = gone.w AND p.i = gone.i + 1
+    WHERE p.long GROUP BY p.w))
+SELECT w, toks FROM t
 """
-_DECODE = f"""
-SELECT k >> {_POSITION} AS w, list(tok ORDER BY k) AS ids, string_agg(s, '' ORDER BY k) AS decoded
-FROM tokens JOIN vocabulary USING (tok) GROUP BY w ORDER BY w
+#: One ordered aggregation decodes a whole lot; it is cut by the bytes of each piece.
+_DECODE = """
+SELECT string_agg(s, '' ORDER BY w << 32 | i) AS decoded
+FROM (SELECT w, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM tokens) JOIN vocabulary USING (tok)
 """
+_SIZES = "SELECT w, sum(length(s))::INT AS size FROM (SELECT w, unnest(toks) AS tok FROM tokens) JOIN vocabulary USING (tok) GROUP BY w ORDER BY w"
+
+
+class Memory:
+    """Keys with their ids and decoded bytes, as Arrow arrays; starts over from the last lot's when full."""
+
+    def __init__(self, make: Callable[[pa.Array], tuple[pa.Array, pa.Array]], most: int) -> None:
+        self.make, self.most = make, most
+        self.keys, self.ids, self.decoded = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())), pa.array([], pa.binary())
+
+    def of(self, keys: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """(ids, decoded) of different keys, in their order."""
+        at = np.array(pc.fill_null(pc.index_in(keys, value_set=self.keys), -1))
+        unknown = at < 0
+        if unknown.any():
+            new = keys.filter(pa.array(unknown))
+            ids, decoded = self.make(new)
+            if len(self.keys) + len(new) > self.most:
+                known = pa.array(at[~unknown])
+                self.keys, self.ids, self.decoded = (x.take(known) for x in (self.keys, self.ids, self.decoded))
+                at[~unknown] = np.arange(len(known))
+            at[unknown] = len(self.keys) + np.arange(len(new))
+            self.keys, self.ids, self.decoded = (pa.concat_arrays(x) for x in ((self.keys, new), (self.ids, ids), (self.decoded, decoded)))
+        return self.ids.take(pa.array(at)), self.decoded.take(pa.array(at))
+
+
+def _whole(column: pa.ChunkedArray | pa.Array) -> pa.Array:
+    found = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return pa.concat_arrays(found.chunks) if isinstance(found, pa.ChunkedArray) else found
+
+
+def _joined(ids: pa.Array, decoded: pa.Array, ends: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Runs of entries, from each end to the next, put together."""
+    return (
+        pa.ListArray.from_arrays(pa.array(np.asarray(ids.offsets)[ends], pa.int32()), ids.values),
+        pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(_offsets(decoded)[ends].astype(np.int32)), decoded.buffers()[2]]),
+    )
+
+
+def _offsets(values: pa.Array) -> np.ndarray:
+    return np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+
+
+def safe_merges(ranks: dict[bytes, int]) -> list[tuple[int, int, int, bool]]:
+    """(left, right, merged, alone): ids of all merges.
+
+    After a merge to ``c`` a new pair could have a rank below c's, but only if
+    a longer word of lower rank takes c with a neighbour x, and x's pair with
+    c's own part was not contracted before, as it has a higher rank or none.
+    Such merges are ``alone``: after one of them all ranks are looked at anew.
+    Of all others, all places that do not overlap may be contracted at once.
+    """
+    splits = {w: [(w[:i], w[i:]) for i in range(1, len(w)) if w[:i] in ranks and w[i:] in ranks] for w in ranks}
+    alone, none = set(), 1 << 40
+    for word, rank in ranks.items():
+        for x, y in splits[word]:
+            if rank < ranks[y] and (x == y or any(ranks.get(x + a, none) > ranks[y] for a, _ in splits[y])):
+                alone.add(y)
+            if rank < ranks[x] and (x == y or any(ranks.get(b + y, none) > ranks[x] for _, b in splits[x])):
+                alone.add(x)
+    return [(ranks[a], ranks[b], c, word in alone) for word, c in ranks.items() for a, b in splits[word]]
 
 
 class Codec:
-    """Encodes pieces by ranks; a rank is the id of its bytes."""
+    """Encodes texts by ranks; a rank is the id of its bytes."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED) -> None:
+        self.ranks, self.pattern, self.spaced = ranks, regex.compile(pattern), regex.compile(r"\s*\S+|\s+")
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        merges = [
-            (a, b, c) for word, c in ranks.items() for i in range(1, len(word))
-            if (a := ranks.get(word[:i])) is not None and (b := ranks.get(word[i:])) is not None
-        ]
-        self.pairs = {(a, b): c for a, b, c in merges}
-        self.words = {r: w for w, r in ranks.items()}
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
-        a, b, c = (pa.array(x, pa.int32()) for x in zip(*merges))
-        self.con.register("_m", pa.table({"a": a, "b": b, "c": c}))
+        a, b, c, alone = zip(*safe_merges(ranks))
+        self.con.register("_m", pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "c": pa.array(c, pa.int32()), "alone": alone}))
         # Bytes as the characters of the same numbers, which text functions take.
-        self.con.register("_v", pa.table({"tok": pa.array(self.words.keys(), pa.int32()), "s": [w.decode("latin-1") for w in self.words.values()]}))
+        self.con.register("_v", pa.table({"tok": pa.array(ranks.values(), pa.int32()), "s": [w.decode("latin-1") for w in ranks]}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM _m; CREATE TABLE vocabulary AS SELECT * FROM _v")
-        self.encoded: dict[str, bytes] = {}
-        self.decoded: dict[bytes, bytes] = {}
-
-    def learn(self, pieces: list[str]) -> None:
-        """Encode and decode pieces that are not remembered."""
-        if len(self.encoded) + len(pieces) > REMEMBERED:
-            self.encoded, self.decoded = {}, {}
-        raw = [p.encode() for p in pieces]
-        short = [i for i, r in enumerate(raw) if len(r) <= LONG]
-        for k in range(0, len(short), AT_ONCE):
-            self._query([pieces[i] for i in short[k : k + AT_ONCE]], [raw[i] for i in short[k : k + AT_ONCE]])
-        for i, r in enumerate(raw):
-            if len(r) > LONG:
-                ids = self._by_heap(r)
-                self.encoded[pieces[i]] = key = np.array(ids, "<u4").tobytes()
-                self.decoded[key] = b"".join(map(self.words.__getitem__, ids))
-
-    def _query(self, pieces: list[str], raw: list[bytes]) -> None:
+        self.words, self.pieces = Memory(self._words, remembered), Memory(self._pieces, remembered)
+
+    def _words(self, keys: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Cut words by the pattern; equal pieces are encoded once."""
+        cut = [self.pattern.findall(_unit(k)) for k in keys.to_pylist()]
+        ends = np.cumsum([0, *map(len, cut)])
+        coded = pa.array([p for own in cut for p in own], pa.string()).dictionary_encode()
+        ids, decoded = self.pieces.of(coded.dictionary)
+        return _joined(ids.take(coded.indices), decoded.take(coded.indices), ends)
+
+    def _pieces(self, keys: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Encode pieces; one that is in the vocabulary as a whole is its own token."""
+        raw = [p.encode() for p in keys.to_pylist()]
+        order = sorted(range(len(raw)), key=lambda i: len(raw[i]))  # long ones, which take many rounds, together
+        found, lot, size = [], [], 0
+        for i in order:
+            lot.append(i)
+            size += len(raw[i])
+            if len(lot) >= AT_ONCE or size >= AT_ONCE_BYTES:
+                found.append(self._query([raw[i] for i in lot]))
+                lot, size = [], 0
+        if lot:
+            found.append(self._query([raw[i] for i in lot]))
+        back = pa.array(np.argsort(np.array(order, np.int64), kind="stable"))
+        return tuple(pa.concat_arrays([f[k] for f in found]).take(back) for k in (0, 1))
+
+    def _query(self, raw: list[bytes]) -> tuple[pa.Array, pa.Array]:
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-        place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        keys = np.repeat(np.arange(len(raw)), sizes) << _POSITION | place
-        self.con.register("bytes", pa.table({"k": keys, "tok": self.single[np.frombuffer(b"".join(raw), np.uint8)]}))
+        tokens = self.single[np.frombuffer(b"".join(raw), np.uint8)]
+        whole = np.array([self.ranks.get(r, -1) for r in raw], np.int64)
+        keep = np.repeat(whole < 0, sizes)
+        keep[(np.cumsum(sizes) - 1)[whole >= 0]] = True
+        tokens[(np.cumsum(sizes) - 1)[whole >= 0]] = whole[whole >= 0]
+        ends = np.cumsum(np.append(0, np.where(whole < 0, sizes, 1)))
+        self.con.register("words", pa.table({"w": np.arange(len(raw)), "toks": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens[keep], pa.int32()))}))
         self.con.execute("CREATE OR REPLACE TEMP TABLE tokens AS " + _ENCODE)
-        got = self.con.sql(_DECODE).to_arrow_table().combine_chunks()
-        lists = got["ids"].combine_chunks() if isinstance(got["ids"], pa.ChunkedArray) else got["ids"]
-        ends = lists.offsets.to_numpy().tolist()
-        flat = lists.values.to_numpy().astype("<u4").tobytes()
-        for i, text in enumerate(got["decoded"].to_pylist()):
-            self.encoded[pieces[i]] = key = flat[4 * ends[i] : 4 * ends[i + 1]]
-            self.decoded[key] = text.encode("latin-1")
-
-    def _by_heap(self, raw: bytes) -> list[int]:
-        tokens = self.single[np.frombuffer(raw, np.uint8)].tolist()
-        n = len(tokens)
-        after, before = [*range(1, n), -1], list(range(-1, n - 1))
-        heap = [(c, i, tokens[i], tokens[i + 1]) for i in range(n - 1) if (c := self.pairs.get((tokens[i], tokens[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            c, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if tokens[i] != a or j < 0 or tokens[j] != b:
-                continue
-            tokens[i], tokens[j], after[i] = c, -1, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for left in (before[i], i):
-                if left >= 0 and after[left] >= 0 and (r := self.pairs.get((tokens[left], tokens[after[left]]))) is not None:
-                    heapq.heappush(heap, (r, left, tokens[left], tokens[after[left]]))
-        return [t for t in tokens if t >= 0]
-
-    def batch(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
-        """The ids of each text as little-endian uint32, and their decoded bytes."""
-        cut = self.pattern.findall
-        for lot in _lots(texts):
-            pieces = [cut(t) if t else [] for t in lot]
-            known = self.encoded.keys()
-            if new := set().union(*pieces) - known:
-                if len(known) + len(new) > REMEMBERED:
-                    new = set().union(*pieces)
-                    self.encoded, self.decoded = {}, {}
-                self.learn(sorted(new))
-            ids, words = self.encoded.__getitem__, self.decoded.__getitem__
-            for own in pieces:
-                runs = list(map(ids, own))
-                yield b"".join(runs), b"".join(map(words, runs))
-
-
-def _lots(texts: list[str | None], chars: int = 2_000_000) -> Iterator[list[str | None]]:
-    lot, size = [], 0
-    for text in texts:
-        lot.append(text)
-        size += len(text or "")
-        if size > chars:
-            yield lot
-            lot, size = [], 0
-    if lot:
-        yield lot
+        ids = _whole(self.con.sql("SELECT toks FROM tokens ORDER BY w").to_arrow_table()["toks"]).cast(pa.list_(pa.int32()))
+        decoded = self.con.execute(_DECODE).fetchall()[0][0].encode("latin-1")
+        ends = np.append(0, np.cumsum(np.asarray(_whole(self.con.sql(_SIZES).to_arrow_table()["size"]))))
+        return ids, pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(decoded)])
+
+    def batch(self, texts: pa.Array) -> Iterator[tuple[pa.Array, pa.Array]]:
+        """(ids, decoded) of lots of texts, in their order; a null text is empty."""
+        chars = np.asarray(pc.fill_null(pc.utf8_length(texts), 0), np.int64)
+        lot = np.cumsum(chars) // LOT_CHARS
+        starts = np.flatnonzero(np.diff(lot, prepend=-1))
+        for a, b in zip(starts, np.append(starts[1:], len(chars))):
+            yield self._lot(texts[int(a) : int(b)].fill_null(""))
+
+    def _lot(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        odd = np.array(pc.match_substring_regex(texts, r"^$|^[ \n]|[ \n]$|[ \n][ \n]"))
+        words, ends = _by_spaces(texts.filter(pa.array(~odd)))
+        strange = np.zeros(len(words.dictionary), bool)
+        maybe = np.flatnonzero(pc.match_substring_regex(words.dictionary, f"{_WHITE}$|^[ \n]?{_WHITE}"))
+        strange[maybe] = [not _regular(words.dictionary[int(i)].as_py()) for i in maybe]
+        if strange.any():
+            odd[np.flatnonzero(~odd)[np.logical_or.reduceat(strange[np.asarray(words.indices)], ends[:-1])]] = True
+            words, ends = _by_spaces(texts.filter(pa.array(~odd)))
+        found = [self._of_words(words, ends)]
+        if odd.any():
+            cut = [[" " + u for u in self.spaced.findall(t)] for t in texts.filter(pa.array(odd)).to_pylist()]
+            found.append(self._of_words(pa.array([u for own in cut for u in own], pa.string()).dictionary_encode(), np.cumsum([0, *map(len, cut)])))
+        back = pa.array(np.argsort(np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)]), kind="stable"))
+        return tuple(pa.concat_arrays([f[k] for f in found]).take(back) for k in (0, 1)) if len(found) > 1 else found[0]
+
+    def _of_words(self, words: pa.DictionaryArray, ends: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        ids, decoded = self.words.of(words.dictionary)
+        return _joined(ids.take(words.indices), decoded.take(words.indices), ends)
+
+
+#: White space of any script, as Arrow's patterns know it.
+_WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+
+
+def _by_spaces(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words that single spaces and line ends separate, without the space,
+    and where each text's words end."""
+    cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+    words, ends = cut.values, np.asarray(cut.offsets)
+    first = np.zeros(len(words), bool)
+    first[ends[:-1]] = True
+    marked = pc.binary_join_element_wise(pa.scalar(" "), words.filter(pa.array(first)), "")
+    return pc.replace_with_mask(words, pa.array(first), marked).dictionary_encode(), ends
+
+
+def _regular(word: str) -> bool:
+    """Whether no white space but a line end in front is at either end."""
+    body = word[1:] if word[0] in "\n " else word
+    return not body[0].isspace() and not body[-1].isspace()
+
+
+def _unit(key: str) -> str:
+    """What a word stands for: with a space before it, unless it begins with a
+    line end; a space in front marks one that stands for itself."""
+    return key[1:] if key[0] == " " else key if key[0] == "\n" else " " + key
 
 
 #: A worker's codecs, by the hash of their ranks and pattern.
@@ -168,27 +242,32 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256), one row per input row.
 
     ``ranks_path`` is a vocabulary of base64 bytes and ranks that the driver
-    reads and broadcasts (under 1 MB); special tokens are ordinary text.
-    ``ids`` holds little-endian unsigned 32-bit integers.  ``decoded_sha256``
-    is of the bytes that the ids decode to.  A null text is empty and has no
-    tokens; a null doc_id stays null; extra columns are ignored; an empty table
-    gives an empty result.
+    reads and broadcasts (under 1 MB); special tokens are ordinary text.  No
+    match of ``pattern`` may look behind or go on from another character to
+    white space, as holds for the patterns of this family.  ``ids`` holds
+    little-endian unsigned 32-bit integers.  ``decoded_sha256`` is of the bytes
+    that the ids decode to.  A null text is empty and has no tokens; texts and
+    pieces of any length take the same path; a null doc_id stays null; rows may
+    repeat; extra columns are ignored; an empty table gives an empty result.
     """
     with open(ranks_path, "rb") as file:
         ranks = docs.sparkSession.sparkContext.broadcast(file.read())
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks.value, pattern)
         for part in parts:
-            rows = [
-                (len(ids) // 4, ids, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest())
-                for ids, text in own.batch(part["text"].tolist())
-            ]
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", part["doc_id"].astype("Int64").to_numpy())
-            yield out
+            at = 0
+            for ids, decoded in own.batch(part.column("text")):
+                n = len(ids)
+                ends = _offsets(ids)
+                raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((ends - ends[0]).astype(np.int32) * 4), pa.py_buffer(np.asarray(ids.values)[ends[0] : ends[-1]].astype("<u4").tobytes())])
+                digest = lambda values: pa.array([hashlib.sha256(v.as_buffer()).hexdigest() for v in values], pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id")[at : at + n], pa.array(np.diff(ends).astype(np.int64)), raw, digest(raw), digest(decoded)],
+                    ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+                at += n
         give_back()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "doc_id bigint, n_tokens bigint, ids binary, ids_sha256 string, decoded_sha256 string"
     )
