@@ -11,7 +11,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Java/RE2 class of the six ASCII white-space characters that separate words.
@@ -48,10 +48,26 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def running(df: DataFrame, order: list[Column], value: Column, name: str, tag: str) -> DataFrame:
+    """``df`` with a column ``name``: the sum of ``value`` (bigint) over the rows ahead in ``order``.
+
+    Rows are dealt out by range and written, the ranges' sums are added up, and
+    each range runs on its own, so that no task holds more than a range.
+    ``order`` must tell all rows apart, or equal rows must be alike.
+    """
+    part, own = spare(df, "_part"), spare(df, "_value")
+    dealt = materialize(df.withColumn(own, value).repartitionByRange(*order).withColumn(part, F.spark_partition_id()), tag)
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    ahead = dealt.groupBy(part).agg(F.sum(own).alias(own)).select(part, F.coalesce(F.sum(own).over(before), F.lit(0)).alias(name))
+    within = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inner = dealt.withColumn(own, F.coalesce(F.sum(own).over(within), F.lit(0)))
+    return inner.join(F.broadcast(ahead), part).withColumn(name, F.col(name) + F.col(own)).drop(part, own)
+
+
 def give_back() -> None:
     """Return freed memory to the system; workers are reused and would keep it."""
     gc.collect()
