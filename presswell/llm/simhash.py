@@ -15,6 +15,7 @@ from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,13 +70,13 @@ def _signed(x: int) -> int:
 def signatures(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp) with the fingerprint as a signed long; one row per input row."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            fps = [_signed(fingerprint(t, size, seed)) for t in part["text"]]
-            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "fp": np.array(fps, np.int64)})
+            fps = [_signed(fingerprint(t, size, seed)) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
         give_back()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
 
 
 def _syndrome(word: Column) -> Column:
