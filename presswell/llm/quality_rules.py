@@ -2,10 +2,11 @@
 
 Counts over whole texts give a few ratios.  For every stratum and ratio a grid
 of cutoffs is tested on labelled good documents: a cutoff holds if the exact
-binomial bound shows that it rejects at most a given share of them.  All tests
-of all strata, ratios and cutoffs share the error by Bonferroni's correction,
-and the strictest cutoff that holds is taken; where none holds, the ratio
-rejects nothing.
+binomial bound shows that it rejects at most a given share of them.  The strata
+and ratios share the error by Bonferroni's correction.  The cutoffs of one ratio
+need no shares of their own: they are tested in a fixed sequence, from the
+loosest, until one does not hold.  The strictest that holds is taken; where none
+holds, the ratio rejects nothing.
 """
 
 from __future__ import annotations
@@ -86,7 +87,8 @@ def cutoffs(stats: DataFrame, labels: DataFrame, stratum: str, risk: float, erro
 
     ``risk`` bounds the share of good documents that all rules together reject
     in a stratum; each rule may spend an equal part.  With probability 1 -
-    ``error`` all bounds hold at once.
+    ``error`` all bounds hold at once.  A stricter cutoff rejects whatever a
+    looser one does, so the fixed sequence ends where too many are rejected.
     """
     good = labels.where("quality = 1").select(F.col("doc_id").cast("long")).distinct()
     rows = stats.where(~base_failed()).join(good, "doc_id").select(F.col(stratum).alias("stratum"), *[c for c in stats.columns if c.startswith("n_") or c == "word_chars"])
@@ -96,7 +98,7 @@ def cutoffs(stats: DataFrame, labels: DataFrame, stratum: str, risk: float, erro
     # The k-th cutoff (from 1) rejects the rows at level k and above.
     above = counts.select("stratum", "rule", "n", F.explode(F.sequence(F.lit(0), F.col("level"))).alias("k")).groupBy("stratum", "rule", "k").agg(F.sum("n").alias("rejected"))
     each = above.where("k = 0").select("stratum", F.col("rejected").alias("n")).distinct()
-    tests = F.lit(len(RULES) * len(GRID)) * F.count(F.lit(1)).over(Window.partitionBy())
+    tests = F.lit(len(RULES)) * F.count(F.lit(1)).over(Window.partitionBy())
     p = risk / len(RULES)
     in_order = Window.partitionBy("stratum").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
     j = F.col("j")
