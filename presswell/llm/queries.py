@@ -13,24 +13,6 @@ from presswell.llm.common import table
 
 
 SHARD_BYTES = 1 << 20
-#: The dated block list of the URL query: entry, day, action.
-URL_CHANGES = (
-    ("casino-win.example.com", "2024-01-05", "add"),
-    ("free-bets.example.com", "2024-02-01", "add"),
-    ("free-bets.example.com", "2024-06-15", "remove"),
-    ("free-bets.example.com", "2024-09-01", "add"),
-    ("ads-track.example.com", "2024-03-10", "add"),
-    ("ads-track.example.com", "2024-11-20", "remove"),
-    ("spam-farm.example.com", "2023-12-01", "add"),
-    ("cheap-pills.example.com", "2024-04-22", "add"),
-    ("adult-x.example.net", "2024-01-01", "add"),
-    ("tionsh.example.com/fr", "2024-05-01", "add"),
-    ("blog.tionsh.example.com/fr", "2024-05-01", "add"),
-    ("blog.tionsh.example.com/fr", "2024-08-01", "remove"),
-    ("tionble.example.org/de", "2024-07-01", "add"),
-)
-
-
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -64,11 +46,31 @@ def op8_simhash_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def url_changes(pages: DataFrame) -> DataFrame:
+    """(entry, day, action): the history of a list over the hosts and paths of ``pages``.
+
+    Every host below a registered domain, and every start of a path, that occurs
+    is listed if the digest of its name begins with 0 to 4.  It is added on a day
+    that its digest gives; a third of the entries are removed later, and a third
+    are removed and added again.  Some are added and removed on one day.
+    """
+    number = lambda first, many: F.conv(F.substring(F.md5("entry"), first, many), 16, 10).cast("int")
+    entries = pages.select(F.explode(urllist.keys(F.col("url"))).alias("entry")).distinct()
+    listed = entries.where(F.col("entry").rlike(r"^[^./]+[.][^./]+[.]") & (F.substring(F.md5("entry"), 1, 1) < "5"))
+    day = lambda n: F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), n), "yyyy-MM-dd")
+    first, kind, gap = number(2, 4) % 280, number(6, 2) % 3, number(8, 2) % 50 + 5
+    change = lambda n, action: F.struct(day(n).alias("day"), F.lit(action).alias("action"))
+    turns = F.when(kind == 0, F.array(change(first, "add"))).when(kind == 1, F.array(change(first, "add"), change(first + gap, "remove"))).otherwise(
+        F.array(change(first, "add"), change(first + gap, "remove"), change(first + gap + 20, "add")))
+    same_day = F.when(number(10, 1) == 0, F.array(change(first, "remove"))).otherwise(F.slice(turns, 1, 0))
+    return listed.select("entry", F.explode(F.concat(turns, same_day)).alias("c")).select("entry", "c.day", "c.action")
+
+
 def op9_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages have no fetch time; page_id spreads them over the days of 2024."""
+    pages = table(spark, sf_dir, "pages")
     fetched = F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(CAST(page_id * 37 % 366 AS INT), CAST(page_id % 24 AS INT))")
-    captures = table(spark, sf_dir, "pages").select("page_id", "url", fetched.alias("fetched_at"))
-    return urllist.judged(captures, spark.createDataFrame(URL_CHANGES, "entry string, day string, action string"))
+    return urllist.judged(pages.select("page_id", "url", fetched.alias("fetched_at")), url_changes(pages))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

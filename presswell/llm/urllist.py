@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from presswell.llm.common import let
+from presswell.llm.common import let, spare
 
 #: Days of one bucket of time; an interval is listed in each bucket it touches.
 BUCKET_DAYS = 32
@@ -59,11 +59,14 @@ def judged(captures: DataFrame, changes: DataFrame) -> DataFrame:
 
     Adds host, blocked, entry and listed_on: the longest entry that was active
     on the day of the fetch (the first by name among equals) and the day from
-    which it was.  Equal captures are matched once and joined back, so neither
-    a popular host nor a repeated capture is dealt to one task as a whole: the
-    list side of the join has a row per entry and bucket, and Spark may split
-    the captures.  Null or malformed URLs and null fetch times match nothing
-    and stay, not blocked; all rows and columns stay.
+    which it was.  A capture's own column of such a name stays and the added one
+    gets an underscore in front.  Equal captures are matched once and joined
+    back, so neither a popular host nor a repeated capture is dealt to one task
+    as a whole: the list side of the join has a row per entry and bucket, and
+    Spark may split the captures.  Null or malformed URLs, of any length, and
+    null fetch times match nothing and stay, not blocked; all rows and columns
+    stay; an empty table of captures gives an empty result, and an empty list
+    blocks nothing.
     """
     day = F.to_date("fetched_at")
     once = captures.where("url IS NOT NULL AND fetched_at IS NOT NULL").select("url", "fetched_at").distinct()
@@ -80,6 +83,7 @@ def judged(captures: DataFrame, changes: DataFrame) -> DataFrame:
     why = met.groupBy("url", "fetched_at").agg(
         F.min(F.struct((-F.length("entry")).alias("size"), "entry", F.col("valid_from").alias("listed_on"))).alias("why"))
     same = (F.col("c.url") == F.col("w.url")) & (F.col("c.fetched_at") == F.col("w.fetched_at"))
+    names = {n: spare(captures, n) for n in ("host", "blocked", "entry", "listed_on")}
     return captures.alias("c").join(why.alias("w"), same, "left").select(
-        "c.*", host(F.col("c.url")).alias("host"), F.col("w.why").isNotNull().alias("blocked"),
-        F.col("w.why.entry").alias("entry"), F.col("w.why.listed_on").alias("listed_on"))
+        "c.*", host(F.col("c.url")).alias(names["host"]), F.col("w.why").isNotNull().alias(names["blocked"]),
+        F.col("w.why.entry").alias(names["entry"]), F.col("w.why.listed_on").alias(names["listed_on"]))
