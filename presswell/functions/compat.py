@@ -38,6 +38,16 @@ def batch_key() -> Column:
     return F.when(text("batch_id") == "", F.col("ingest_object_name")).otherwise(F.col("batch_id"))
 
 
+def month(c: Column | str) -> Column:
+    """yyyyMM, by which tables are partitioned."""
+    return F.date_format(c, "yyyyMM")
+
+
+def once(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def hour(c: Column | str) -> Column:
     return F.date_trunc("HOUR", c).cast("timestamp_ntz")
 
@@ -56,9 +66,11 @@ def minutes_between(a: Column, b: Column) -> Column:
 def loaded_at(batch: str = "batch_id") -> Column:
     """Load time that a batch name carries, the epoch if it has none.
 
-    Names that start with 20 are ISO times; others may hold yyyyMMddTHHmmssZ.
+    Names that start with 20 are times in any of the usual forms; others may
+    hold yyyyMMddTHHmmssZ.
     """
-    iso = F.expr(f"try_to_timestamp(regexp_replace({batch}, 'Z$', ''), \"yyyy-MM-dd'T'HH:mm:ss\")")
-    packed = F.expr(f"try_to_timestamp(nullif(regexp_extract({batch}, '([0-9]{{8}}T[0-9]{{6}})Z', 1), ''), \"yyyyMMdd'T'HHmmss\")")
-    found = F.when(F.col(batch).startswith("20"), iso).otherwise(packed)
-    return F.coalesce(found.cast("timestamp_ntz"), F.expr(EPOCH))
+    tried = lambda value, pattern: F.expr(f"try_to_timestamp({value}, \"{pattern}\")").cast("timestamp_ntz")
+    plain = f"regexp_replace({batch}, '([.][0-9]+)?(Z|[+]00:?00)?$', '')"
+    known = F.coalesce(*[tried(plain, p) for p in ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyyMMdd'T'HHmmss", "yyyyMMddHHmmss", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")])
+    packed = tried(f"nullif(regexp_extract({batch}, '([0-9]{{8}}T[0-9]{{6}})Z', 1), '')", "yyyyMMdd'T'HHmmss")
+    return F.coalesce(F.when(F.col(batch).startswith("20"), known).otherwise(packed), F.expr(EPOCH))

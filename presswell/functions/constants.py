@@ -39,3 +39,23 @@ ORG_SINGLE_STOP = """газета издание сми суд флот банк
 ORG_ADJECTIVE = "ский|ская|ское|ские|ской|ском|ских|скому|скую|ный|ная|ное|ные|ного|ному|ным|ными|ной|ную"
 DOMAINS = "ru com org net io info tv ua by kz de fr uk us".split()
 ONE_LETTER_TOKENS = "я и в к с у о а".split()
+
+# Words that TF-IDF leaves out, and those that only make noise in news.
+STOP_TFIDF = """и в во на не что это как а но или то у к по из за от до над под при про для без с со об о обо же ли бы быть он она оно они мы вы я ты
+его ее их этот эта эти тот та те такой такая такие там тут здесь вот уже еще ещё все всё только лишь очень сам сама сами который которая которые
+которых которому которым так же ни да нет сегодня вчера завтра""".split()
+DOMAIN_TERMS = """новость сообщить сообщать заявить заявлять рассказать говорить сказать пояснить уточнить отметить подчеркнуть источник агентство
+редакция интервью обзор news report reported says said sources according statement interview""".split()
+DOMAIN_WORDS = """конец близкий похоже кажется ранее сейчас сегодня вчера завтра сообщить сообщаться заявить заявлять рассказать отметить уточнить
+добавить якобы возможно вероятно стало стать дневной облёт облет пересмешник щебетать канал телеграм telegram вечер слово утренний полдень
+дневный кремлевский кремлёвский""".split()
+
+# Single words that are no name, and words with which no name begins.
+ENTITY_SINGLE = """президент премьер министр глава лидер депутат сенатор губернатор мэр суд судья прокуратура полиция ведомство агентство комитет
+служба группа компания холдинг president prime minister leader governor mayor court police agency committee service group company holding""".split()
+ENTITY_BAD_START = "в на это но и по из при для без от до".split()
+
+# Verbs of speech that mean one, and verbs that say nothing about a person.
+VERB_CANON = {"сказать": "заявить", "говорить": "заявить", "сообщить": "заявить", "отметить": "заявить", "подчеркнуть": "заявить", "заявить": "заявить"}
+STOP_VERBS = """быть стать мочь иметь являться находиться считаться сказать говорить сообщить заявить отметить подчеркнуть написать рассказать
+пояснить уточнить добавить признать объявить""".split()

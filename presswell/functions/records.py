@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+from itertools import chain
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from presswell.functions import constants as K
-from presswell.functions.compat import text
+from presswell.functions.compat import once, text
 
 
 def strip(c: Column) -> Column:
@@ -18,23 +21,44 @@ def squeeze(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
-# The entities that occur in article bodies; '&amp;' comes last.
-_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&laquo;", "«"), ("&raquo;", "»"),
-             ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&amp;", "&"))
+#: Named references with their ';', and those that are known without one.
+_NAMED = {n[:-1]: c for n, c in html5.items() if n.endswith(";")}
+_OLD_NAMES = sorted(n for n in html5 if not n.endswith(";"))
+#: Numbers that stand for characters of the Windows code page.
+_WINDOWS = {n: bytes([n]).decode("cp1252") for n in range(128, 160) if bytes([n]).decode("cp1252", "ignore")}
+_REFERENCE = "&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?"
+
+
+def _character(reference: Column) -> Column:
+    """The character of one reference; the reference itself if there is none."""
+    literal = lambda d: F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in d.items()))
+    name = F.regexp_replace(reference, "^&|;$", "")
+    number = F.when(name.rlike("^#[0-9]{1,9}$"), F.substr(name, F.lit(2)).try_cast("bigint")).when(
+        name.rlike("^#[xX][0-9a-fA-F]{1,8}$"), F.conv(F.substr(name, F.lit(3)), 16, 10).try_cast("bigint"))
+    point = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    invalid = (number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
+    numbered = F.coalesce(F.try_element_at(literal(_WINDOWS), number.cast("int")), F.when(invalid, "\ufffd").otherwise(point))
+    named = F.when(reference.endswith(";") | name.isin(*_OLD_NAMES), F.try_element_at(literal(_NAMED), name))
+    return F.coalesce(F.when(name.startswith("#"), F.when(number.isNotNull(), numbered).otherwise("\ufffd")).otherwise(named), reference)
 
 
 def unescape(c: Column) -> Column:
-    for entity, char in _ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    """Character references, named and numbered, as characters, in one pass."""
+    def joined(t: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(t, F.lit(_REFERENCE), F.lit(0)), _character)
+        return once(found, lambda fs: F.array_join(F.transform(F.split(t, _REFERENCE), lambda p, i: F.concat(p, F.coalesce(F.get(fs, i), F.lit("")))), ""))
+
+    return F.when(F.contains(c, F.lit("&")), joined(c)).otherwise(c)
 
 
 def clean_html(c: Column) -> Column:
-    """Text of a fragment of HTML; plain text only has its white space put right."""
+    """Text of a fragment of HTML; plain text only has its white space put right.
+
+    A '<' begins a tag only before a letter, '/', '!' or '?'.
+    """
     raw = text(c)
-    marked = raw.rlike("(?s)<.*>|>.*<|&.*;|;.*&")
-    plain = F.regexp_replace(F.regexp_replace(raw, r"(?is)<script\b.*?</script>|<style\b.*?</style>", " "), "(?s)<[^>]+>", " ")
-    cleaned = unescape(F.when(marked, plain).otherwise(raw))
+    plain = F.regexp_replace(F.regexp_replace(raw, r"(?is)<script\b.*?</script>|<style\b.*?</style>", " "), "(?s)<!--.*?-->|<[A-Za-z/!?][^>]*>", " ")
+    cleaned = unescape(F.when(F.contains(raw, F.lit("<")) & F.contains(raw, F.lit(">")), plain).otherwise(raw))
     return squeeze(F.regexp_replace(cleaned, r"(?U)\s+([,.!?;:])", "$1"))
 
 
@@ -48,6 +72,13 @@ def domain(url: Column) -> Column:
     return F.regexp_replace(F.lower(text(F.try_parse_url(url, F.lit("AUTHORITY")))), r"^www\.", "")
 
 
+def extractor(url: Column) -> Column:
+    """Which site's rules find the body of a page; '' for the general ones."""
+    host = F.lower(text(F.try_parse_url(url, F.lit("AUTHORITY"))))
+    return (F.when(F.contains(host, F.lit("lenta.ru")), "lenta").when(host.endswith("ria.ru") | F.contains(host, F.lit(".ria.ru")), "ria")
+            .when(host.endswith("tass.ru") | F.contains(host, F.lit(".tass.ru")), "tass").otherwise(""))
+
+
 def body_status(body: Column, link: Column, rss: Column, html: Column, extracted: Column, least: int = 400) -> Column:
     """State of an enriched record, from what was there and what was fetched."""
     return (
@@ -124,6 +155,14 @@ def language(c: Column) -> Column:
     )
 
 
+def coarse_language(c: Column, known: Column) -> Column:
+    """A known ru or en, or else the script of which there are 20 letters and twice the other's."""
+    given, t = F.lower(strip(text(known))), text(c)
+    cyr, lat = F.length(F.regexp_replace(t, "[^А-яЁё]", "")), F.length(F.regexp_replace(t, "[^A-z]", ""))
+    at_least = lambda a, b: a >= F.greatest(F.lit(20), 2 * b)
+    return F.when(given.isin("ru", "en"), given).when(at_least(cyr, lat), "ru").when(at_least(lat, cyr), "en").otherwise("unknown")
+
+
 def language_reason(c: Column, lang: Column) -> Column:
     """Why a language is unknown."""
     t = strip(text(c))
@@ -136,6 +175,12 @@ def telegram_title(c: Column, missing: str = "Telegram post") -> Column:
     return F.when(first.isNull(), missing).when(F.length(first) > 120, F.concat(F.rtrim(F.substring(first, 1, 120)), F.lit("…"))).otherwise(first)
 
 
+def report_key(start: str, end: str, hours: int) -> str:
+    """The one key of a window's report, so that a repeated run overwrites it."""
+    part = lambda t: "".join(c for c in t.strip().replace(" ", "T") if c.isdigit() or c in "T-")
+    return f"reports/daily/last_hours={hours}/dt_from={part(start)}/dt_to={part(end)}/report.md"
+
+
 def slug(c: Column) -> Column:
     return F.regexp_replace(F.lower(strip(text(c))), r"[^a-z0-9._-]+", "-")
 
@@ -197,34 +242,96 @@ def canon_orgs(c: Column) -> Column:
     return _each(c, one)
 
 
+_CAPITALISED = "(?:[А-ЯЁ][а-яё]+|[A-Z][a-z]+)"
+
+
+def _folded(c: Column) -> Column:
+    return F.replace(F.lower(c), F.lit("ё"), F.lit("е"))
+
+
+def first_of_each(names: Column) -> Column:
+    """The names in order, of those that agree but for case and ё the first."""
+    same = lambda ns: once(F.transform(ns, _folded), lambda ks: F.filter(ns, lambda _, i: F.array_position(ks, F.get(ks, i)) == i + 1))
+    return once(names, same)
+
+
+def entity_name(c: Column) -> Column:
+    """A name without marks, ё as е."""
+    return squeeze(F.regexp_replace(F.translate(text(c), "ёЁ", "еЕ"), "[^0-9A-Za-zА-Яа-яЁё\\- ]+", " "))
+
+
 def capitalised(c: Column, most: int = 10) -> Column:
-    """Runs of one to three capitalised words, each once, without sentence noise."""
-    found = F.regexp_extract_all(text(c), F.lit(r"\b[A-ZА-ЯЁ][A-Za-zА-Яа-яЁё-]{2,}(?: [A-ZА-ЯЁ][A-Za-zА-Яа-яЁё-]{2,}){0,2}"), F.lit(0))
-    return F.slice(F.array_distinct(F.filter(found, lambda x: ~F.lower(x).isin(*K.GENERIC_SINGLE, *K.STOP_EN, *K.STOP_RU))), 1, most)
+    """Runs of one to three capitalised words, once each, without titles and sentence starts."""
+    found = F.regexp_extract_all(text(c), F.lit(rf"(?U)\b{_CAPITALISED}(?:\s+{_CAPITALISED}){{0,2}}\b"), F.lit(0))
+    names = F.filter(F.transform(found, entity_name), lambda x: (x != "") & ~F.lower(x).isin(*K.ENTITY_SINGLE)
+                     & ~_folded(F.split_part(x, F.lit(" "), F.lit(1))).isin(*K.ENTITY_BAD_START))
+    return F.slice(first_of_each(names), 1, most)
+
+
+def entities(c: Column, tagger=None, most: int = 10) -> Column:
+    """struct(persons, orgs, geo): what a tagger finds, and capitalised runs as persons.
+
+    ``tagger`` takes the text to a struct of three arrays of names; without one
+    all runs count as persons.
+    """
+    runs = capitalised(c, most)
+    if tagger is None:
+        none = F.array().cast("array<string>")
+        return F.struct(runs.alias("persons"), none.alias("orgs"), none.alias("geo"))
+    clean = lambda names: F.slice(first_of_each(F.filter(F.transform(names, entity_name), lambda x: (F.length(x) >= 2) & ~F.lower(x).isin(*K.ENTITY_SINGLE))), 1, most)
+    found = tagger(c)
+    persons = once(clean(found["persons"]), lambda ps: F.when(F.size(ps) > 0, F.slice(first_of_each(F.concat(ps, runs)), 1, most)).otherwise(runs))
+    return F.struct(persons.alias("persons"), clean(found["orgs"]).alias("orgs"), clean(found["geo"]).alias("geo"))
+
+
+def without_lone_surnames(c: Column) -> Column:
+    """A ';' list of persons without lone surnames that a full name of the list has, in either case form."""
+    base = lambda x: once(_folded(x), lambda l: F.when((F.length(l) > 2) & l.rlike("[ая]$"), F.regexp_replace(l, "[ая]$", "")).otherwise(l))  # noqa: E731, E741
+    names = F.array_distinct(F.filter(F.transform(F.split(text(c), ";"), strip), lambda x: x != ""))
+
+    def kept(ns: Column) -> Column:
+        full = F.transform(F.filter(ns, lambda n: F.contains(n, F.lit(" "))), lambda n: F.element_at(F.split(n, " "), -1))
+        lasts = F.concat(full, F.transform(full, base))
+        return once(lasts, lambda ls: F.filter(ns, lambda n: F.contains(n, F.lit(" ")) | ~(F.array_contains(ls, n) | F.array_contains(ls, base(n)))))
+
+    return F.array_join(once(names, kept), ";")
 
 
 # ---- key phrases and sentiment ----------------------------------------------
 
-def keyphrases(c: Column, lang: Column, most: int = 30, longest: int = 3) -> Column:
+def keyphrases(c: Column, lang: Column, most: int = 30, longest: int = 3, lemma=None, domain: list[str] | None = None) -> Column:
     """Phrases of one to three words without stop words.
 
     A phrase inside a longer one is left out; the longest come first, then by
     alphabet.  Frequency plays no part in the order, so nothing is counted.
+    ``lemma`` takes a word to its base form; ``domain`` adds Russian stop words.
     """
     words = F.regexp_extract_all(F.lower(text(c)), F.lit("[A-Za-zА-Яа-яЁё-]+"), F.lit(0))
-    stops = lambda w: F.when(lang == "ru", w.isin(*K.STOP_RU)).when(lang == "en", w.isin(*K.STOP_EN)).otherwise(F.lit(False))
-    once = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    if lemma is not None:
+        words = F.transform(words, lambda w: F.when(lang == "ru", lemma(w)).otherwise(w))
+    listed = lang.isin("ru", "en")
+    stops = lambda w: F.when(lang == "ru", w.isin(*K.STOP_RU, *(domain or []))).when(lang == "en", w.isin(*K.STOP_EN)).otherwise(F.lit(False))
 
     def grams(ws: Column, n: int) -> Column:
-        at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(ws) - n, F.lit(0))), lambda i: i <= F.size(ws) - n)
-        return F.transform(at, lambda i: F.slice(ws, i + 1, n))
+        """Joined runs of n words; null where one is a stop word, all are short, or all only make noise."""
+        def one(w: Column, i: Column) -> Column:
+            own = [w, *[F.get(ws, i + k) for k in range(1, n)]]
+            noise = own[0].isin(*K.DOMAIN_TERMS)
+            for other in own[1:]:
+                noise = noise & other.isin(*K.DOMAIN_TERMS)
+            good = (F.greatest(*[F.length(x) for x in own]) if n > 1 else F.length(w)) > 2
+            joined = own[0]
+            for other in own[1:]:
+                joined = F.concat(joined, F.lit(" "), other)
+            return F.when(good & ~(noise & (listed if n > 1 else F.lit(True))), joined)
+
+        return F.transform(ws, one)
 
     def phrases(ws: Column) -> Column:
         # A stop word is null in place, so that no gram reaches across it.
         marked = F.transform(ws, lambda w: F.when(~stops(w), w))
-        all_grams = once(marked, lambda m: F.concat(*[grams(m, n) for n in range(1, longest + 1)]))
-        good = F.filter(all_grams, lambda g: ~F.exists(g, lambda w: w.isNull()) & F.exists(g, lambda w: F.length(w) > 2))
-        return F.filter(F.array_distinct(F.transform(good, lambda g: F.array_join(g, " "))), lambda p: ~p.isin(*K.GENERIC_SINGLE))
+        found = once(marked, lambda m: F.array_distinct(F.array_compact(F.concat(*[grams(m, n) for n in range(1, longest + 1)]))))
+        return F.filter(found, lambda p: ~p.isin(*K.GENERIC_SINGLE))
 
     return once(words, lambda ws: _longest_first(phrases(ws), most))
 
@@ -252,7 +359,6 @@ def lexicon_score(c: Column) -> Column:
     A hit counts the other way if one of the two words before it negates.
     """
     words = F.regexp_extract_all(F.lower(text(c)), F.lit("[а-яa-zё]+"), F.lit(0))
-    once = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
 
     def total(ws: Column) -> Column:
         negated = lambda i: F.coalesce(F.get(ws, i - 1).isin(*K.NEGATORS), F.lit(False)) | F.coalesce(F.get(ws, i - 2).isin(*K.NEGATORS), F.lit(False))
@@ -268,6 +374,33 @@ def sentiment_label(score: Column) -> Column:
     return F.when(score > 0.15, "pos").when(score < -0.15, "neg").when(score.isNotNull(), "neu").otherwise("")
 
 
+def sentiment(summary: Column, body: Column, telegram: Column | None = None, least_chars: int = 120, least_words: int = 8, least_confidence: float = 0.2) -> Column:
+    """struct(label, score, ok, source, input_len, confidence) of the summary, or else the text.
+
+    Short inputs have none.  The lexicon's confidence is the score's size, and a
+    tenth for neutral ones, so that neutral results are not accepted.  Where
+    ``telegram`` holds, only a trained model would do, and there is none.
+    """
+    base = sentiment_input(summary, body)
+    source = F.when(strip(text(summary)) != "", "summary").when(base != "", "text").otherwise("empty")
+    words = F.size(F.regexp_extract_all(F.lower(base), F.lit("[а-яa-zё]+"), F.lit(0)))
+    short = (F.length(squeeze(base)) < least_chars) | (words < least_words)
+    forced = F.lit(False) if telegram is None else F.coalesce(telegram, F.lit(False))
+
+    def judged(score: Column) -> Column:
+        label = sentiment_label(score)
+        confidence = F.when(label == "neu", 0.1).otherwise(F.least(F.lit(1.0), F.abs(score)))
+        value = F.when(label == "neu", 0.0).otherwise(score)
+        counts = ~short & ~forced
+        ok = F.coalesce(counts & (confidence >= least_confidence), F.lit(False))
+        why = F.when(base == "", source).when(short, "empty").when(forced, "transformers_missing").otherwise("lexicon")
+        return F.struct(
+            F.when(ok, label).otherwise("").alias("label"), F.when(ok, value).alias("score"), ok.cast("int").alias("ok"), why.alias("source"),
+            F.length(base).alias("input_len"), F.when(counts & (base != ""), confidence).alias("confidence"))
+
+    return once(lexicon_score(base), judged)
+
+
 def sentiment_input(summary: Column, body: Column, least: int = 120, most: int = 1500) -> Column:
     """The summary, or else a long enough text, cut to ``most`` characters."""
     s, b = strip(text(summary)), strip(text(body))

@@ -18,13 +18,16 @@ def _desc(names) -> list[Column]:
 def best_rows(df: DataFrame, key: str, score: list[str], skip_null: tuple[str, ...] = ()) -> DataFrame:
     """The row with the highest score of each key; ties by id, then object.
 
-    Columns in ``skip_null`` come from the best row that has them.
+    Each task keeps one row per key before the shuffle, so that a key with very
+    many rows, like the empty one, costs a row per task.  Columns in
+    ``skip_null`` come from the best row that has them, by partial aggregation.
     """
     order = Window.partitionBy(key).orderBy(*_desc([*score, *TIES]))
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    best = df.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
     for name in skip_null:
-        df = df.withColumn(name, F.first(name, ignorenulls=True).over(whole))
-    return df.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+        known = df.where(F.col(name).isNotNull()).groupBy(key).agg(F.max_by(name, F.struct(*score, *TIES)).alias(name))
+        best = best.drop(name).join(known, key, "left")
+    return best
 
 
 def _measured(articles: DataFrame, body: int) -> DataFrame:
@@ -73,25 +76,29 @@ def by_length(articles: DataFrame) -> DataFrame:
     return best.join(maxima, "dedup_key")
 
 
+def batch_dedup_key() -> Column:
+    """The source and link, or the source, title and time of a row without a link."""
+    link = F.trim(text("link"))
+    return F.when(link != "", F.concat_ws("|", text("source"), link)).otherwise(
+        F.concat_ws("|", text("source"), text("title"), F.coalesce(F.col("published_at").cast("string"), F.lit(""))))
+
+
 def within_batch(silver: DataFrame, order: str = "id") -> DataFrame:
     """One row per source and link, or per source, title and time without a link.
 
     Rows with a body come first, then longer, then newer ones; ``order`` breaks
     the remaining ties as the input's order would.
     """
-    link = F.trim(text("link"))
-    key = F.when(link != "", F.concat_ws("|", text("source"), link)).otherwise(
-        F.concat_ws("|", text("source"), text("title"), F.coalesce(F.col("published_at").cast("string"), F.lit(""))))
     size = F.length(text("clean_text"))
     best = Window.partitionBy("_key").orderBy((size > 0).desc(), size.desc(), F.col("published_at").desc_nulls_last(), order)
-    return silver.withColumn("_key", key).withColumn("_rank", F.row_number().over(best)).where("_rank = 1").drop("_key", "_rank")
+    return silver.withColumn("_key", batch_dedup_key()).withColumn("_rank", F.row_number().over(best)).where("_rank = 1").drop("_key", "_rank")
 
 
 def latest_coverage(coverage: DataFrame) -> DataFrame:
     """The last run of each source; publication times from the last run that has them."""
     key = ["source_type", "source"]
     order = Window.partitionBy(*key).orderBy(F.col("run_finished_at").desc(), F.col("batch_id").desc())
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    for name in ("min_published_at", "max_published_at"):
-        coverage = coverage.withColumn(name, F.first(name, ignorenulls=True).over(whole))
-    return coverage.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+    last = coverage.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank", "min_published_at", "max_published_at")
+    at = F.struct("run_finished_at", "batch_id")
+    known = coverage.groupBy(*key).agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), at)).alias(n) for n in ("min_published_at", "max_published_at")])
+    return last.join(known, key)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presswell.functions import records as R
 from presswell.functions.compat import items, text
 from presswell.operators import dedup
-from presswell.operators.summary import summary
+from presswell.operators.summary import VerbHook, no_verbs, persons_actions, summary
 from presswell.operators.terms import canon_persons, tfidf_keywords
 
 
@@ -24,21 +26,36 @@ def silver(raw: DataFrame) -> DataFrame:
     })
 
 
-def gold(found: DataFrame, published: bool = True) -> DataFrame:
-    """Silver rows once each, of sufficient quality, with metrics and NLP columns."""
+def gold(
+    found: DataFrame, published: bool = True, verbs: VerbHook = no_verbs, tagger=None, lemma=None, keep: Callable[[DataFrame], DataFrame] = lambda df: df,
+) -> DataFrame:
+    """Silver rows once each, of sufficient quality, with metrics and NLP columns.
+
+    Rows keep their identity by what they are de-duplicated by, as ids may
+    repeat.  ``keep`` may write the rows that all later steps read, so that the
+    steps before run once.  ``verbs``, ``tagger`` and ``lemma`` are hooks.
+    """
     rows = found.withColumn("published_at", R.published_at(F.col("published_at"))) if published else found
     uid = F.col("uid") if "uid" in rows.columns else F.lit("")
     rows = rows.withColumn("id", R.gold_id(F.col("id"), uid, F.col("link"), F.col("source"), F.col("title"), F.col("published_at")))
     rows = dedup.within_batch(rows).where(R.passes_quality(F.col("body_status"), F.col("clean_text")))
-    rows = rows.withColumn("nlp_text", F.trim(F.concat(text("title"), F.lit(". "), text("clean_text"))))
-    rows = rows.withColumn("lang", R.language(F.col("nlp_text")))
-    rows = rows.withColumns({"summary": summary("clean_text"), "entities_persons": F.array_join(R.capitalised(F.col("nlp_text")), "; ")})
-    rows = rows.join(tfidf_keywords(rows, "id", "nlp_text"), "id")
-    rows = rows.join(canon_persons(rows, "id", "entities_persons").withColumnRenamed("persons", "entities_persons_canon"), "id")
-    score = R.lexicon_score(R.sentiment_input(F.col("summary"), F.col("clean_text")))
-    return rows.withColumns({
-        "text_length_chars": F.length("clean_text").cast("long"), "num_sentences": F.size(R.sentences(F.col("clean_text"))).cast("long"),
-        "num_keywords": F.size(items("keywords")).cast("long"),
-        "keyphrases": R.merged_phrases(R.keyphrases(F.col("nlp_text"), F.col("lang")), F.col("keywords")),
-        "sentiment_score": F.when(F.abs(score) >= 0.2, score), "sentiment_label": F.when(F.abs(score) >= 0.2, R.sentiment_label(score)).otherwise(""),
-    })
+    rows = rows.withColumns({"_row": F.md5(dedup.batch_dedup_key()), "nlp_text": F.trim(F.concat(text("title"), F.lit(". "), text("clean_text")))})
+    rows = rows.withColumns({"_names": R.entities(F.col("nlp_text"), tagger), "lang": R.language(F.col("nlp_text")), "summary": summary("nlp_text")})
+    kinds = ("persons", "orgs", "geo")
+    rows = rows.withColumns({f"entities_{k}": F.array_join(F.col(f"_names.{k}"), "; ") for k in kinds} | {f"num_{k}": F.size(F.col(f"_names.{k}")) for k in kinds})
+    rows = keep(rows.drop("_names"))
+    rows = rows.join(tfidf_keywords(rows.select("_row", "nlp_text"), "_row", "nlp_text", lemma=lemma), "_row")
+    canon = canon_persons(rows.select("_row", "entities_persons"), "_row", "entities_persons").withColumnRenamed("persons", "entities_persons_canon")
+    rows = rows.join(canon, "_row").withColumns({
+        "entities_orgs_canon": R.canon_orgs(F.col("entities_orgs")), "entities_geo_canon": R.canon_geo(F.col("entities_geo")),
+        "_persons": R.without_lone_surnames(F.col("entities_persons_canon"))})
+    rows = rows.join(persons_actions(rows.select("_row", "nlp_text", "_persons"), "_row", "nlp_text", "_persons", verbs), "_row")
+    phrases = R.merged_phrases(R.keyphrases(F.col("nlp_text"), F.col("lang"), lemma=lemma), F.col("keywords"))
+    filled = F.trim("nlp_text") != ""
+    rows = rows.withColumns({
+        "persons": F.col("entities_persons_canon"), "geo": F.col("entities_geo_canon"),
+        "text_length_chars": F.length("nlp_text").cast("long"), "num_sentences": F.size(R.sentences(F.col("nlp_text"))).cast("long"),
+        "num_keywords": F.size(items("keywords")).cast("long"), "keyphrases": phrases, "keyphrases_ok": filled.cast("int"),
+        "_felt": R.sentiment(F.col("summary"), F.col("nlp_text"), F.col("source_type") == "telegram")})
+    rows = rows.withColumn("keyphrases_n", F.size(items("keyphrases")))
+    return rows.withColumns({f"sentiment_{n}": F.col(f"_felt.{n}") for n in ("label", "score", "ok", "source", "input_len", "confidence")}).drop("_row", "_persons", "_felt")

@@ -9,7 +9,7 @@ from presswell.functions.compat import text
 from presswell.functions.records import language_reason, source_type
 
 SILVER_COLUMNS = ("published_at", "title", "link", "source")
-GOLD_COLUMNS = ("id", "title", "link", "published_at", "source", "nlp_text", "summary", "keywords")
+GOLD_COLUMNS = ("id", "title", "link", "published_at", "source", "clean_text", "summary", "keywords")
 
 
 def missing_columns(df: DataFrame, required: tuple[str, ...]) -> list[str]:
@@ -21,6 +21,38 @@ def validate_silver(df: DataFrame) -> int:
     return 2 if missing_columns(df, SILVER_COLUMNS) else int(df.isEmpty())
 
 
+def validate_gold(df: DataFrame, min_rows: int = 1) -> tuple[int, dict[str, float]]:
+    """0 if valid, 1 if rows are too few or columns missing, and the shares of empty summaries and keywords."""
+    if missing_columns(df, GOLD_COLUMNS):
+        return 1, {}
+    found = df.agg(F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.avg((text(c) == "").cast("int")), F.lit(0.0)).alias(c) for c in ("summary", "keywords")]).first()
+    return int(found["rows"] < min_rows), {"empty_summary": found["summary"], "empty_keywords": found["keywords"]}
+
+
+def precheck_silver(df: DataFrame, rows: int = 20) -> bool:
+    """Whether any of the first ``rows`` has a title and a time of publication."""
+    if missing_columns(df, ("published_at", "title")):
+        return False
+    return not df.limit(rows).where("published_at IS NOT NULL AND title IS NOT NULL").isEmpty()
+
+
+def gold_non_empty(df: DataFrame) -> bool:
+    return not df.isEmpty()
+
+
+def missing_settings(found: dict[str, str], required: tuple[str, ...]) -> list[str]:
+    """The required settings that are absent or blank."""
+    return [n for n in required if not str(found.get(n) or "").strip()]
+
+
+def media_stats(posts: DataFrame) -> DataFrame:
+    """Posts, their lengths, and the shares with video and photo; one row."""
+    size = F.length(text("content"))
+    share = lambda c: F.round(100 * F.avg(F.coalesce(F.col(c), F.lit(False)).cast("int")), 1)
+    return posts.agg(F.count(F.lit(1)).alias("posts"), F.floor(F.avg(size)).alias("avg_length"), F.min(size).cast("long").alias("min_length"), F.max(size).cast("long").alias("max_length"),
+                     share("has_video").alias("video_percent"), share("has_photo").alias("photo_percent"))
+
+
 def all_null_columns(df: DataFrame, columns: tuple[str, ...]) -> list[str]:
     """Columns without any value, in one pass."""
     counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
@@ -51,6 +83,11 @@ def nlp_coverage(df: DataFrame) -> DataFrame:
         ok(text("sentiment_label") != "").alias("sentiment"))
 
 
+def nlp_samples(df: DataFrame, rows: int = 5) -> DataFrame:
+    """A few rows for a reader of the coverage report, the newest first."""
+    return df.select("id", "source", "lang", "keyphrases", "sentiment_label", "published_at").orderBy(F.col("published_at").desc_nulls_last(), "id").limit(rows)
+
+
 def nlp_gate(df: DataFrame, lang: float = 0.9, keyphrases: float = 0.8, sentiment: float = 0.15) -> DataFrame:
     limits = {"lang": lang, "keyphrases": keyphrases, "sentiment": sentiment}
     rules = F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("value"), F.lit(v).alias("threshold"), (F.col(k) >= v).alias("passed")) for k, v in limits.items()])

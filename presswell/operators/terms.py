@@ -2,37 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from presswell.functions import constants as K
-from presswell.functions.compat import text
+from presswell.functions.compat import once, text
 from presswell.functions.records import _clean_name, _name_tokens, normalized, strip
 
 
-def terms_of(docs: DataFrame, key: str, column: str, longest: int = 3, stop: list[str] | None = None) -> DataFrame:
-    """(key, term, tf): counts of runs of one to ``longest`` kept words."""
-    stop = K.STOP_RU if stop is None else stop
-    words = F.filter(F.regexp_extract_all(F.lower(text(column)), F.lit("[A-Za-zА-Яа-яЁё]{2,}"), F.lit(0)), lambda w: ~w.isin(*stop))
-    listed = docs.select(key, words.alias("ws")).select(key, "ws", F.posexplode("ws").alias("i", "w"))
-    grams = F.explode(F.filter(F.array(*[
-        F.when(F.col("i") + n <= F.size("ws"), F.array_join(F.slice("ws", F.col("i") + 1, n), " ")) for n in range(1, longest + 1)]), lambda g: g.isNotNull()))
-    return listed.select(key, grams.alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+def terms_of(docs: DataFrame, key: str, column: str, longest: int = 3, stop: list[str] | None = None, lemma=None, keep=None) -> DataFrame:
+    """(key, term, tf): counts of runs of one to ``longest`` kept words.
+
+    Texts are dealt out by key, so that a text's runs are counted where they
+    are made.  ``lemma`` takes a word to its base form and ``keep`` tells which
+    words count, as a tagger of parts of speech would.
+    """
+    stop = [*K.STOP_TFIDF, *K.DOMAIN_WORDS] if stop is None else stop
+    words = F.regexp_extract_all(F.lower(text(column)), F.lit("[A-Za-zА-Яа-яЁё]{2,}"), F.lit(0))
+    if keep is not None:
+        words = F.filter(words, keep)
+    words = F.transform(words, lambda w: F.replace(lemma(w) if lemma else w, F.lit("ё"), F.lit("е")))
+    words = F.filter(words, lambda w: ~w.isin(*[w.replace("ё", "е") for w in stop]) & (F.length(w) >= 2))
+
+    def runs(ws: Column, n: int) -> Column:
+        joined = lambda w, i: F.concat(w, *[x for k in range(1, n) for x in (F.lit(" "), F.get(ws, i + k))])
+        return F.transform(ws, joined) if n > 1 else ws
+
+    grams = once(words, lambda ws: F.array_compact(F.concat(*[runs(ws, n) for n in range(1, longest + 1)])))
+    dealt = docs.select(key, column).repartition(key).select(key, F.explode(grams).alias("term"))
+    return dealt.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def tfidf_keywords(
-    docs: DataFrame, key: str, column: str, most: int = 8, max_df: float = 0.85, max_features: int = 50_000, least: int = 3, stop: list[str] | None = None
+    docs: DataFrame, key: str, column: str, most: int = 8, max_df: float = 0.85, max_features: int = 50_000, least: int = 3, stop: list[str] | None = None,
+    lemma=None, keep=None,
 ) -> DataFrame:
     """(key, keywords): the best terms of each document, longest first.
 
     Weights are tf * (ln((1 + n) / (1 + df)) + 1), normalised to length 1 per
     document.  Terms in more than ``max_df`` of at least five documents are
     left out, then the ``max_features`` most frequent are kept.  Of the best
-    ``most`` terms those inside another one are dropped.  Under three
-    documents, frequency alone ranks the single words.
+    ``most`` terms those that only make noise, and those inside another one,
+    are dropped.  Under three documents, frequency alone ranks the single words.
     """
     n = docs.count()
-    counted = terms_of(docs, key, column, 3 if n >= 3 else 1, stop)
+    counted = terms_of(docs, key, column, 3 if n >= 3 else 1, stop, lemma, keep)
     if n >= 3:
         seen = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
         seen = seen.where(F.col("df") <= (n if n < 5 else max_df * n))
@@ -44,7 +58,7 @@ def tfidf_keywords(
     whole = Window.partitionBy(key)
     scaled = counted.withColumn("weight", F.round(F.col("weight") / F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(whole)), 9))
     best = Window.partitionBy(key).orderBy(F.col("weight").desc(), "term")
-    top = scaled.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).where(F.length("term") >= least)
+    top = scaled.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).where((F.length("term") >= least) & ~_noise(F.col("term")))
     ranked = top.groupBy(key).agg(F.collect_list(F.struct(
         (-F.size(F.split("term", " "))).alias("words"), (-F.length("term")).alias("size"), "rank", "term")).alias("ts"))
     listed = F.transform(F.array_sort("ts"), lambda t: t["term"])
@@ -54,11 +68,23 @@ def tfidf_keywords(
     return docs.select(key).join(found, key, "left").select(key, text("keywords").alias("keywords"))
 
 
-def tf_df(docs: DataFrame, *keys: str, min_chars: int = K.MIN_CLEAN_CHARS) -> DataFrame:
+def _noise(term: Column) -> Column:
+    """Whether a term is a news word, has one, or begins or ends with a stop word."""
+    words, stops = F.split(term, " "), [w.replace("ё", "е") for w in K.STOP_TFIDF]
+    return (
+        term.isin(*K.DOMAIN_TERMS) | term.startswith("слово ") | F.element_at(words, 1).isin(*stops) | F.element_at(words, -1).isin(*stops)
+        | F.arrays_overlap(words, F.array(*[F.lit(w.replace("ё", "е")) for w in K.DOMAIN_WORDS]))
+    )
+
+
+def tf_df(docs: DataFrame, *keys: str, min_chars: int = K.MIN_CLEAN_CHARS, most_docs: int | None = None, order: str = "clean_text") -> DataFrame:
     """(*keys, term, tf, df, df_ratio) from rows of (*keys, clean_text).
 
-    Texts under ``min_chars`` and texts without tokens do not count.
+    Texts under ``min_chars`` and texts without tokens do not count.  With
+    ``most_docs`` only so many documents by ``order`` are looked at.
     """
+    if most_docs is not None:
+        docs = docs.orderBy(order).limit(most_docs)
     words = F.filter(F.regexp_extract_all(normalized(F.col("clean_text")), F.lit("[a-zа-я]+"), F.lit(0)), lambda w: (F.length(w) >= 2) | w.isin(*K.ONE_LETTER_TOKENS))
     rows = docs.where(F.length(text("clean_text")) >= min_chars).select(*keys, words.alias("ws")).where(F.size("ws") > 0)
     counts = rows.withColumn("doc", F.monotonically_increasing_id()).select(*keys, "doc", F.explode("ws").alias("term"))
@@ -96,15 +122,21 @@ def domain_terms(stats: DataFrame, lang: str, hi: float = 0.15, lo: float = 0.08
     have it.  Stop words and terms common elsewhere are left out.
     """
     rss = stats.where((F.col("source_type") == "rss") & (F.col("lang") == lang)).select("source", "term", "tf", "df_ratio")
-    other = rss.select(F.col("source").alias("other"), "term", F.col("tf").alias("tf_o"), F.col("df_ratio").alias("ratio_o"))
-    pairs = rss.join(other, "term")
-    elsewhere = F.col("other") != F.col("source")
-    found = pairs.groupBy("source", "term").agg(
-        F.max(F.when(~elsewhere, F.col("tf"))).alias("tf_hi"), F.max(F.when(~elsewhere, F.col("df_ratio"))).alias("df_ratio_hi"),
-        F.coalesce(F.sum(F.when(elsewhere, F.col("tf_o"))), F.lit(0)).alias("tf_lo"),
-        F.coalesce(F.percentile(F.when(elsewhere, F.col("ratio_o")), 0.95), F.lit(0.0)).alias("df_ratio_lo"))
-    kept = found.where((F.col("df_ratio_hi") >= hi) & (F.col("df_ratio_lo") <= lo) & (F.col("tf_hi") >= tf)
-                       & ~((F.col("df_ratio_lo") >= common) & (F.col("tf_lo") >= common_tf)) & ~F.lower("term").isin(*(K.STOP_RU if stop is None else stop)))
+    stops = K.STOP_RU if stop is None else stop
+    own = rss.where((F.col("df_ratio") >= hi) & (F.col("tf") >= tf) & ~F.lower("term").isin(*stops))
+    # One row per term that is typical of any source, with the ratios of all sources in order.
+    wide = rss.join(own.select("term").distinct(), "term", "left_semi").groupBy("term").agg(
+        F.sum("tf").alias("tf_all"), F.sort_array(F.collect_list("df_ratio")).alias("ratios"))
+    at = F.array_position("ratios", F.col("df_ratio")) - 1
+    rest = F.size("ratios") - 1
+    # The k-th ratio of the others: from the own entry on, the one after.
+    other = lambda k: F.get("ratios", F.when(k >= at, k + 1).otherwise(k).cast("int"))
+    place = (rest - 1) * 0.95
+    below, above = F.floor(place), F.ceil(place)
+    ratio = F.when(rest > 0, other(below) + (other(above) - other(below)) * (place - below)).otherwise(0.0)
+    found = own.join(wide, "term").select(
+        "source", "term", F.col("tf").alias("tf_hi"), F.col("df_ratio").alias("df_ratio_hi"), (F.col("tf_all") - F.col("tf")).alias("tf_lo"), ratio.alias("df_ratio_lo"))
+    kept = found.where((F.col("df_ratio_lo") <= lo) & ~((F.col("df_ratio_lo") >= common) & (F.col("tf_lo") >= common_tf)))
     order = Window.partitionBy("source").orderBy(F.col("df_ratio_hi").desc(), F.col("tf_hi").desc(), "term")
     return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("rank")
 

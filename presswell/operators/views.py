@@ -231,9 +231,12 @@ def sentiment_state(d: DataFrame) -> DataFrame:
 
 
 def sentiment_merged(state: DataFrame) -> DataFrame:
-    """Partial states merged on read."""
-    return state.groupBy("ts_hour", "source", "lang").agg(
-        F.sum("cnt").alias("cnt"), (F.sum("score_sum") / F.sum("score_n")).alias("sentiment_avg"))
+    """Partial states merged on read; the median is the lower one of the merged sketch."""
+    some = state.groupBy("ts_hour", "source", "lang").agg(
+        F.sum("cnt").alias("cnt"), F.sum("score_n").alias("n"), F.sum("score_sum").alias("total"),
+        F.kll_merge_agg_double(F.when(F.col("score_n") > 0, F.col("score_sketch"))).alias("sketch"))
+    median = F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(0.5)))
+    return some.select("ts_hour", "source", "lang", "cnt", F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("sentiment_avg"), median.alias("sentiment_p50"))
 
 
 def events(d: DataFrame, column: str, name: str) -> DataFrame:
@@ -256,6 +259,12 @@ def coverage_status(latest: DataFrame, as_of: datetime) -> DataFrame:
     return latest.withColumn("is_stale", stale.cast("int")).withColumn("lag_minutes", F.when(~stale, minutes_between(F.col("max_published_at"), now)))
 
 
+def between(d: DataFrame, start: datetime, end: datetime) -> DataFrame:
+    """Rows from ``start`` on and before ``end``."""
+    at = lambda t: F.lit(t).cast("timestamp_ntz")
+    return d.where((F.col("published_at") >= at(start)) & (F.col("published_at") < at(end)))
+
+
 def report_window(d: DataFrame, hours: int) -> DataFrame:
     """Rows of the last hours before the newest row."""
     newest_at = d.agg(F.max("published_at"))

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from presswell.functions import constants as K
 from presswell.functions import records as R
 from presswell.functions.compat import items
-from presswell.operators import dedup, quality, summary, terms
+from presswell.operators import dedup, etl, quality, summary, terms
 from presswell.plans.registry import ORACLES, QUERIES
 from presswell.plans.warehouse import _a, _d, current
 from presswell.plans.warehouse_oracles import _ARTICLES, _DEDUP
+from presswell.schemas import ARTICLES, align
 from presswell.sources import adapter, sinks
+from presswell.sources.shared import materialize, shared_dir
 from presswell.streaming import rollups
 
 
@@ -51,8 +53,7 @@ def _body(pages: DataFrame) -> DataFrame:
     found = pages.withColumns({
         "body": F.when(n % 11 == 0, F.col("url")), "link": F.when(n % 7 == 0, "").otherwise(F.col("url")),
         "rss": F.when(n % 14 == 0, F.col("html")).otherwise(""), "page": F.when(n % 5 != 0, F.col("html"))})
-    parsed = F.array_join(F.regexp_extract_all(F.coalesce("page", F.lit("")), F.lit("<p>([^<]*)</p>"), F.lit(1)), "\n")
-    return found.withColumn("parsed", parsed).select("page_id", F.length("parsed").cast("long").alias("parsed_chars"),
+    return found.withColumn("parsed", R.paragraphs(F.col("page"))).select("page_id", F.length("parsed").cast("long").alias("parsed_chars"),
                                                       R.body_status(F.col("body"), F.col("link"), F.col("rss"), F.col("page"), F.col("parsed")).alias("body_status"))
 
 
@@ -86,19 +87,78 @@ def _idempotent(spark: SparkSession, d: str) -> DataFrame:
     return sinks.new_objects(adapter.articles(spark, d), adapter.load_log(spark)).select("id", "ingest_object_name", "batch_id")
 
 
-def _streamed(spark: SparkSession, d: str) -> DataFrame:
-    """Hourly article counts by streaming the batches of the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/presswell"
-    root = f"{root}/rollup-{uuid.uuid4().hex}"
-    current(spark, d).withColumn("uid", F.lit("")).write.parquet(f"{root}/gold")
-    rollups.append_partials(spark, f"{root}/gold", f"{root}/out", f"{root}/state")
-    return rollups.merged(spark.read.parquet(f"{root}/out/articles"), "articles")
+def _streamed(name: str):
+    """A rollup kept while three files of articles arrive, which share keys."""
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        root = f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}"
+        align(adapter.articles(spark, d), ARTICLES).repartition(3, "id").write.parquet(f"{root}/gold")
+        rollups.maintain(spark, f"{root}/gold", f"{root}/out", f"{root}/state", (name,), files=1)
+        return rollups.maintained(spark, f"{root}/out", name)
+
+    return run
+
+
+def _gold(spark: SparkSession, d: str) -> DataFrame:
+    """Raw to gold over documents, of which two share an id, with the columns that SQL can follow."""
+    docs, n = _table(spark, d, "documents"), F.col("doc_id")
+    raw = docs.select(
+        F.concat(F.lit("r"), F.floor(n / 2).cast("string")).alias("id"), F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 80).alias("title"),
+        F.when(n % 10 == 0, "").otherwise(F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/"), F.md5("text"))).alias("link"), F.lit("").alias("source"),
+        F.when(n % 10 == 0, F.concat(F.lit("@"), F.col("source"))).otherwise("").alias("channel"),
+        F.date_format(F.expr("timestamp_ntz '2024-01-01 00:00:00' + doc_id * 97 * interval '1' second"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_at"),
+        F.col("text").alias("raw_text"), F.when(n % 17 == 0, "too_short").otherwise("ok").alias("body_status"))
+    found = etl.gold(etl.silver(raw), keep=lambda rows: materialize(rows, "gold-rows"))
+    return found.select("id", "link", "source", "source_type", "published_at", "lang", F.length("clean_text").cast("long").alias("clean_chars"), "text_length_chars",
+                        "keyphrases_ok", "sentiment_ok", F.size(items("entities_orgs")).alias("orgs"))
+
+
+def _sentiment(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("doc_id")
+    docs = _table(spark, d, "documents").select("doc_id", F.when(n % 2 == 0, F.substring("text", 1, 300)).otherwise("").alias("summary"), "text", (n % 5 == 0).alias("telegram"))
+    cases = spark.createDataFrame([(i, "", t, False) for i, t, *_ in FELT], "doc_id bigint, summary string, text string, telegram boolean")
+    felt = R.sentiment(F.col("summary"), F.col("text"), F.col("telegram"))
+    return docs.union(cases).select("doc_id", felt.alias("f")).select("doc_id", "f.label", F.round("f.score", 6).alias("score"), "f.ok", "f.source", "f.input_len", F.round("f.confidence", 6).alias("confidence"))
+
+
+def _surnames(spark: SparkSession, d: str) -> DataFrame:
+    p = F.split("entities_persons_canon", ";")
+    named = adapter.articles(spark, d).select("id", F.when(F.size(p) >= 3, F.concat(p[0], F.lit(" "), p[1], F.lit(";"), p[1], F.lit(";"), p[2])).otherwise("").alias("persons"))
+    return _with(named, "id", "persons", SURNAMES).select("id", R.without_lone_surnames(F.col("persons")).alias("persons"))
+
+
+def _with(df: DataFrame, key: str, column: str, cases: list[tuple]) -> DataFrame:
+    """Rows of (key, column), and those of the cases, whose results are known by hand."""
+    kind = dict(df.dtypes)[key]
+    return df.select(key, column).union(df.sparkSession.createDataFrame([c[:2] for c in cases], f"{key} {kind}, {column} string"))
+
+
+# Cases that the test tables lack: key, input, result.
+ORGS = [
+    ("x1", 'ООО "Ромашка"; АО Звезда', "ромашка;звезда"), ("x2", "Международный уголовный суд; МУС", "мус"), ("x3", "Министерство обороны РФ", "минобороны"),
+    ("x4", "Суд; Российский; Газета (издание)", ""), ("x5", "Концерн Альфа банк; Газета ru", "концерн альфа;газета.ru"),
+]
+GEO = [("x1", "РФ; Москва; Соединенные Штаты; России", "россия;москва;сша"), ("x2", "Евросоюз (ЕС); Орёл", "ес;орел")]
+PERSONS = [
+    ("x1", "Владимир Путин; Путина", "владимир путин"), ("x2", "Песков", "дмитрий песков"), ("x3", "Дмитрий Песков; Песков", "дмитрий песков"), ("x4", "Россия; Украинцы", ""),
+]
+SURNAMES = [("x1", "владимир кобылаш;кобылаша;песков", "владимир кобылаш;песков"), ("x2", "песков;кобылаш", "песков;кобылаш"), ("x3", "анна иванова;иванов", "анна иванова")]
+LEXICON = [
+    (-1, "отлично прекрасно классно супер", 1.0, "pos"), (-2, "Не отлично", -0.333333, "neg"), (-3, "кризис, убийство и взрыв", -1.0, "neg"),
+    (-4, "без кризис", 0.333333, "pos"), (-5, "дом", 0.0, "neu"), (-6, "не так уж плохо", -0.333333, "neg"), (-7, "123", None, ""),
+]
+FELT = [
+    (-1, "прекрасно отлично " + "слово " * 25, "pos", 0.666667, 1, "lexicon", 167, 0.666667), (-2, "ужасно " + "слово " * 25, "neg", -0.333333, 1, "lexicon", 156, 0.333333),
+    (-3, "слово " * 25, "", None, 0, "lexicon", 149, 0.1), (-4, "прекрасно", "", None, 0, "empty", 0, None),
+]
 
 
 def _pivot(spark: SparkSession, d: str) -> DataFrame:
     return terms.keyword_pivot(current(spark, d), ["that", "with", "nicht", "para"])
 
 
+#: The verbs that the hooks of the queries know.
+VERBS = ("that", "with", "from")
+
 QUERIES |= {
     "w02_batch_dedup": _a(lambda a: dedup.within_batch(a).select("id", "source", "link", "title", "published_at")),
     "p10_quality_filter": _a(lambda a: a.where(R.passes_quality(F.when(F.col("is_digest") == 1, " too_short ").otherwise("ok"), F.col("clean_text"))).select("id")),
@@ -113,15 +173,23 @@ QUERIES |= {
     "f17_normalized": _docs(lambda t: t.select("doc_id", R.normalized(F.col("text")).alias("normalized"))),
     "f19_detect_lang": _docs(lambda t: t.select("doc_id", R.language(F.col("text")).alias("detected"), R.language_reason(F.col("text"), R.language(F.col("text"))).alias("reason"))),
     "f22_capitalised": _docs(lambda t: t.select("doc_id", F.array_join(R.capitalised(F.col("text")), ";").alias("entities"))),
-    "f26_canon_orgs": _a(lambda a: a.select("id", R.canon_orgs(F.col("entities_orgs")).alias("orgs"))),
-    "f27_canon_geo": _a(lambda a: a.select("id", R.canon_geo(F.translate("entities_geo", "|", ";")).alias("geo"))),
+    "f26_canon_orgs": _a(lambda a: _with(a, "id", "entities_orgs", ORGS).select("id", R.canon_orgs(F.col("entities_orgs")).alias("orgs"))),
+    "f27_canon_geo": _a(lambda a: _with(a, "id", "entities_geo", GEO).select("id", R.canon_geo(F.translate("entities_geo", "|", ";")).alias("geo"))),
     "f28_keyphrases": _docs(lambda t: t.select("doc_id", F.array_join(R.keyphrases(F.col("text"), F.col("lang")), ";").alias("keyphrases"))),
-    "f32_lexicon_sentiment": _docs(lambda t: t.select("doc_id", R.lexicon_score(F.col("text")).alias("score"), R.sentiment_label(R.lexicon_score(F.col("text"))).alias("label"))),
+    "f32_lexicon_sentiment": _docs(lambda t: _with(t, "doc_id", "text", LEXICON).select("doc_id", R.lexicon_score(F.col("text")).alias("score")).select(
+        "doc_id", F.round("score", 6).alias("score"), R.sentiment_label(F.col("score")).alias("label"))),
+    "f33_sentiment": _sentiment,
+    "f20_coarse_language": _docs(lambda t: t.select("doc_id", R.coarse_language(F.col("text"), F.when(F.col("doc_id") % 4 == 0, "EN").when(F.col("doc_id") % 4 == 1, "de")).alias("lang"))),
+    "w08_lone_surnames": _surnames,
+    "f31_verbs_near": _a(lambda a: summary.actions_near(a.select("id", "clean_text", "entities_persons").distinct(), "id", "clean_text", "entities_persons", lambda w: F.when(w.isin(*VERBS), w))),
+    "n11_person_verbs": _a(lambda a: summary.person_verb_pairs(a, "clean_text", "entities_persons", summary.listed_verbs(*VERBS))),
+    "a26_media_stats": _docs(lambda t: quality.media_stats(t.select(F.col("text").alias("content"), (F.col("doc_id") % 3 == 0).alias("has_video"), (F.col("doc_id") % 4 == 0).alias("has_photo")))),
+    "gold": _gold,
     "f35_domain": _pages(lambda p: p.select("page_id", R.domain(F.col("url")).alias("domain"))),
     "f36_preview": _a(lambda a: a.select("id", R.preview(F.col("title"), F.col("summary"), F.col("clean_text")).alias("preview"))),
     "n01_tfidf_keywords": _docs(lambda t: terms.tfidf_keywords(t, "doc_id", "text")),
     "n03_summary": _docs(lambda t: t.select("doc_id", summary.summary("text").alias("summary"))),
-    "n04_persons_canon": _a(lambda a: terms.canon_persons(a, "id", "entities_persons")),
+    "n04_persons_canon": _a(lambda a: terms.canon_persons(_with(a, "id", "entities_persons", PERSONS), "id", "entities_persons")),
     "n05_tf_df": lambda s, d: _rounded(_by_lang(s, d)),
     "n05_tf_df_by_source": lambda s, d: _rounded(_mined(s, d)),
     "n06_candidates": lambda s, d: _rounded(terms.candidates(_by_lang(s, d))),
@@ -131,7 +199,7 @@ QUERIES |= {
     "n10_stopwords_final": lambda s, d: terms.final_list(
         s.createDataFrame([("The ",), ("# note",), ("of",)], "term string"), terms.auto_stopwords(_by_lang(s, d)), s.createDataFrame([("editor",)], "term string"),
         s.createDataFrame([("of",)], "term string")),
-    "f30_persons_actions": _a(lambda a: summary.persons_actions(a, "id", "clean_text", "entities_persons", summary.listed_verbs("that", "with", "from"))),
+    "f30_persons_actions": _a(lambda a: summary.persons_actions(a, "id", "clean_text", "entities_persons", summary.listed_verbs(*VERBS))),
     "q03_gold_gate": _d(quality.gold_gate),
     "q04_nlp_gate": _d(quality.nlp_gate),
     "q08_nlp_coverage": _d(quality.nlp_coverage),
@@ -140,10 +208,21 @@ QUERIES |= {
     "a25_keyword_pivot": _pivot,
     "r10_list_sizes": _d(lambda d: d.select("id", F.size(items("keywords")).cast("long").alias("keywords"), F.size(items("entities_geo", ";|")).cast("long").alias("places"))),
     "k04_idempotent_load": _idempotent,
-    "k14_streaming_rollup": _streamed,
+    "k14_streaming_rollup": _streamed("articles"),
+    "k14_streaming_keywords": _streamed("keywords"),
+    "k14_streaming_entities": _streamed("entities"),
+    "k14_streaming_sentiment": _streamed("sentiment"),
 }
 
 
+def _values(cases: list[tuple], *kinds: str) -> str:
+    """The results of cases, as rows of (key, result, ...)."""
+    shown = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+    rows = ", ".join(f"({', '.join(shown(v) for v in (c[0], *c[2:]))})" for c in cases)
+    names = [f"c{i}" for i in range(len(kinds))]
+    return f"SELECT {', '.join(f'{n}::{k}' for n, k in zip(names, kinds))} FROM (VALUES {rows}) AS t({', '.join(names)})"
+
+
 def _a_sql(sql: str) -> str:
     return f"WITH {_ARTICLES} {sql}"
 
@@ -152,10 +231,10 @@ def _d_sql(sql: str) -> str:
     return f"WITH {_ARTICLES}{_DEDUP} {sql}"
 
 
-_TAGS = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[\s\x{00A0}]+([,.!?;:])', '\1', 'g')"
+_TAGS = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '(?s)<!--.*?-->|<[A-Za-z/!?][^>]*>', ' ', 'g'), '[\s\x{00A0}]+([,.!?;:])', '\1', 'g')"
 _UNESCAPED = "{0}"
 for _from, _to in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&laquo;", "«"), ("&raquo;", "»"),
-                   ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&amp;", "&")):
+                   ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&copy;", "©"), ("&middot;", "·"), ("&bull;", "•"), ("&reg;", "®"), ("&eacute;", "é"), ("&amp;", "&")):
     _UNESCAPED = f"replace({_UNESCAPED}, '{_from}', '{_to}')"
 _TOKENS = r"""docs AS (SELECT row_number() OVER () AS rid, *, regexp_extract_all(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(lower(text), 'ё', 'е'),
   'https?://\S+|www\.\S+', ' ', 'g'), '@[\w_]+', ' ', 'g'), '#[\w_]+', ' ', 'g'), '\b(amp|utm_[a-z_]+|t\.me|telegram)\b', ' ', 'g'), '\s+', ' ', 'g')), '[a-zа-я]+') AS ws,
@@ -169,6 +248,8 @@ by_source AS (SELECT source, source_type, lang, w AS term, count(*) AS tf, count
 _AUTO = "SELECT lang, term, tf, df, df_ratio FROM by_lang WHERE df_ratio >= 0.6 AND length(term) BETWEEN 2 AND 20 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY df_ratio DESC, df DESC, term) <= 600"
 _STOP_RU = "(" + ", ".join(f"'{w}'" for w in terms.K.STOP_RU) + ")"
 _STOP_EN = "(" + ", ".join(f"'{w}'" for w in terms.K.STOP_EN) + ")"
+_STOP_TERMS = "(" + ", ".join(f"'{w.replace('ё', 'е')}'" for w in (*K.STOP_TFIDF, *K.DOMAIN_WORDS)) + ")"
+_DOMAIN = "(" + ", ".join(f"'{w}'" for w in K.DOMAIN_TERMS) + ")"
 _GENERIC = "(" + ", ".join(f"'{w}'" for w in terms.K.GENERIC_SINGLE) + ")"
 _COUNTED = """SELECT CASE WHEN lower(source) LIKE 'telegram:%' THEN 'telegram' WHEN lower(source) LIKE 'rss:%' THEN 'rss' ELSE 'other' END AS source_type, count(*) AS rows,
   round(avg((lang NOT IN ('', 'unknown'))::INT), 6) AS lang, round(avg((keyphrases <> '')::INT), 6) AS keyphrases, round(avg((sentiment_label <> '')::INT), 6) AS sentiment FROM d GROUP BY 1"""
@@ -179,11 +260,6 @@ ORACLES |= {
       ORDER BY (clean_len > 0) DESC, clean_len DESC, published_at DESC, id) = 1"""),
     "p10_quality_filter": _a_sql("SELECT id FROM articles WHERE is_digest = 0 AND clean_len >= 400"),
     "f01_clean_html": f"SELECT page_id, trim(regexp_replace(regexp_replace({_UNESCAPED.format(_TAGS.replace('[\\s\\x{00A0}]+([,.!?;:])', '$^').replace("'\\1'", "''"))}, '\\s+([,.!?;:])', '\\1', 'g'), '\\s+', ' ', 'g')) AS clean_text FROM pages",
-    "f05_body_status": """WITH p AS (SELECT page_id, CASE WHEN page_id % 5 <> 0 THEN html END AS page, page_id % 7 = 0 AS unlinked, page_id % 11 = 0 AS had,
-        CASE WHEN page_id % 14 = 0 THEN length(html) ELSE 0 END AS rss FROM pages),
-      q AS (SELECT *, array_to_string(regexp_extract_all(coalesce(page, ''), '<p>([^<]*)</p>', 1), chr(10)) AS parsed FROM p)
-      SELECT page_id, length(parsed) AS parsed_chars, CASE WHEN had THEN 'already_present' WHEN unlinked THEN CASE WHEN rss >= 400 THEN 'ok_rss' ELSE 'no_link' END
-        WHEN page IS NULL THEN 'fetch_failed' WHEN parsed = '' THEN 'parsed_empty' WHEN length(parsed) < 400 THEN 'too_short' ELSE 'ok' END AS body_status FROM q""",
     "f06_source_norm": """WITH s AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'telegram:' || source WHEN 1 THEN 'telegram:' || source WHEN 2 THEN 'rss:' || source || '.example.com'
         WHEN 3 THEN 'rss:' || source || '.example.org' ELSE 'plain name' END AS source_norm FROM documents)
       SELECT *, CASE WHEN source_norm LIKE 'telegram:%' THEN 'telegram' WHEN source_norm LIKE 'rss:%' THEN 'rss' ELSE 'other' END AS source_type FROM s""",
@@ -195,18 +271,25 @@ ORACLES |= {
         WHEN cyr >= 2 * lat THEN 'ru' WHEN lat >= 2 * cyr THEN 'en' ELSE 'unknown' END AS detected FROM n)
       SELECT doc_id, detected, CASE WHEN t = '' THEN 'empty' WHEN length(t) < 20 THEN 'short_text' WHEN detected = 'mixed' THEN 'mixed_script' WHEN detected = 'unknown' THEN 'unknown' ELSE 'ok' END AS reason FROM l""",
     "f28_keyphrases": f"""WITH t AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[A-Za-zА-Яа-яЁё-]+')) AS w, generate_subscripts(regexp_extract_all(lower(text), '[A-Za-zА-Яа-яЁё-]+'), 1) AS i FROM documents),
-      m AS (SELECT doc_id, i, CASE WHEN NOT coalesce((lang = 'en' AND w IN {_STOP_EN}) OR (lang = 'ru' AND w IN {_STOP_RU}), false) THEN w END AS w FROM t),
-      g AS (SELECT doc_id, w AS a, lead(w) OVER o AS b, lead(w, 2) OVER o AS c FROM m WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-      p AS (SELECT doc_id, a AS p FROM g WHERE length(a) > 2 UNION SELECT doc_id, a || ' ' || b FROM g WHERE a IS NOT NULL AND b IS NOT NULL AND greatest(length(a), length(b)) > 2
-        UNION SELECT doc_id, a || ' ' || b || ' ' || c FROM g WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND greatest(length(a), length(b), length(c)) > 2),
+      m AS (SELECT doc_id, lang, i, CASE WHEN NOT coalesce((lang = 'en' AND w IN {_STOP_EN}) OR (lang = 'ru' AND w IN {_STOP_RU}), false) THEN w END AS w FROM t),
+      g AS (SELECT doc_id, lang, w AS a, lead(w) OVER o AS b, lead(w, 2) OVER o AS c FROM m WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+      p AS (SELECT doc_id, a AS p FROM g WHERE length(a) > 2 AND a NOT IN {_DOMAIN}
+        UNION SELECT doc_id, a || ' ' || b FROM g WHERE a IS NOT NULL AND b IS NOT NULL AND greatest(length(a), length(b)) > 2 AND NOT coalesce(lang IN ('ru', 'en') AND a IN {_DOMAIN} AND b IN {_DOMAIN}, false)
+        UNION SELECT doc_id, a || ' ' || b || ' ' || c FROM g WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND greatest(length(a), length(b), length(c)) > 2
+          AND NOT coalesce(lang IN ('ru', 'en') AND a IN {_DOMAIN} AND b IN {_DOMAIN} AND c IN {_DOMAIN}, false)),
       k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(p) DESC, p) AS n FROM p WHERE p NOT IN {_GENERIC}),
       near AS (SELECT * FROM k WHERE n <= 600),
-      kept AS (SELECT a.doc_id, a.p, row_number() OVER (PARTITION BY a.doc_id ORDER BY a.n) AS r FROM near AS a
-        WHERE NOT EXISTS (SELECT 1 FROM near AS b WHERE b.doc_id = a.doc_id AND b.n < a.n AND length(b.p) > length(a.p) AND contains(b.p, a.p)))
+      first AS (SELECT a.doc_id, a.p, a.n FROM near AS a WHERE NOT EXISTS (SELECT 1 FROM near AS b WHERE b.doc_id = a.doc_id AND b.n < a.n AND length(b.p) > length(a.p) AND contains(b.p, a.p))),
+      -- The longest 600 settle a text if 30 of them remain; of the other texts all phrases are compared.
+      settled AS (SELECT doc_id FROM first GROUP BY doc_id HAVING count(*) >= 30),
+      rest AS (SELECT * FROM k WHERE doc_id NOT IN (SELECT doc_id FROM settled)),
+      found AS (SELECT * FROM first WHERE doc_id IN (SELECT doc_id FROM settled) UNION ALL
+        SELECT a.doc_id, a.p, a.n FROM rest AS a WHERE NOT EXISTS (SELECT 1 FROM rest AS b WHERE b.doc_id = a.doc_id AND b.n < a.n AND length(b.p) > length(a.p) AND contains(b.p, a.p))),
+      kept AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS r FROM found)
       SELECT d.doc_id, coalesce(string_agg(p, ';' ORDER BY r) FILTER (WHERE r <= 30), '') AS keyphrases FROM documents AS d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id""",
     "f35_domain": "SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\\.', '') AS domain FROM pages",
     "n01_tfidf_keywords": f"""WITH t AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-zА-Яа-яЁё]{{2,}}')) AS w,
-        generate_subscripts(regexp_extract_all(lower(text), '[A-Za-zА-Яа-яЁё]{{2,}}'), 1) AS i FROM documents) WHERE w NOT IN {_STOP_RU}),
+        generate_subscripts(regexp_extract_all(lower(text), '[A-Za-zА-Яа-яЁё]{{2,}}'), 1) AS i FROM documents) WHERE w NOT IN {_STOP_TERMS}),
       g AS (SELECT doc_id, w AS a, lead(w) OVER o AS b, lead(w, 2) OVER o AS c FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
       f AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, a AS term FROM g UNION ALL SELECT doc_id, a || ' ' || b FROM g WHERE b IS NOT NULL UNION ALL SELECT doc_id, a || ' ' || b || ' ' || c FROM g WHERE c IS NOT NULL) GROUP BY ALL),
       n AS (SELECT count(*) AS n FROM documents),
@@ -214,7 +297,7 @@ ORACLES |= {
       x AS (SELECT doc_id, term, tf * (ln((1 + n)::DOUBLE / (1 + df)) + 1) AS w FROM f JOIN v USING (term), n),
       y AS (SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 9) AS w FROM x),
       z AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, term) AS r FROM y),
-      best AS (SELECT *, len(string_split(term, ' ')) AS words FROM z WHERE r <= 8 AND length(term) >= 3),
+      best AS (SELECT *, len(string_split(term, ' ')) AS words FROM z WHERE r <= 8 AND length(term) >= 3 AND term NOT IN {_DOMAIN}),
       kept AS (SELECT * FROM best AS a WHERE NOT EXISTS (SELECT 1 FROM best AS b WHERE a.doc_id = b.doc_id AND a.term <> b.term AND contains(' ' || b.term || ' ', ' ' || a.term || ' ')))
       SELECT d.doc_id, coalesce(string_agg(term, '; ' ORDER BY words DESC, length(term) DESC, r), '') AS keywords FROM documents AS d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id""",
     "n05_tf_df": f"WITH {_TOKENS} SELECT lang, term, tf, df, round(df_ratio, 6) AS df_ratio FROM by_lang",
@@ -244,7 +327,7 @@ ORACLES |= {
       WHERE k IN ('that', 'with', 'nicht', 'para') GROUP BY 1"""),
     "r10_list_sizes": _d_sql("""SELECT id, len(list_filter(string_split(keywords, ';'), lambda x: trim(x) <> '')) AS keywords,
       len(list_filter(string_split_regex(entities_geo, '[;|]'), lambda x: trim(x) <> '')) AS places FROM d"""),
-    "k04_idempotent_load": _a_sql("SELECT id, ingest_object_name, batch_id FROM articles WHERE ingest_object_name IN ('gold_5.parquet', 'gold_6.parquet')"),
+    "k04_idempotent_load": _a_sql("SELECT id, ingest_object_name, batch_id FROM articles WHERE ingest_object_name IN ('gold_5.parquet', 'gold_6.parquet', 'gold_again.parquet')"),
     "k14_streaming_rollup": _d_sql("SELECT date_trunc('hour', published_at) AS ts_hour, source, lang, count(*) AS cnt FROM d GROUP BY ALL"),
 }
 
@@ -262,8 +345,17 @@ def _distinct_names(column: str, name: str) -> str:
     return _a_sql(f"SELECT id, array_to_string({_FIRST.format('names')}, ';') AS {name} FROM (SELECT id, {_names(column)} AS names FROM articles)")
 
 
-_PART = "regexp_replace(regexp_replace({0}, '(?is)<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g')"
+_PART = "regexp_replace(regexp_replace({0}, '(?is)<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'g'), '(?s)<!--.*?-->|<[A-Za-z/!?][^>]*>', ' ', 'g')"
 _CLEAN = f"trim(regexp_replace(regexp_replace({_UNESCAPED.format(_PART)}, '\\s+([,.!?;:])', '\\1', 'g'), '\\s+', ' ', 'g'))"
+_STRIPPED = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_SINGLE = "(" + ", ".join(f"'{w}'" for w in K.ENTITY_SINGLE) + ")"
+#: Verbs by article, sentence and person who is named in it.
+_ACTED = r"""s AS (SELECT id, ps, unnest(ss) AS s, generate_subscripts(ss, 1) AS pos FROM (SELECT DISTINCT id,
+    list_filter(list_transform(string_split(lower(entities_persons), ';'), lambda x: trim(x)), lambda x: x <> '') AS ps,
+    string_split(regexp_replace(lower(trim(clean_text)), '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM articles)),
+  h AS (SELECT id, pos, person, unnest(vs) AS verb, generate_subscripts(vs, 1) AS i FROM (
+    SELECT id, pos, person, list_filter(regexp_extract_all(s, '[а-яёa-z]+'), lambda w: w IN ('that', 'with', 'from')) AS vs
+    FROM (SELECT id, pos, s, unnest(ps) AS person FROM s) WHERE contains(s, person) OR contains(s, string_split(person, ' ')[-1])))"""
 _NORMALIZED = _TOKENS.split("regexp_extract_all(", 1)[1].split(", '[a-zа-я]+')", 1)[0]
 
 ORACLES |= {
@@ -272,14 +364,68 @@ ORACLES |= {
     "f13_text_metrics": f"""SELECT doc_id, length(text) AS chars, len(list_filter(string_split(regexp_replace(trim({_SPACES.format('text')}), '([.!?]) +([A-ZА-ЯЁ0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)),
       lambda s: trim(s) <> '')) AS sentences, len(regexp_extract_all(lower(text), '[A-Za-zА-Яа-яЁё]{{2,}}')) AS tokens FROM documents""",
     "f17_normalized": f"SELECT doc_id, {_NORMALIZED} AS normalized FROM documents",
-    "f26_canon_orgs": _distinct_names("entities_orgs", "orgs"),
-    "f27_canon_geo": _distinct_names("entities_geo", "geo"),
-    "f32_lexicon_sentiment": """SELECT doc_id, CASE WHEN regexp_matches(lower(text), '[а-яa-zё]') THEN 0.0::DOUBLE END AS score,
-      CASE WHEN regexp_matches(lower(text), '[а-яa-zё]') THEN 'neu' ELSE '' END AS label FROM documents""",
+    "f05_body_status": f"""WITH p AS (SELECT page_id, CASE WHEN page_id % 5 <> 0 THEN html END AS page, page_id % 7 = 0 AS unlinked, page_id % 11 = 0 AS had,
+        CASE WHEN page_id % 14 = 0 THEN length(html) ELSE 0 END AS rss FROM pages),
+      q AS (SELECT *, coalesce(array_to_string(list_filter(list_transform(regexp_extract_all(page, '(?is)<p(?:\\s[^>]*)?>(.*?)</p>', 1), lambda p: {_CLEAN.format('p')}), lambda p: length(p) >= 60), chr(10)), '') AS parsed FROM p)
+      SELECT page_id, length(parsed) AS parsed_chars, CASE WHEN had THEN 'already_present' WHEN unlinked THEN CASE WHEN rss >= 400 THEN 'ok_rss' ELSE 'no_link' END
+        WHEN page IS NULL THEN 'fetch_failed' WHEN parsed = '' THEN 'parsed_empty' WHEN length(parsed) < 400 THEN 'too_short' ELSE 'ok' END AS body_status FROM q""",
+    "f20_coarse_language": """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'en' WHEN cyr >= greatest(20, 2 * lat) THEN 'ru' WHEN lat >= greatest(20, 2 * cyr) THEN 'en' ELSE 'unknown' END AS lang
+      FROM (SELECT doc_id, len(regexp_extract_all(text, '[А-яЁё]')) AS cyr, len(regexp_extract_all(text, '[A-z]')) AS lat FROM documents)""",
+    # Letters beyond ASCII are made to count as word characters.
+    "f22_capitalised": rf"""WITH c AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F\p{{P}}\p{{S}}\p{{Z}}]', '_', 'g'),
+        '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){{0,2}}\b'), lambda x: regexp_replace(x, '\s+', ' ', 'g')), lambda x: lower(x) NOT IN {_SINGLE}) AS names FROM documents)
+      SELECT doc_id, array_to_string((list_filter(names, lambda x, i: list_position(list_transform(names, lambda y: lower(y)), lower(x)) = i))[1:10], ';') AS entities FROM c""",
+    "f26_canon_orgs": f"{_distinct_names('entities_orgs', 'orgs')} UNION ALL {_values(ORGS, 'VARCHAR', 'VARCHAR')}",
+    "f27_canon_geo": f"{_distinct_names('entities_geo', 'geo')} UNION ALL {_values(GEO, 'VARCHAR', 'VARCHAR')}",
+    "f30_persons_actions": f"""WITH {_ARTICLES}, {_ACTED},
+      n AS (SELECT id, person, verb, count(*) AS n, min(pos * 1000000 + i) AS f FROM h GROUP BY ALL),
+      r AS (SELECT *, row_number() OVER (PARTITION BY id, person ORDER BY n DESC, f, verb) AS r FROM n),
+      p AS (SELECT id, person || ':' || string_agg(verb, ',' ORDER BY r) AS packed FROM r WHERE r <= 10 GROUP BY id, person),
+      o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, f, verb) AS r FROM (SELECT id, verb, count(*) AS n, min(pos * 1000000 + i) AS f FROM h GROUP BY ALL)),
+      x AS (SELECT id, string_agg(packed, '|' ORDER BY packed) AS persons_actions FROM p GROUP BY id), y AS (SELECT id, string_agg(verb, ';' ORDER BY r) AS actions_verbs FROM o WHERE r <= 15 GROUP BY id)
+      SELECT a.id, coalesce(x.persons_actions, '') AS persons_actions, coalesce(y.actions_verbs, '') AS actions_verbs FROM articles AS a LEFT JOIN x USING (id) LEFT JOIN y USING (id)""",
+    "f31_verbs_near": rf"""WITH {_ARTICLES}, s AS (SELECT id, ps, unnest(ss) AS s, generate_subscripts(ss, 1) AS pos FROM (SELECT DISTINCT id,
+        list_distinct(list_filter(list_transform(string_split(replace(lower(entities_persons), 'ё', 'е'), ';'), lambda x: trim(x)), lambda x: length(x) >= 3)) AS ps,
+        string_split(regexp_replace(replace(lower(trim(clean_text)), 'ё', 'е'), '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM articles)),
+      t AS (SELECT id, pos, ps, unnest(ts) AS w, generate_subscripts(ts, 1) AS i FROM (SELECT id, pos, ps, regexp_extract_all(s, '[A-Za-zА-Яа-яЁё-]+') AS ts FROM s)),
+      m AS (SELECT id, pos, i, w AS person FROM t WHERE list_contains(ps, w)),
+      v AS (SELECT id, pos, i, w AS verb FROM t WHERE w IN ('that', 'with', 'from')),
+      h AS (SELECT m.id, m.person, v.pos, v.verb, min(v.i) AS i FROM m JOIN v ON m.id = v.id AND m.pos = v.pos AND abs(m.i - v.i) <= 8 GROUP BY ALL),
+      h2 AS (SELECT *, row_number() OVER (PARTITION BY id, person, pos ORDER BY i) AS k FROM h),
+      r AS (SELECT *, row_number() OVER (PARTITION BY id, person ORDER BY n DESC, f, verb) AS r FROM (SELECT id, person, verb, count(*) AS n, min(pos * 1000000 + k) AS f FROM h2 GROUP BY ALL))
+      SELECT id, person, string_agg(verb, ',' ORDER BY r) AS verbs FROM r WHERE r <= 10 GROUP BY id, person""",
+    "n11_person_verbs": f"""WITH {_ARTICLES}, {_ACTED.replace('DISTINCT id', 'id')} SELECT person, verb, count(*) AS n FROM h GROUP BY person, verb""",
+    "a26_media_stats": """SELECT count(*) AS posts, floor(avg(length(text)))::BIGINT AS avg_length, min(length(text)) AS min_length, max(length(text)) AS max_length,
+      round(100 * avg((doc_id % 3 = 0)::INT), 1) AS video_percent, round(100 * avg((doc_id % 4 = 0)::INT), 1) AS photo_percent FROM documents""",
+    "w08_lone_surnames": f"""WITH {_ARTICLES} SELECT id, CASE WHEN len(p) < 3 THEN '' WHEN p[3] IN (p[1] || ' ' || p[2], p[2]) THEN p[1] || ' ' || p[2] ELSE p[1] || ' ' || p[2] || ';' || p[3] END AS persons
+      FROM (SELECT id, string_split(entities_persons_canon, ';') AS p FROM articles) UNION ALL {_values(SURNAMES, 'VARCHAR', 'VARCHAR')}""",
+    "f33_sentiment": f"""WITH b AS (SELECT doc_id, doc_id % 5 = 0 AS telegram, {_STRIPPED.format("CASE WHEN doc_id % 2 = 0 THEN left(text, 300) ELSE '' END")} AS summary, {_STRIPPED.format('text')} AS body FROM documents),
+      i AS (SELECT *, left(CASE WHEN summary <> '' THEN summary WHEN length(body) >= 120 THEN body ELSE '' END, 1500) AS base FROM b),
+      w AS (SELECT *, length({_SPACES.format(_STRIPPED.format('base'))}) < 120 OR len(regexp_extract_all(lower(base), '[а-яa-zё]+')) < 8 AS short FROM i)
+      SELECT doc_id, '' AS label, NULL::DOUBLE AS score, 0 AS ok, CASE WHEN base = '' OR short THEN 'empty' WHEN telegram THEN 'transformers_missing' ELSE 'lexicon' END AS source,
+        length(base)::INT AS input_len, CASE WHEN base <> '' AND NOT short AND NOT telegram THEN 0.1::DOUBLE END AS confidence FROM w
+      UNION ALL {_values(FELT, 'BIGINT', 'VARCHAR', 'DOUBLE', 'INTEGER', 'VARCHAR', 'INTEGER', 'DOUBLE')}""",
+    "f32_lexicon_sentiment": f"""SELECT doc_id, CASE WHEN regexp_matches(lower(text), '[а-яa-zё]') THEN 0.0::DOUBLE END AS score,
+      CASE WHEN regexp_matches(lower(text), '[а-яa-zё]') THEN 'neu' ELSE '' END AS label FROM documents UNION ALL {_values(LEXICON, 'BIGINT', 'DOUBLE', 'VARCHAR')}""",
+    "gold": rf"""WITH r AS (SELECT 'r' || doc_id // 2 AS id, left(split_part(text, chr(10), 1), 80) AS title, doc_id,
+        CASE WHEN doc_id % 10 = 0 THEN '' ELSE 'https://' || source || '.example.com/' || md5(text) END AS link,
+        CASE WHEN doc_id % 10 = 0 THEN 'telegram:' || source ELSE 'rss:' || source || '.example.com' END AS source,
+        TIMESTAMP '2024-01-01' + to_seconds(doc_id * 97) + INTERVAL 3 HOUR AS published_at, {_CLEAN.format('text')} AS clean_text, doc_id % 17 = 0 AS bad FROM documents),
+      u AS (SELECT *, length(clean_text) AS n FROM r QUALIFY row_number() OVER (
+        PARTITION BY CASE WHEN link <> '' THEN source || '|' || link ELSE source || '|' || title || '|' || published_at END ORDER BY (length(clean_text) > 0) DESC, length(clean_text) DESC, published_at DESC, id) = 1),
+      t AS (SELECT *, trim(title || '. ' || clean_text) AS nlp FROM u WHERE NOT bad AND n >= 400),
+      c AS (SELECT *, len(regexp_extract_all(nlp, '[\x{{0400}}-\x{{052F}}]')) AS cyr, len(regexp_extract_all(nlp, '[A-z]')) AS lat FROM t)
+      SELECT id, link, source, split_part(source, ':', 1) AS source_type, published_at, CASE WHEN cyr + lat >= 40 AND cyr BETWEEN 0.3 * (cyr + lat) AND 0.7 * (cyr + lat) THEN 'mixed'
+        WHEN cyr + lat < 15 THEN 'unknown' WHEN cyr >= 2 * lat THEN 'ru' WHEN lat >= 2 * cyr THEN 'en' ELSE 'unknown' END AS lang, n AS clean_chars, length(nlp) AS text_length_chars,
+        1 AS keyphrases_ok, 0 AS sentiment_ok, 0 AS orgs FROM c""",
     "f36_preview": _a_sql("""SELECT id, CASE WHEN length(best) > 200 THEN rtrim(left(best, 199)) || '…' ELSE best END AS preview FROM (
-      SELECT id, max(row(CASE WHEN trim(x) = trim(title) THEN -1 ELSE length(trim(x)) END, trim(x)))[2] AS best FROM (SELECT id, title, unnest([summary, clean_text]) AS x FROM articles) GROUP BY id)"""),
-    "n04_persons_canon": _distinct_names("entities_persons", "persons"),
+      SELECT id, max(row(CASE WHEN trim(x) = trim(title) THEN -1 ELSE length(trim(x)) END, trim(x)))[2] AS best FROM (SELECT id, ingest_object_name, title, unnest([summary, clean_text]) AS x FROM articles) GROUP BY id, ingest_object_name)"""),
+    "n04_persons_canon": f"{_distinct_names('entities_persons', 'persons')} UNION ALL {_values(PERSONS, 'VARCHAR', 'VARCHAR')}",
     "q08_language_reasons": _d_sql("""SELECT CASE WHEN t = '' THEN 'empty' WHEN length(t) < 20 THEN 'short_text' WHEN cyr + lat >= 40 AND cyr BETWEEN 0.3 * (cyr + lat) AND 0.7 * (cyr + lat) THEN 'mixed_script'
       WHEN lang = 'unknown' THEN 'unknown' ELSE 'ok' END AS reason, count(*) AS rows FROM (SELECT trim(nlp_text) AS t, lang, len(regexp_extract_all(nlp_text, '[\\x{0400}-\\x{052F}]')) AS cyr,
       len(regexp_extract_all(nlp_text, '[A-z]')) AS lat FROM d) GROUP BY 1"""),
 }
+ORACLES |= {
+    "k14_streaming_keywords": ORACLES["v39b_bi_keywords_by_hour"], "k14_streaming_entities": ORACLES["v39c_bi_entities_by_hour"],
+    "k14_streaming_sentiment": ORACLES["v39d_bi_sentiment_merged"],
+}

@@ -8,7 +8,7 @@ _ARTICLES = r"""
 articles AS (
   WITH s AS (SELECT doc_id, max(quality - toxic)::DOUBLE AS sentiment_score FROM labels GROUP BY doc_id),
   b AS (
-    SELECT d.*, sentiment_score, regexp_extract_all(lower(text), '[a-z]{4,}') AS k, regexp_extract_all(text, '[A-Z][a-z]{3,}') AS c,
+    SELECT d.*, sentiment_score, unnest(CASE WHEN doc_id % 50 = 0 THEN [false, true] ELSE [false] END) AS again, regexp_extract_all(lower(text), '[a-z]{4,}') AS k, regexp_extract_all(text, '[A-Z][a-z]{3,}') AS c,
            trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')) AS clean_text, left(split_part(text, chr(10), 1), 80) AS title
     FROM documents AS d LEFT JOIN s USING (doc_id))
   SELECT 'd' || doc_id AS id, '' AS uid, CASE WHEN doc_id % 3 = 0 THEN source ELSE '' END AS channel, title,
@@ -18,9 +18,9 @@ articles AS (
     text AS raw_text, clean_text, trim(title || '. ' || clean_text) AS nlp_text, left(clean_text, 200) AS summary,
     array_to_string(k[1:8], '; ') AS keywords, length(clean_text) AS text_length_chars,
     len(regexp_extract_all(text, '[.!?]')) AS num_sentences, len(k[1:8]) AS num_keywords,
-    CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN '2024-01-0' || (doc_id % 5 + 1) || 'T00:00:00Z'
-      WHEN 2 THEN 'articles_2024010' || (doc_id % 5 + 1) || 'T000000Z' ELSE 'articles_' || doc_id % 3 || '.json' END AS batch_id,
-    'gold_' || doc_id % 7 || '.parquet' AS ingest_object_name,
+    CASE WHEN again THEN 'articles_20240109T000000Z' ELSE CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN '2024-01-0' || (doc_id % 5 + 1) || 'T00:00:00Z'
+      WHEN 2 THEN 'articles_2024010' || (doc_id % 5 + 1) || 'T000000Z' ELSE 'articles_' || doc_id % 3 || '.json' END END AS batch_id,
+    CASE WHEN again THEN 'gold_again.parquet' ELSE 'gold_' || doc_id % 7 || '.parquet' END AS ingest_object_name,
     array_to_string(c[1:3], '; ') AS entities_persons, array_to_string(c[4:5], '; ') AS entities_orgs, array_to_string(c[6:7], '|') AS entities_geo,
     CASE WHEN len(c) >= 2 AND len(k) >= 3 THEN c[1] || ':' || k[1] || ' , ' || k[2] || '|' || c[2] || ': ' || k[3]
       WHEN len(c) >= 1 THEN c[1] ELSE '' END AS persons_actions,
@@ -153,7 +153,7 @@ ORACLES |= {
     "v39a_bi_articles_by_hour": _d(f"SELECT {_HOUR} AS ts_hour, source, lang, count(*) AS cnt FROM d GROUP BY ALL"),
     "v39b_bi_keywords_by_hour": _d(f"SELECT {_HOUR} AS ts_hour, source, lang, keyword, count(*) AS cnt FROM {_items('keywords', 'published_at, source, lang', 'keyword')} GROUP BY ALL"),
     "v39c_bi_entities_by_hour": _d(_entities("entities_persons")),
-    "v39d_bi_sentiment_merged": _d(f"SELECT {_HOUR} AS ts_hour, source, lang, count(*) AS cnt, avg(sentiment_score) AS sentiment_avg FROM d GROUP BY ALL"),
+    "v39d_bi_sentiment_merged": _d(f"SELECT {_HOUR} AS ts_hour, source, lang, count(*) AS cnt, avg(sentiment_score) AS sentiment_avg, quantile_disc(sentiment_score, 0.5) AS sentiment_p50 FROM d GROUP BY ALL"),
     "v43_sources_hourly_ts": _d(f"SELECT {_HOUR} AS ts_hour, source, count(*) AS articles FROM d GROUP BY ALL"),
     "v44_report_summary": _d(f"SELECT count(*) AS articles, count(DISTINCT source) AS sources, min(published_at) AS min_dt, max(published_at) AS max_dt, round(avg(text_length_chars), 1) AS avg_len_chars, round(avg(num_sentences), 2) AS avg_sentences, round(avg(num_keywords), 2) AS avg_keywords {_WINDOW}"),
     "v44_report_sources": _d(f"SELECT source, count(*) AS n {_WINDOW} GROUP BY source ORDER BY n DESC, source LIMIT 30"),

@@ -15,6 +15,12 @@ ARTICLES = T.StructType(
     [T.StructField("published_at", T.TimestampNTZType())] + [T.StructField(n, T.StringType()) for n in _TEXT]
     + [T.StructField(n, T.LongType()) for n in _LONG] + [T.StructField(n, T.IntegerType()) for n in _INT]
     + [T.StructField("sentiment_score", T.DoubleType())])
+COVERAGE = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("batch_id", "source_type", "source")]
+    + [T.StructField(n, T.TimestampNTZType()) for n in ("run_started_at", "run_finished_at")]
+    + [T.StructField(n, T.LongType()) for n in ("duration_ms", "items_found", "items_saved")]
+    + [T.StructField(n, T.TimestampNTZType()) for n in ("min_published_at", "max_published_at")]
+    + [T.StructField(n, T.StringType()) for n in ("status", "error_message", "raw_object_name")])
 LOAD_LOG = "layer string, object_name string, loaded_at timestamp_ntz, rows_loaded bigint"
 RAW_RECORD = "id string, uid string, title string, link string, source string, channel string, published_at string, raw_text string, content string, batch_id string"
 

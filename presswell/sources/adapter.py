@@ -15,16 +15,20 @@ def _some(tokens: Column, first: int, many: int, mark: str) -> Column:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One article per document; copies share a link, every tenth has none."""
+    """One article per document; copies share a link, every tenth has none.
+
+    Every fiftieth was ingested a second time, by another object and batch.
+    """
     labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(F.col("quality") - F.col("toxic")).cast("double").alias("sentiment_score"))
     docs = _table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
     small = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))
     capital = F.regexp_extract_all("text", F.lit("[A-Z][a-z]{3,}"), F.lit(0))
-    number = F.col("doc_id")
+    number, again = F.col("doc_id"), F.col("again")
+    docs = docs.withColumn("again", F.explode(F.when(number % 50 == 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
     tag = F.when(number % 3 == 0, "telegram:").when(number % 3 == 1, "rss:").otherwise("")
     day = F.concat(F.lit("0"), (number % 5 + 1).cast("string"))
     batch = (
-        F.when(number % 4 == 0, "").when(number % 4 == 1, F.concat(F.lit("2024-01-"), day, F.lit("T00:00:00Z")))
+        F.when(again, "articles_20240109T000000Z").when(number % 4 == 0, "").when(number % 4 == 1, F.concat(F.lit("2024-01-"), day, F.lit("T00:00:00Z")))
         .when(number % 4 == 2, F.concat(F.lit("articles_202401"), day, F.lit("T000000Z")))
         .otherwise(F.concat(F.lit("articles_"), (number % 3).cast("string"), F.lit(".json")))
     )
@@ -51,7 +55,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.regexp_count("text", F.lit("[.!?]")).cast("long").alias("num_sentences"),
             F.size(F.slice(k, 1, 8)).cast("long").alias("num_keywords"),
             batch.alias("batch_id"),
-            F.concat(F.lit("gold_"), (number % 7).cast("string"), F.lit(".parquet")).alias("ingest_object_name"),
+            F.when(again, "gold_again.parquet").otherwise(F.concat(F.lit("gold_"), (number % 7).cast("string"), F.lit(".parquet"))).alias("ingest_object_name"),
             _some(c, 1, 3, "; ").alias("entities_persons"),
             _some(c, 4, 2, "; ").alias("entities_orgs"),
             _some(c, 6, 2, "|").alias("entities_geo"),

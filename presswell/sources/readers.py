@@ -56,14 +56,69 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return plain.unionByName(found.where("items IS NOT NULL").select(F.inline("items")))
 
 
+_CHILDREN = "guid string, id string, title string, description string, summary string, content string, pubDate string, published string, updated string"
+
+
 def read_feed(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """Items of an RSS file; what has neither title nor link is dropped."""
-    schema = "guid string, title string, link string, description string, summary string, pubDate string, updated string"
-    items = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path)
+    """Items of RSS files and entries of Atom files; what has neither title nor link is dropped.
+
+    Names are taken without their namespaces.  A file that is an HTML page has
+    no items.
+    """
+    def children(tag: str, link: str) -> DataFrame:
+        reader = spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", True).option("mode", "PERMISSIVE")
+        return reader.schema(f"{_CHILDREN}, link {link}").load(path)
+
     first = lambda *names: F.coalesce(*[F.nullif(F.trim(F.col(n)), F.lit("")) for n in names], F.lit(""))
+    # An Atom entry has links with a place and a kind; the one for readers comes first.
+    links = F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    href = F.coalesce(F.try_element_at(links, F.lit(1))["_href"], F.try_element_at(F.col("link"), F.lit(1))["_href"], F.lit(""))
+    items = children("item", "string").unionByName(children("entry", "array<struct<_href:string,_rel:string,_VALUE:string>>").withColumn("link", F.trim(href)))
     return items.select(
-        first("guid", "link").alias("id"), text("title").alias("title"), text("link").alias("link"), first("pubDate", "updated").alias("published_at"),
-        F.lit(source).alias("source"), first("summary", "description", "title").alias("raw_text")).where("NOT (title = '' AND link = '')")
+        first("guid", "id", "link").alias("id"), F.trim(text("title")).alias("title"), F.trim(text("link")).alias("link"),
+        first("pubDate", "published", "updated").alias("published_at"), F.lit(source).alias("source"),
+        first("summary", "description", "content", "title").alias("raw_text")).where("NOT (title = '' AND link = '')")
+
+
+def read_settings(path: str) -> dict:
+    """Settings of a YAML file; none if there is no file."""
+    import yaml
+
+    try:
+        with open(path, encoding="utf-8") as file:
+            return yaml.safe_load(file) or {}
+    except FileNotFoundError:
+        return {}
+
+
+def feeds(settings: dict, only: tuple[str, ...] = ()) -> list[dict]:
+    """The RSS sources that are enabled, or those named in ``only`` whether enabled or not."""
+    listed = ((settings.get("sources") or {}).get("rss")) or []
+    return [f for f in listed if (f.get("name") in only if only else f.get("enabled", True))]
+
+
+def channels(lines: list[str], given: str = "") -> list[str]:
+    """Channels of a comma-separated list, then of a file's lines: without '@' and comments, in order, once each."""
+    listed = [*given.split(","), *(x for x in map(str.strip, lines) if not x.startswith("#"))]
+    return list(dict.fromkeys(c for c in (x.strip().lstrip("@").strip() for x in listed) if c))
+
+
+def footer(spark: SparkSession, path: str) -> tuple[list[str], int]:
+    """Column names and number of rows of Parquet files, from their footers."""
+    found = spark.read.parquet(path)
+    return found.columns, found.count()
+
+
+def preview(spark: SparkSession, folder: str, glob: str, files: int = 10, rows: int = 5) -> tuple[list[str], DataFrame | None]:
+    """The newest files of a folder, and the first rows of the newest."""
+    found = listing(spark, folder, glob).orderBy(F.col("modified").desc(), F.col("path").desc()).limit(files)
+    paths = [r["path"] for r in found.select("path").collect()]
+    return paths, read(spark, paths[0]).limit(rows) if paths else None
+
+
+def read_tsv(lines: str) -> list[list[str]]:
+    """Rows of a tab-separated result."""
+    return [line.split("\t") for line in lines.splitlines() if line]
 
 
 def read_words(spark: SparkSession, path: str) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import warnings
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from presswell.operators.quality import wrong_constant
-from presswell.schemas import ARTICLES, LOAD_LOG, align
+from presswell.functions.compat import month
+from presswell.schemas import ARTICLES, COVERAGE, LOAD_LOG, align
 
 
 def write_lines(df: DataFrame, path: str) -> None:
@@ -25,11 +28,58 @@ def gold_name(stem: str) -> str:
     return f"{stem.rpartition('/')[2].removesuffix('.json').removesuffix('.parquet').removesuffix('_clean')}_processed.parquet"
 
 
+def gold_paths(inputs: list[str], output: str | None, folder: str = "data/gold") -> list[str]:
+    """Where each input's gold goes: one file for one input, else a folder."""
+    if output is None or len(inputs) > 1:
+        if output is not None and output.lower().endswith(".parquet"):
+            raise ValueError(f"{len(inputs)} inputs need a folder, not the file {output}")
+        return [f"{(output or folder).rstrip('/')}/{gold_name(i)}" for i in inputs]
+    return [output for _ in inputs]
+
+
+def write_gold(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").parquet(path)
+
+
+def raw_key(source: str, at: datetime) -> str:
+    """The key of a raw batch in the object store."""
+    return f"raw/{at:%Y-%m-%d}/{source}/articles_{at:%Y%m%d_%H%M%S}.json"
+
+
+def write_months(df: DataFrame, path: str, column: str) -> None:
+    """A table partitioned by the month of ``column``; the months that ``df`` has are replaced."""
+    by_month = df.withColumn("month", month(column))
+    by_month.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+
+
+def create_views(views: dict[str, DataFrame]) -> None:
+    """Name frames for SQL; they are computed when asked, like the frames."""
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+
+
+def rebuild_table(df: DataFrame, path: str) -> DataFrame:
+    """Write a table anew and read it back."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def tsv(df: DataFrame) -> str:
+    """A small result as lines of tab-separated fields, with marks escaped."""
+    shown = lambda v: "\\N" if v is None else str(v).replace("\\", "\\\\").replace("\t", "\\t").replace("\n", "\\n")
+    return "".join("\t".join(map(shown, row)) + "\n" for row in df.toLocalIterator())
+
+
+def json_lines(df: DataFrame) -> DataFrame:
+    """One column ``value`` with each row as JSON."""
+    return df.select(F.to_json(F.struct("*")).alias("value"))
+
+
 class Warehouse:
-    """Articles by batch and their load log, as Parquet under one folder."""
+    """Articles by batch and object, their load log and the coverage of runs, as Parquet under one folder."""
 
-    def __init__(self, spark, root: str) -> None:
-        self.spark, self.articles_path, self.log_path = spark, f"{root}/articles", f"{root}/load_log"
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.articles_path, self.log_path, self.coverage_path = spark, f"{root}/articles", f"{root}/load_log", f"{root}/coverage"
 
     def _read(self, path: str, schema) -> DataFrame:
         try:
@@ -45,24 +95,45 @@ class Warehouse:
     def load_log(self) -> DataFrame:
         return self._read(self.log_path, LOAD_LOG)
 
+    def coverage(self) -> DataFrame:
+        return self._read(self.coverage_path, T.StructType([*COVERAGE.fields, T.StructField("month", T.StringType())])).drop("month")
+
     def load(self, gold: DataFrame, object_name: str, batch_id: str, at: datetime, force: bool = False) -> int:
         """Load one gold object; 0 rows if it was loaded before.
 
-        ``force`` replaces the object's batch.  The batch is a partition that
-        is overwritten, so a load that failed half-way can be repeated.
+        A batch may have many objects.  An object is a partition of its batch
+        that is overwritten, so that ``force``, and a repeated load after one
+        that failed half-way, replace its own rows and no others.
         """
         if not force and not self.load_log().where((F.col("layer") == "gold") & (F.col("object_name") == object_name)).isEmpty():
             return 0
         rows = align(gold.withColumns({"ingest_object_name": F.lit(object_name), "batch_id": F.lit(batch_id)}), ARTICLES)
-        if wrong_constant(rows, "ingest_object_name", object_name):
-            raise ValueError("rows of another object")
         ordered = rows.sortWithinPartitions("source", "published_at", "id")
-        ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(self.articles_path)
-        count = self.articles().where(F.col("batch_id") == batch_id).count()
+        ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "ingest_object_name").parquet(self.articles_path)
+        count = self.articles().where((F.col("batch_id") == batch_id) & (F.col("ingest_object_name") == object_name)).count()
+        if count != rows.count():
+            raise ValueError(f"{object_name}: stored rows differ from those loaded")
         entry = self.spark.createDataFrame([("gold", object_name, at.strftime("%Y-%m-%d %H:%M:%S"), count)], "layer string, object_name string, at string, rows_loaded bigint")
         entry.select("layer", "object_name", F.to_timestamp_ntz("at").alias("loaded_at"), "rows_loaded").write.mode("append").parquet(self.log_path)
         return count
 
+    def delete_batch(self, batch_id: str) -> bool:
+        """Remove a batch with all its objects before it is loaded anew; whether there was one."""
+        jvm = self.spark._jvm
+        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString("batch_id", batch_id)
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.articles_path}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def append_coverage(self, runs: DataFrame) -> bool:
+        """Add rows about collector runs, by month; a failure is a warning and false."""
+        try:
+            rows = align(runs, COVERAGE)
+            rows.withColumn("month", month("run_finished_at")).write.mode("append").partitionBy("month").parquet(self.coverage_path)
+        except PySparkException as error:
+            warnings.warn(f"coverage not written: {error}", stacklevel=2)
+            return False
+        return True
+
 
 def new_objects(batch: DataFrame, load_log: DataFrame) -> DataFrame:
     """Rows of objects that the gold layer has not loaded."""
@@ -75,9 +146,12 @@ def delete_batch(articles: DataFrame, batch_id: str) -> DataFrame:
 
 
 def markdown(title: str, summary: dict, tables: dict[str, DataFrame], limit: int = 100) -> str:
-    """A report of a few facts and small tables."""
+    """A report of a few facts and small tables; a longer table says where it ends."""
     lines = [f"# {title}", "", *[f"- {k}: {v}" for k, v in summary.items()]]
     for name, df in tables.items():
         lines += ["", f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-        lines += ["| " + " | ".join(str(v).replace("|", "\\|") for v in row) + " |" for row in df.limit(limit).collect()]
+        rows = df.limit(limit + 1).collect()
+        lines += ["| " + " | ".join(str(v).replace("|", "\\|") for v in row) + " |" for row in rows[:limit]]
+        if len(rows) > limit:
+            lines.append(f"\nThe first {limit} rows.")
     return "\n".join(lines) + "\n"

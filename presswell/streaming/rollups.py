@@ -2,7 +2,7 @@
 
 Two forms: partial states that are appended per micro-batch and merged on read,
 right while a key stays in one batch; and hours that are computed again where a
-batch changed a winner, right always.
+batch changed a winner, right always.  The latter is what ``maintain`` keeps.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from presswell.functions.compat import dedup_key, hour
 from presswell.operators import dedup, views
@@ -59,6 +60,41 @@ def refresh_hours(articles: DataFrame, rollup: DataFrame, batch: DataFrame) -> D
     return rollup.join(touched, "ts_hour", "left_anti").unionByName(again)
 
 
+def maintain(spark: SparkSession, gold: str, out: str, checkpoint: str, names: tuple[str, ...] = tuple(PARTIALS), files: int | None = None) -> None:
+    """Take all new files of ``gold`` and keep the rollups under ``out`` right, also for keys that come again.
+
+    A micro-batch adds its rows, and all hours in which one of its keys has a
+    row are computed again from the rows of the keys that these hours hold.  It
+    writes folders of its own, which a repeated run overwrites: its rows, the
+    hours it touched and their rollups.  Of each hour the last batch counts.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+        rows = session.read.schema(T.StructType([*ARTICLES.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{out}/rows").where(F.col("batch") <= number)
+        rows = rows.withColumns({"k": dedup_key(), "ts_hour": hour("published_at")})
+        keys = rows.where(F.col("batch") == number).select("k").distinct()
+        rows.join(keys, "k", "left_semi").select("ts_hour").distinct().write.mode("overwrite").parquet(f"{out}/touched/batch={number}")
+        touched = session.read.parquet(f"{out}/touched/batch={number}")
+        held = rows.join(touched, "ts_hour", "left_semi").select("k").distinct()
+        winners = dedup.by_enrichment(rows.join(held, "k", "left_semi").drop("k", "batch", "ts_hour"))
+        winners = winners.withColumn("ts_hour", hour("published_at")).join(touched, "ts_hour", "left_semi").drop("ts_hour")
+        for name in names:
+            PARTIALS[name](winners).write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+
+    reader = spark.readStream.schema(ARTICLES)
+    if files is not None:
+        reader = reader.option("maxFilesPerTrigger", files)
+    stream = reader.parquet(gold).writeStream.foreachBatch(write)
+    stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def maintained(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """The rollup that ``maintain`` keeps: each hour as its last batch left it."""
+    last = spark.read.parquet(f"{out}/touched").groupBy("ts_hour").agg(F.max("batch").alias("batch"))
+    return merged(spark.read.parquet(f"{out}/{name}").join(last, ["ts_hour", "batch"]).drop("batch"), name)
+
+
 def tumbling_counts(events: DataFrame, length: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts per event-time window, closed once the watermark has passed."""
     return (events.withWatermark("ts", late).groupBy(F.window("ts", length), "event_type").agg(F.count(F.lit(1)).alias("cnt"))

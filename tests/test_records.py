@@ -16,6 +16,10 @@ def apply(spark, build, *values):
     return [r["y"] for r in df.orderBy("i").collect()]
 
 
+def value(spark, build, x):
+    return apply(spark, build, x)[0]
+
+
 CASES = {
     "html": (R.clean_html, {"<p>A&nbsp;b <b>c</b> .</p><script>x<1</script>": "A b c.", "a  b\n!": "a b!", "": "", None: "", "x &amp;lt; y": "x &lt; y"}),
     "domain": (R.domain, {"https://www.Ria.ru/x": "ria.ru", "nothing": "", None: "", "http://a.b:80/": "a.b:80"}),
@@ -76,3 +80,51 @@ def test_summary():
     assert summarize("One short.") == "One short."
     assert len(summarize(long).split(". ")) == 3
     assert len(summarize("Alpha beta gamma delta epsilon words here. " * 5000)) <= 700
+
+
+def test_character_references(spark):
+    raw = "&#8212;&copy;&#x27;&amp;lt; &notaname; &eacute &#150; &#0; &#99999999; a < b then c > d <b>x</b><!-- c > d --> y"
+    assert value(spark, R.clean_html, raw) == "—©'&lt; &notaname; é – \ufffd \ufffd a < b then c > d x y"
+
+
+def test_entities(spark):
+    got = value(spark, R.capitalised, "В Москве Президент Иван Петров и Ёлкин. Елкин ушёл. The Court said. McDonald Иван  Петров.")
+    assert got == ["Москве Президент Иван", "Петров", "Елкин", "The Court", "Иван Петров"]
+    tagger = lambda c: F.struct(F.array(F.lit("Анна Ли"), F.lit("Президент")).alias("persons"), F.array(F.lit("ООН")).alias("orgs"), F.array().cast("array<string>").alias("geo"))
+    found = value(spark, lambda c: R.entities(c, tagger), "Анна Ли и Пётр")
+    assert (found["persons"], found["orgs"], found["geo"]) == (["Анна Ли", "Петр"], ["ООН"], [])
+    assert value(spark, R.entities, "") ["persons"] == []
+
+
+def test_lone_surnames(spark):
+    assert value(spark, R.without_lone_surnames, "иван петров; петрова;сидоров;Иван Петров") == "иван петров;сидоров;Иван Петров"
+    assert value(spark, R.without_lone_surnames, None) == ""
+
+
+def test_sentiment_gate(spark):
+    long = "прекрасно отлично " + "слово " * 25
+    felt = lambda s, b, telegram: value(spark, lambda c: R.sentiment(F.lit(s), c, F.lit(telegram)), b)
+    assert felt("", long, False)["label"] == "pos" and felt("", long, True)["source"] == "transformers_missing"
+    assert (felt(long, "x", False)["ok"], felt("прекрасно", long, False)["ok"], felt("", "", False)["source"]) == (1, 0, "empty")
+
+
+def test_keyphrases_leave_noise_out(spark):
+    got = value(spark, lambda c: R.keyphrases(c, F.lit("en")), "news said the report of interview market prices")
+    assert got == ["interview market prices"]
+    assert value(spark, lambda c: R.keyphrases(c, F.lit("en"), lemma=None), "news said") == []
+
+
+def test_site_bodies():
+    from presswell.functions import bodies
+    line = "A sentence that is long enough to count as one. " * 5
+    page = f"<html><script>x</script><div class='a topic-body__content'><p>{line}<p>{line}</div><article><p>other</p></article></html>"
+    assert bodies.body(page, "lenta") == f"{line.strip()}\n{line.strip()}"
+    assert bodies.body(f"<div class=article__text>{line}</div>", "ria") == line.strip() and bodies.body("<p>short</p>", "ria") == ""
+    assert bodies.body(f"<article><ul><li>{line}</li><li>tiny</li></ul></article>", "tass") == line.strip()
+    assert bodies.body(f"<p>{line}</p><p>short</p>", "") == line.strip() and bodies.body(None, "") == ""
+    assert len(bodies.body("<p>" + "word " * 30_000 + "</p><p>" + line + "</p>", "")) < 160_000
+
+
+def test_extractor_of_host(spark):
+    got = [value(spark, R.extractor, u) for u in ("https://lenta.ru/a", "https://m.ria.ru/b", "http://tass.ru", "https://example.com", None)]
+    assert got == ["lenta", "ria", "tass", "", ""]
