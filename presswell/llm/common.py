@@ -5,8 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from presswell.sources.shared import materialize, shared_dir  # noqa: F401  the operators take them from here
+
 #: Java/RE2 class of the six ASCII white-space characters that separate words.
 SPACE = r"[\x20\x09-\x0D]"
 #: The same characters as text, for translate().
@@ -24,34 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``.  Only where the setting is
-    absent, as in local tests, a temporary folder of this machine is used.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = "file://" + tempfile.gettempdir() + "/presswell-checkpoints"
-    return named.rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    Cuts the lineage: what is read afterwards survives the loss of an executor
-    and is never computed twice.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def running(df: DataFrame, order: list[Column], value: Column, name: str, tag: str) -> DataFrame:
     """``df`` with a column ``name``: the sum of ``value`` (bigint) over the rows ahead in ``order``.
 

@@ -216,7 +216,13 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject."""
+    """The rows of ``docs`` that the classifier does not reject.
+
+    Null and empty texts have all statistics zero and are judged by them like
+    any other text; rows with a null doc_id, and rows that repeat, are judged
+    one by one; all columns stay, also such as the operator uses itself; without
+    labels every row stays; an empty table gives an empty result.
+    """
     model = fit(docs, labels, fold("doc_id", 3) != 1)
     score = spare(docs, "_score")
     return scored(docs, model, score).where(F.col(score) >= 0.5).drop(score)

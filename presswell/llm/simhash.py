@@ -179,7 +179,9 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the smallest doc_id.
 
     Of rows that repeat a doc_id one stays.  Rows without a doc_id have no
-    place in that order and stay.
+    place in that order and stay.  Null and empty texts have the zero
+    fingerprint and are near-duplicates of one another; all columns stay, also
+    such as the operator uses itself; an empty table gives an empty result.
     """
     found = near_duplicates(docs, **options)
     verdicts = materialize(

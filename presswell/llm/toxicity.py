@@ -10,6 +10,7 @@ its highest window's, calibrated on the training documents.  All is numpy.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -297,7 +298,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from, sample_rows: int = SAMPL
         .orderBy(F.md5(F.col("_id").cast("string")), "_id").limit(sample_rows)
     )
     got = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("_id")).select("_id", "_label", "text").toPandas()
-    got = got.sort_values(["_id", "text"], kind="stable")
+    # By hash of the id, so that the first texts, which calibrate, are a sample of all.
+    got = got.assign(_key=got["_id"].map(lambda i: hashlib.md5(str(i).encode()).hexdigest())).sort_values(["_key", "_id", "text"], kind="stable")
     return learn(got["text"].tolist(), (got["_label"] == 1).to_numpy(int))
 
 
@@ -305,9 +307,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
     """(doc_id, held_out, score, predicted), one row per input row.
 
     Labels of held-out ids (CRC-32 of the id modulo 4 is 2) are never learned
-    from.  Null and empty texts score as one window of padding; a null doc_id
-    is not held out; extra columns are ignored; an empty table gives an empty
-    result.
+    from.  Null and empty texts score as one window of padding, and all windows
+    of a text of any length are scored; a null doc_id is not held out; rows may
+    repeat; extra columns are ignored; an empty table gives an empty result.
     """
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, fold != 2))

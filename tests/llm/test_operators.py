@@ -4,18 +4,22 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 from datetime import datetime
 
 import base64
 
 import compare
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
-from presswell.llm import bpe, merkle, mixing, queries, quality_rules, rulefit, sharding, toxicity, urllist
+from presswell.llm import bpe, merkle, mixing, queries, quality_rules, rulefit, sharding, simhash, substring, toxicity, urllist
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -257,3 +261,158 @@ def test_url_list(spark):
     assert got.count() == len(rows) and got.where("want <> blocked").isEmpty()
     assert urllist.judged(captures.limit(0), changes).count() == 0
     assert urllist.judged(captures, changes.limit(0)).where("blocked").isEmpty()
+
+
+def test_clashing_names_of_captures(spark):
+    captures = spark.createDataFrame([("http://bad.com/", datetime(2024, 1, 15), "h", 1)], "url string, fetched_at timestamp, host string, blocked int")
+    changes = spark.createDataFrame([("bad.com", "2024-01-10", "add")], "entry string, day string, action string")
+    row = urllist.judged(captures, changes).first()
+    assert (row["host"], row["blocked"], row["_host"], row["_blocked"], row["entry"]) == ("h", 1, "bad.com", True, "bad.com")
+
+
+# ---- all operators on odd tables ---------------------------------------------
+
+PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
+ALL = {
+    "op1": lambda d, _: substring.repeated_passages(d), "op2": lambda d, labels: quality_rules.judged(d, labels), "op3": lambda d, _: merkle.compared(d),
+    "op4": lambda d, _: mixing.mix(d), "op5": lambda d, _: sharding.shards(d, 100), "op6": lambda d, _: bpe.encode(d, PATH, public_tokenizers.PATTERN),
+    "op7": lambda d, labels: rulefit.classify(d, labels), "op8": lambda d, _: simhash.near_duplicates(d), "op10": lambda d, labels: toxicity.classify(d, labels),
+}
+BIG = 9007199254740993
+
+
+@pytest.mark.parametrize("name", sorted(ALL))
+def test_exact_ids_and_repeated_ones(spark, twice, labels, name):
+    got = ALL[name](twice.repartition(1), labels).collect()
+    ids = sorted((r["doc_id"] for r in got), key=lambda i: (i is None, i))
+    want = [7, 9, 9, 9, BIG, BIG + 2, None]
+    if name == "op1":
+        assert {(r["doc_id"], r["source_doc_id"], r["start_word"], r["end_word"]) for r in got} == {(9, 7, 160, 240), (BIG, 7, 0, 80), (BIG + 2, 7, 0, 80)}
+    else:
+        assert ids == want
+    assert ALL[name](twice.limit(0), labels).count() == 0
+
+
+def test_cuts_keep_to_their_text(spark, twice):
+    left = {(r["doc_id"], len(r["text"].split())) for r in substring.cut_passages(twice).collect()}
+    assert left == {(7, 80), (9, 160), (9, 1), (None, 2)}
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_on_odd_tables(spark, small, odd, twice, name, stage):
+    for docs in (odd, twice):
+        got = stage(spark, docs, small)
+        assert got.columns == docs.columns or name == "byte_bpe"
+        assert got.count() <= 3 * docs.count() and stage(spark, docs.limit(0), small).count() == 0
+
+
+def test_bpe_of_any_white_space_and_length(spark):
+    rng = random.Random(11)
+    with open(PATH, "rb") as file:
+        raw = file.read()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    alphabet = "abcdefgh ABC'  \n\t.,!é日本\u2028\u3000\x1c\x85\x0b½²٣🙂stremvld"
+    texts = ["", " ", "\n", "a\nb", " a", "\nab\n", "a  b", "a\n\nb", "x\x1cy z", "a \x1cb", None] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(500)]
+    texts += ["".join(rng.choice("etaoinshrdlu") for _ in range(n)) for n in (63, 64, 65, 66, 300, 3000)] + ["aab" * 700, "=-" * 500, "a" * 4000]
+    own = bpe.Codec(ranks, public_tokenizers.PATTERN, 200)  # remembers little, so that it starts over
+    for lot in (texts[:300], texts[300:]):
+        got = [x for ids, text in own.batch(pa.array(lot, pa.string())) for x in zip(ids.to_pylist(), text.to_pylist())]
+        assert got == [(library.encode_ordinary(t or ""), (t or "").encode()) for t in lot]
+
+
+def slow_leaves(text):
+    out = []
+    for line in (text or "").encode().split(b"\n"):
+        run = []
+        for word in line.split():
+            run.append(xxhash.xxh64_intdigest(word))
+            if run[-1] % 16 == 0:
+                out.append(tuple(run))
+                run = []
+        if run:
+            out.append(tuple(run))
+    return Counter(out)
+
+
+def test_merkle_likeness_by_brute_force(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    got = {r["doc_id"]: r for r in merkle.compared(docs).collect()}
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), reverse=True)
+    for (i, text), (_, following) in zip(rows, rows[1:] + rows[:1]):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and got[i]["n_chars"] == len(text)
+        for near, other in (("near_edited", edited), ("near_next", following)):
+            a, b = slow_leaves(text), slow_leaves(other)
+            total = sum(len(r) * n for r, n in (a + b).items())
+            want = 1.0 if text == other else 2 * sum(len(r) * n for r, n in (a & b).items()) / total if total else 0.0
+            assert abs(got[i][near] - want) < 1e-9
+        lines, new = text.split("\n"), edited.split("\n")
+        first = next((k for k, (x, y) in enumerate(zip(lines, new)) if x != y), min(len(lines), len(new)))
+        assert got[i]["edited_from"] == (None if text == edited else first)
+
+
+def test_queue_by_brute_force(spark):
+    rng = random.Random(12)
+    rows = [(i, "w " * rng.randrange(0, 30), rng.choice(["a", "b", "b", "b", "c", None])) for i in range(120)] + [(5, "w w", "b")] * 3
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    sizes = {}
+    for _, text, source in rows:
+        sizes[source] = sizes.get(source, 0) + n_words(text)
+    target, entries = slow_targets(sizes), []
+    for source in sizes:
+        own = sorted((hashlib.md5(str(i).encode()).hexdigest(), i, n_words(t)) for i, t, s in rows if s == source)
+        served, goal = 0, int(target[source])
+        for _ in range(3):
+            for _, i, size in own:
+                # The word at which the target is reached ends a part of its own.
+                for part in ([goal - served, size - goal + served] if served < goal < served + size else [size]):
+                    served += part
+                    entries.append((served / target[source], i, source, part))
+    budget, taken = sum(int(t) for t in target.values()), Counter()
+    for _, i, source, part in sorted(entries, key=lambda e: e[0]):
+        taken[i, source] += min(part, budget)
+        budget -= min(part, budget)
+    got = Counter()
+    for r in mixing.mix(docs).collect():
+        got[r["doc_id"], r["source"]] += r["taken"]
+    assert +got == +taken
+
+
+def test_windows_scored_one_by_one():
+    rng = np.random.default_rng(13)
+    texts = [" ".join(rng.choice(["good", "bad", "so", "fine", "awful", "x"], n)) for n in (1, 5, 40, 70, 200)] + ["", None]
+    scorer = toxicity.learn(texts, np.array([0, 1, 0, 1, 0, 0, 1]))
+    net, h = scorer.network.p, toxicity.HIDDEN
+    logistic = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(x, d):
+        out, state = [], np.zeros(h)
+        for row in x if d == "f" else x[::-1]:
+            gates = logistic(row @ net[f"x{d}"][:, : 2 * h] + state @ net[f"u{d}"])
+            candidate = np.tanh(row @ net[f"x{d}"][:, 2 * h :] + (gates[h:] * state) @ net[f"n{d}"])
+            state = state + gates[:h] * (candidate - state)
+            out.append(state)
+        return np.array(out if d == "f" else out[::-1])
+
+    for text in texts:
+        words = (text or "").encode().lower().split()
+        logits = []
+        for start in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+            x = scorer.inputs.of(words[start : start + toxicity.WINDOW]).astype(float)
+            x = x if len(x) else np.zeros((1, toxicity.INPUTS))
+            s = np.concatenate([states(x, "f"), states(x, "b")], 1)
+            weights = np.exp(np.tanh(s @ net["att"]) @ net["q"])
+            logits.append(float((weights / weights.sum() * s).sum(0) @ net["out"][:, 0] + net["bias"][0]))
+        if words:
+            assert abs(max(logits) - scorer.logits([text])[0]) < 1e-3
+
+
+@pytest.mark.parametrize("classify, label, parts, hold", [(rulefit.classify, "quality", 3, 1), (toxicity.classify, "toxic", 4, 2)])
+def test_held_out_labels_change_nothing(spark, small, classify, label, parts, hold):
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string")) % parts == hold
+    flipped = labels.withColumn(label, F.when(held, 1 - F.col(label)).otherwise(F.col(label)))
+    scores = lambda known: {r["doc_id"]: r["score"] for r in classify(docs, known).collect()}
+    assert scores(labels) == scores(flipped)

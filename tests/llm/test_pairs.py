@@ -150,6 +150,14 @@ def test_near_passages_with_a_shifted_rest(spark, change):
     assert len(got) >= 54
 
 
+def test_crowded_passages(spark):
+    """A passage of very many documents is dealt out in parts, and found in each but the first."""
+    rng = random.Random(9)
+    docs = planted(spark, [[prose(rng, 55)] * 90, [prose(rng, 55)] * 2, [prose(rng, 55)]])
+    got = substring.repeated_passages(docs, crowd=8).collect()
+    assert {r["doc_id"] for r in got} == {*range(1, 90), 101} and all(r["source_doc_id"] < r["doc_id"] for r in got)
+
+
 def test_spans_of_repeated_beginnings():
     rng = np.random.default_rng(8)
     word = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
