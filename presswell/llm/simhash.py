@@ -119,11 +119,12 @@ def anchor_links(fps: DataFrame, threshold: int = 3, crowded: int = CROWDED, blo
         "half", "word", F.col("fp").alias("b"), F.explode(F.element_at(masks, F.col("syndrome") + 1)).alias("mask")
     ).select("half", _anchor(F.col("word"), F.col("mask")).alias("anchor"), "b")
     sizes = home.groupBy("half", "anchor").agg(F.count(F.lit(1)).alias("n"))
-    home = home.join(sizes, ["half", "anchor"])
+    # Replicas are many times the rows that Spark estimates, so that no side may be broadcast by that estimate.
+    home = home.join(sizes.hint("merge"), ["half", "anchor"])
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold
     plain = (
         home.where(F.col("n") <= crowded).drop("n")
-        .join(near, ["half", "anchor"]).where((F.col("a") != F.col("b")) & close).select("a", "b")
+        .join(near.hint("merge"), ["half", "anchor"]).where((F.col("a") != F.col("b")) & close).select("a", "b")
     )
 
     crowd = sizes.where(F.col("n") > crowded)
@@ -134,7 +135,7 @@ def anchor_links(fps: DataFrame, threshold: int = 3, crowded: int = CROWDED, blo
         .select("half", "anchor", F.col("a").alias("fp"), cut("a").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("j"), F.lit(True).alias("home"))
     )
     right = (
-        near.join(crowd, ["half", "anchor"]).withColumn("cuts", cuts)
+        near.join(crowd.hint("merge"), ["half", "anchor"]).withColumn("cuts", cuts)
         .select("half", "anchor", F.col("b").alias("fp"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("i"), cut("b").alias("j"), F.lit(False).alias("home"))
     )
 
