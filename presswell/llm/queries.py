@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswell.llm import bpe, merkle, mixing, oracles, quality_rules, rulefit, sharding, simhash, substring, toxicity, urllist
+from presswell.llm import bpe, fim, merkle, mixing, oracles, phrases, quality_rules, rulefit, sharding, simhash, substring, toxicity, urllist, warc
 from presswell.llm.common import table
 
 
@@ -77,6 +77,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archived(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -88,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_anchor": op8_simhash_anchor,
     "op9_url_list": op9_url_list,
     "op10_toxicity": op10_toxicity,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_warc_members": op12_warc_members,
+    "op13_phrase_mining": op13_phrase_mining,
 }
 
 ORACLES: dict[str, str] = {
@@ -95,4 +111,7 @@ ORACLES: dict[str, str] = {
     "op4_source_mixing": oracles.OP4,
     "op5_extendible_sharding": oracles.OP5,
     "op9_url_list": oracles.OP9,
+    "op11_fill_in_middle": oracles.OP11,
+    "op12_warc_members": oracles.OP12,
+    "op13_phrase_mining": oracles.OP13,
 }
