@@ -5,7 +5,8 @@ and sorts its suffixes by numpy prefix doubling.  Neighbours in that order share
 a prefix of some words; a maximal run of neighbours that share n words or more
 is an LCP interval, and its size is the count of one n-gram in the shard.
 Counts are merged by key over all shards, so that a phrase costs a row per
-task, however frequent it is.
+task, however frequent it is: first those of one and two words, then longer
+ones in which every pair of words is frequent.
 """
 
 from __future__ import annotations
@@ -15,13 +16,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from presswell.llm.common import give_back, let, materialize
+from presswell.llm.common import give_back, materialize, mix64, word_hashes
 
 #: Bytes of the texts that make one shard.
-SHARD_BYTES = 24_000_000
+SHARD_BYTES = 8_000_000
+#: Phrases that are put into words at once.
+BATCH = 1 << 16
 #: What ends a piece, and what is between words.
 _ENDS = np.isin(np.arange(256), [*b".,;:!?", *range(0x0A, 0x0E)])
 _BETWEEN = np.isin(np.arange(256), [0x20, 0x09]) | _ENDS
@@ -88,42 +92,64 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.dictionary.take(pa.array(by)), ids
 
 
-def shard_counts(texts: pa.Array, depth: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """(phrases, counts) of the runs of one to ``depth`` words, and of all words under the empty phrase."""
+def pair_places(first: np.ndarray, second: np.ndarray, lang: int, bits: int) -> np.ndarray:
+    """A place among 2**bits for pairs of words, from the words' hashes."""
+    return mix64(first * np.uint64(0x9E3779B97F4A7C15) + second * np.uint64(0xD6E8FEB86659FD93) + np.uint64(lang)) >> np.uint64(64 - bits)
+
+
+def linked(ids: np.ndarray, hashes: np.ndarray, lang: int, marks: np.ndarray) -> np.ndarray:
+    """``ids`` cut between words whose pair is not in the bitmap ``marks``, without words that stand alone then."""
+    bits = int(len(marks) * 8).bit_length() - 1
+    both = (ids[:-1] != 0) & (ids[1:] != 0)
+    place = pair_places(hashes[ids[:-1][both] - 1], hashes[ids[1:][both] - 1], lang, bits)
+    link = np.zeros(len(ids) + 1, bool)  # whether a word goes on from the one before it
+    link[1:-1][both] = marks[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & np.uint8(1)
+    kept = np.flatnonzero((ids != 0) & (link[:-1] | link[1:]))
+    last = ~link[kept + 1]
+    out = np.zeros(len(kept) + int(last.sum()), np.int32)
+    out[np.arange(len(kept)) + np.append(0, np.cumsum(last[:-1]))[: len(kept)]] = ids[kept]
+    return out
+
+
+def shard_counts(texts: pa.Array, depth: int, lang: str = "", marks: np.ndarray | None = None) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(phrases, counts) of the runs of one to ``depth`` words, and of all words under the empty phrase.
+
+    With ``marks``, those of three words or more of which all pairs are marked.
+    """
     vocabulary, ids = words_of(texts)
+    words = np.count_nonzero(ids)
+    if marks is not None and words:
+        ids = linked(ids, word_hashes([w.encode() for w in vocabulary.to_pylist()]), xxhash.xxh64_intdigest(lang), marks)
     if not len(ids):
         return
     order = suffix_order(ids, depth)
     lcp, room = shared_prefixes(ids, order, depth)
-    yield pa.array([""]), np.array([np.count_nonzero(ids)])
-    for n in range(1, depth + 1):
+    if marks is None:
+        yield pa.array([""]), np.array([words])
+    for n in range(1 if marks is None else 3, depth + 1):
         turns = np.flatnonzero(lcp < n)  # an interval of n shared words ends before each of these
         sizes = np.diff(np.append(turns, len(ids)))
         whole = room[turns] >= n
         at = order[turns[whole]]
-        parts = [vocabulary.take(pa.array(ids[at + j] - 1)) for j in range(n)]
-        yield (pc.binary_join_element_wise(*parts, " ") if n > 1 else parts[0]), sizes[whole]
+        sizes = sizes[whole]
+        for i in range(0, len(at), BATCH):
+            parts = [vocabulary.take(pa.array(ids[at[i : i + BATCH] + j] - 1)) for j in range(n)]
+            yield (pc.binary_join_element_wise(*parts, " ") if n > 1 else parts[0]), sizes[i : i + BATCH]
 
 
-def phrase_counts(docs: DataFrame, depth: int = 3) -> DataFrame:
-    """(lang, phrase, f) of all runs of one to ``depth`` words inside pieces.
+def _counted(docs: DataFrame, depth: int, marks: bytes | None = None) -> DataFrame:
+    """(lang, phrase, f) over all shards; see ``shard_counts``."""
+    sent = docs.sparkSession.sparkContext.broadcast(marks)
 
-    Texts are in lower case (A-Z only), cut into pieces at ``.,;:!?`` and line
-    ends, and those into words at spaces and tabs.  The empty phrase counts all
-    words.  A null lang is 'und'; a null or empty text has no words; texts are
-    taken whole, whatever their length, one that is longer than a shard by
-    itself; rows may repeat and each counts; extra columns are ignored.
-    """
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = None if sent.value is None else np.frombuffer(sent.value, np.uint8)
         held: dict[str, list[pa.Array]] = {}
         size: dict[str, int] = {}
 
         def counted(lang: str) -> Iterator[pa.RecordBatch]:
             size.pop(lang)
-            for phrases, counts in shard_counts(pa.concat_arrays(held.pop(lang)), depth):
-                for i in range(0, len(counts), 1 << 16):
-                    own = phrases[i : i + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(pa.scalar(lang), own, "\n"), pa.array(counts[i : i + (1 << 16)], pa.int64())], ["key", "f"])
+            for phrases, counts in shard_counts(pa.concat_arrays(held.pop(lang)), depth, lang, bitmap):
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(pa.scalar(lang), phrases, "\n"), pa.array(counts, pa.int64())], ["key", "f"])
 
         for part in parts:
             langs = pc.fill_null(part.column("lang"), "und").dictionary_encode()
@@ -146,6 +172,51 @@ def phrase_counts(docs: DataFrame, depth: int = 3) -> DataFrame:
     return rows.select(F.expr("left(key, length(key) - length(substring_index(key, '\n', -1)) - 1)").alias("lang"), phrase.alias("phrase"), "f")
 
 
+def _marks(pairs: DataFrame, most_bits: int) -> bytes:
+    """A bitmap of the places of pairs (lang, phrase): 16 bits for each, 2**most_bits at most."""
+    bits = min(max(int(16 * pairs.count()).bit_length(), 15), most_bits)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            langs = part.column("lang").dictionary_encode()
+            words = pc.split_pattern(part.column("phrase"), " ").flatten()
+            hashes = word_hashes([w.encode() for w in words.to_pylist()])
+            for k, lang in enumerate(langs.dictionary.to_pylist()):
+                own = np.flatnonzero(np.asarray(langs.indices) == k)
+                yield pa.RecordBatch.from_arrays([pa.array(pair_places(hashes[2 * own], hashes[2 * own + 1], xxhash.xxh64_intdigest(lang), bits).astype(np.int64))], ["place"])
+
+    # Numbers from 1 in the functions' buckets of 32,768 bits.
+    places = pairs.select("lang", "phrase").mapInArrow(run, "place bigint").select((F.col("place") + 1).alias("place"))
+    chunks = places.groupBy(F.bitmap_bucket_number("place").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")).collect()
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for b, chunk in chunks:
+        out[(b - 1) * 4096 : b * 4096] = np.frombuffer(chunk, np.uint8)
+    return out.tobytes()
+
+
+def phrase_counts(docs: DataFrame, depth: int = 3, least: int = 1, most_bits: int = 27) -> DataFrame:
+    """(lang, phrase, f) of all runs of one to ``depth`` words inside pieces that occur ``least`` times.
+
+    Texts are in lower case (A-Z only), cut into pieces at ``.,;:!?`` and line
+    ends, and those into words at spaces and tabs.  The empty phrase counts all
+    words.  A null lang is 'und'; a null or empty text has no words; texts are
+    taken whole, whatever their length, one that is longer than a shard by
+    itself; rows may repeat and each counts; extra columns are ignored.
+
+    Longer phrases are counted in a second pass.  Of those that occur ``least``
+    times all pairs of words do, so the texts are cut first where a pair does
+    not.  The frequent pairs go to the tasks as a bitmap of fixed size (16 MiB
+    at most) in which others may be marked too: these are counted and then left
+    out, so that a full bitmap costs time and no phrase.
+    """
+    short = _counted(docs, min(depth, 2))
+    frequent = materialize(short.where((F.col("f") >= least) | (F.col("phrase") == "")), "phrases")
+    if depth <= 2:
+        return frequent
+    marks = _marks(frequent.where(F.contains("phrase", F.lit(" "))), most_bits)
+    return frequent.union(materialize(_counted(docs, depth, marks).where(F.col("f") >= least), "long-phrases"))
+
+
 def _cuts(words: Column, n: Column, front: bool) -> Column:
     """The first, or the last, words of a phrase for each place to cut it."""
     ks = F.sequence(F.lit(1), n - 1)
@@ -168,7 +239,7 @@ def collocations(docs: DataFrame, least: int = 10, longest: int = 3, covered: in
     holds for a up to 10**15.  See ``phrase_counts`` for odd rows; languages
     without a candidate, and an empty table, give no row.
     """
-    frequent = materialize(phrase_counts(docs, longest).where((F.col("f") >= least) | (F.col("phrase") == "")), "phrases")
+    frequent = phrase_counts(docs, longest, least)
     words = F.split("phrase", " ")
     candidates = frequent.where(F.contains("phrase", F.lit(" ")))
     # The most frequent longer phrase that holds each phrase.

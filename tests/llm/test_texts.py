@@ -213,8 +213,22 @@ def test_collocations(spark, monkeypatch, least, longest, covered, most):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("most_bits", [15, 27])
+def test_long_phrases_by_marked_pairs(spark, monkeypatch, most_bits):
+    monkeypatch.setattr(phrases, "SHARD_BYTES", 300)
+    monkeypatch.setattr(phrases, "BATCH", 7)
+    rng = random.Random(5)
+    rows = [(rng.choice(["en", None]), noise(rng, ["a ", "b ", "c", "dd ", ", ", "é "] + [f"r{i} " for i in range(20)], 80)) for _ in range(150)]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    got = {(r["lang"], r["phrase"]): r["f"] for r in phrases.phrase_counts(df, 4, 5, most_bits).collect()}
+    want = {}
+    for lang in ("en", None):
+        want |= {(lang or "und", p): n for p, n in slow_counts([t for x, t in rows if x == lang], 4).items() if n >= 5 or p == ""}
+    assert got == want
+
+
 def test_collocations_of_odd_rows_and_large_counts(spark, odd, monkeypatch):
-    monkeypatch.setattr(phrases, "phrase_counts", lambda docs, depth: docs.sparkSession.createDataFrame(
+    monkeypatch.setattr(phrases, "phrase_counts", lambda docs, depth, least: docs.sparkSession.createDataFrame(
         [("en", "", 10**16), ("en", "a", 10**15), ("en", "b", 999_999_999_999_999), ("en", "a b", 999_999_999_999_998)], "lang string, phrase string, f bigint"))
     r = phrases.collocations(odd).first()
     assert r["score"] == 10**6 * 999_999_999_999_998**2 // (10**15 * 999_999_999_999_999) and (r["l"], r["r"], r["n"]) == (10**15, 999_999_999_999_999, 10**16)
