@@ -72,8 +72,9 @@ def shared_prefixes(ids: np.ndarray, order: np.ndarray, depth: int) -> tuple[np.
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(vocabulary in byte order, ids): the words of all texts as 1, 2, ... and a 0 after each piece."""
-    joined = pc.ascii_lower(pc.fill_null(texts, ""))
-    raw = np.frombuffer(("\n".join(joined.to_pylist()) + "\n").encode(), np.uint8)
+    lines = pc.binary_join_element_wise(pc.ascii_lower(pc.fill_null(texts, "")), "", "\n")
+    ends = np.frombuffer(lines.buffers()[1], np.int32)[lines.offset : lines.offset + len(lines) + 1]
+    raw = np.frombuffer(lines.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]  # all texts, each with a line end
     inside = np.concatenate([[False], ~_BETWEEN[raw], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
@@ -155,10 +156,14 @@ def _counted(docs: DataFrame, depth: int, marks: bytes | None = None) -> DataFra
             langs = pc.fill_null(part.column("lang"), "und").dictionary_encode()
             for k, lang in enumerate(langs.dictionary.to_pylist()):
                 own = part.column("text").filter(pc.equal(langs.indices, k))
-                held.setdefault(lang, []).append(own)
-                size[lang] = size.get(lang, 0) + own.nbytes
-                if size[lang] >= SHARD_BYTES:
-                    yield from counted(lang)
+                shard = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(own), 0), np.int64)) // SHARD_BYTES
+                cuts = np.append(np.flatnonzero(np.diff(shard, prepend=0)) + 1, len(own))
+                for begin, end in zip(np.append(0, cuts[:-1]), cuts):  # after each text with which a shard is full
+                    texts = own[int(begin) : int(end)]
+                    held.setdefault(lang, []).append(texts)
+                    size[lang] = size.get(lang, 0) + (pc.sum(pc.binary_length(texts)).as_py() or 0)
+                    if size[lang] >= SHARD_BYTES:
+                        yield from counted(lang)
             if sum(size.values()) >= 2 * SHARD_BYTES:  # very many languages
                 for lang in list(held):
                     yield from counted(lang)
