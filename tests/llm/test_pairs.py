@@ -1,6 +1,7 @@
 """SimHash and passages against brute force; odd rows; crowded anchors."""
 
 import random
+import time
 import re
 
 import numpy as np
@@ -169,10 +170,51 @@ def test_spans_of_repeated_beginnings():
         at = 230 + len(passage[early])
         assert (60, 60 + size - 4, at, at + size - 4, 1.0) in spans
     line = np.tile(word(3), 2000)
-    assert substring.matched_spans(tokens(word(60), line), tokens(word(9), line), 46, 0.8, 1000)[0][4] == 1.0
+    assert substring.matched_spans(tokens(word(60), line), tokens(word(9), line), 46, 0.8)[0][4] == 1.0
     assert substring.matched_spans(word(60), word(60), 46, 0.8) == []
 
 
+def test_chains_are_those_of_all_pairs():
+    """Each run follows the best of all runs before it, as when all are compared."""
+    rng = random.Random(11)
+    for _ in range(60):
+        rows, taken = [], {}
+        for _ in range(60):
+            p, d, n = rng.randrange(300), rng.randrange(-60, 60), rng.randrange(8, 40)
+            # Runs of one diagonal are apart.
+            if p + d >= 0 and all(p + n < x or y < p for x, y in taken.setdefault(d, [])):
+                taken[d].append((p, p + n))
+                rows.append((p, p + d, n))
+        rows.sort()
+        best = [0] * len(rows)
+        for i, (p, q, _) in enumerate(rows):
+            for j in range(i):
+                pj, qj, nj = rows[j]
+                part = min(nj, p - pj, q - qj)
+                if part > 0 and p - pj - part <= substring.SLACK and q - qj - part <= substring.SLACK:
+                    best[i] = max(best[i], best[j] + part)
+        for chain in substring._chains(rows, 0):
+            total = sum(min(x[2], y[0] - x[0], y[1] - x[1]) for x, y in zip(chain, chain[1:]))
+            assert total == best[rows.index(chain[-1])]
+
+
+def test_repetitive_texts_are_verified_whole():
+    """Thousands of words of one phrase, with other words between: no cap, no passage, and the one there is."""
+    rng = np.random.default_rng(12)
+    word = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    for size, repeats in ((30, 230), (20, 300), (40, 60)):
+        phrase, passage = word(size), word(64)
+        near = passage.copy()
+        near[31] = word(1)[0]
+        filled = lambda: np.concatenate([x for _ in range(repeats) for x in (phrase, word(1))])  # noqa: E731, B023
+        tokens = lambda *parts: substring.shingle_hashes(np.concatenate(parts), 5)
+        began = time.perf_counter()
+        assert substring.matched_spans(tokens(filled()), tokens(filled()), 46, 0.8) == []
+        ((a0, a1, b0, b1, j),) = substring.matched_spans(tokens(filled(), passage), tokens(near, filled()), 46, 0.8)
+        assert (a1 - a0, b0, b1) == (60, 0, 60) and a0 == repeats * (size + 1) and 0.8 <= j < 1
+        assert time.perf_counter() - began < 20
+
+
 def test_passages_of_test_data(spark, small):
     """Every run of 50 words that an earlier document has is inside a found passage."""
     docs = spark.read.parquet(f"{small}/documents.parquet")
