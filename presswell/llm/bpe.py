@@ -3,7 +3,8 @@
 A text is cut into words, and each different word by the tokenizer's pattern
 into pieces.  The pieces of a lot become lists of byte tokens.  A recursive
 query joins their token-position rows to the merge table and contracts each
-piece's leftmost pair of minimum rank until none is left; an ordered
+piece's leftmost pair of minimum rank until none is left; a long piece does so in
+windows that overlap and are joined at a token that both have.  An ordered
 aggregation then decodes the ids to bytes.  A Python worker remembers words and
 pieces in Arrow arrays, up to a bound, over the batches it is given.
 """
@@ -28,6 +29,8 @@ from presswell.llm.common import give_back
 REMEMBERED = 1_500_000
 #: Characters of a lot of texts; pieces and bytes of one query.
 LOT_CHARS, AT_ONCE, AT_ONCE_BYTES = 6_000_000, 50_000, 2_000_000
+#: Bytes from one window of a long piece to the next; a window is of two steps.
+STEP = 64
 #: From so many tokens on a piece contracts all places of its minimum rank in one round.
 MANY_TOKENS = 64
 
@@ -58,6 +61,27 @@ FROM (SELECT w, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM toke
 _SIZES = "SELECT w, sum(length(s))::INT AS size FROM (SELECT w, unnest(toks) AS tok FROM tokens) JOIN vocabulary USING (tok) GROUP BY w ORDER BY w"
 
 
+def _stitched(windows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray | None, list[tuple[int, int]]]:
+    """(ids, spans) of windows (begin, end, ids, places of the tokens' ends): no ids, and wider spans, if any two cannot be joined."""
+    parts, spans, begin = [], [windows[0][:2]], 0
+    for (_, _, ids, at), (s, e, _, other) in zip(windows, windows[1:]):
+        # Tokens at the same place in both, by where they begin and end.
+        mine, theirs = np.searchsorted(at, s), 0
+        x, y = (at[mine:-1] << 32) | at[mine + 1 :], (other[:-1] << 32) | other[1:]
+        _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+        if len(i):
+            k = len(i) // 2
+            parts.append(ids[begin : mine + i[k]])
+            begin = theirs + j[k]
+            spans.append((s, e))
+        else:
+            spans[-1] = (spans[-1][0], e)
+            begin = 0
+    if len(spans) < len(windows):
+        return None, spans
+    return np.concatenate([*parts, windows[-1][2][begin:]]), spans
+
+
 class Memory:
     """Keys with their ids and decoded bytes, as Arrow arrays; starts over from the last lot's when full."""
 
@@ -123,6 +147,8 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED) -> None:
         self.ranks, self.pattern, self.spaced = ranks, regex.compile(pattern), regex.compile(r"\s*\S+|\s+")
+        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.lengths[list(ranks.values())] = [len(w) for w in ranks]
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         a, b, c, alone = zip(*safe_merges(ranks))
@@ -157,6 +183,19 @@ class Codec:
         return tuple(pa.concat_arrays([f[k] for f in found]).take(back) for k in (0, 1))
 
     def _query(self, raw: list[bytes]) -> tuple[pa.Array, pa.Array]:
+        """(ids, decoded) of pieces: of all in one query, and then of the windows of long ones."""
+        long = [i for i, r in enumerate(raw) if len(r) > 2 * STEP and r not in self.ranks]
+        if not long:
+            return self._decoded(self._contracted(raw))
+        apart = set(long)
+        short = self._contracted([b"" if i in apart else r for i, r in enumerate(raw)])
+        joined = dict(zip(long, self._joined_windows([raw[i] for i in long])))
+        values, ends = np.asarray(short.values), np.asarray(short.offsets)
+        lists = [joined[i] if i in apart else values[ends[i] : ends[i + 1]] for i in range(len(raw))]
+        return self._decoded(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.array(np.concatenate(lists), pa.int32())))
+
+    def _contracted(self, raw: list[bytes]) -> pa.ListArray:
+        """Ids of pieces, by one recursive query."""
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         tokens = self.single[np.frombuffer(b"".join(raw), np.uint8)]
         whole = np.array([self.ranks.get(r, -1) for r in raw], np.int64)
@@ -165,11 +204,44 @@ class Codec:
         tokens[(np.cumsum(sizes) - 1)[whole >= 0]] = whole[whole >= 0]
         ends = np.cumsum(np.append(0, np.where(whole < 0, sizes, 1)))
         self.con.register("words", pa.table({"w": np.arange(len(raw)), "toks": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens[keep], pa.int32()))}))
-        self.con.execute("CREATE OR REPLACE TEMP TABLE tokens AS " + _ENCODE)
-        ids = _whole(self.con.sql("SELECT toks FROM tokens ORDER BY w").to_arrow_table()["toks"]).cast(pa.list_(pa.int32()))
-        decoded = self.con.execute(_DECODE).fetchall()[0][0].encode("latin-1")
-        ends = np.append(0, np.cumsum(np.asarray(_whole(self.con.sql(_SIZES).to_arrow_table()["size"]))))
-        return ids, pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(decoded)])
+        return _whole(self.con.sql(f"SELECT toks FROM ({_ENCODE}) ORDER BY w").to_arrow_table()["toks"]).cast(pa.list_(pa.int32()))
+
+    def _decoded(self, ids: pa.ListArray) -> tuple[pa.Array, pa.Array]:
+        """ids, and the bytes they stand for."""
+        self.con.register("_t", pa.table({"w": np.arange(len(ids)), "toks": ids}))
+        self.con.execute("CREATE OR REPLACE TEMP TABLE tokens AS SELECT * FROM _t")
+        decoded = (self.con.execute(_DECODE).fetchall()[0][0] or "").encode("latin-1")
+        sizes = np.zeros(len(ids), np.int64)
+        found = self.con.sql(_SIZES).to_arrow_table()
+        sizes[np.asarray(_whole(found["w"]))] = np.asarray(_whole(found["size"]))
+        return ids, pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.py_buffer(decoded)])
+
+    def _joined_windows(self, raw: list[bytes]) -> list[np.ndarray]:
+        """Ids of long pieces, from windows that overlap by half.
+
+        A row of tokens is what a piece contracts to if each two neighbours are
+        what their bytes contract to, and so are all neighbours in a window.  Two
+        windows that have one token in common at its place can be joined there.
+        Where they have none, both become one window.
+        """
+        spans = [[(s, min(s + 2 * STEP, len(r))) for s in range(0, len(r) - STEP, STEP)] for r in raw]
+        known: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
+        out: list[np.ndarray | None] = [None] * len(raw)
+        while True:
+            asked = [(i, s, e) for i, own in enumerate(spans) if out[i] is None for s, e in own if (i, s, e) not in known]
+            lots = np.cumsum([e - s for _, s, e in asked]) // AT_ONCE_BYTES
+            for lot in np.unique(lots):
+                some = [asked[k] for k in np.flatnonzero(lots == lot)]
+                ids = self._contracted([raw[i][s:e] for i, s, e in some])
+                values, ends = np.asarray(ids.values), np.asarray(ids.offsets)
+                for k, (i, s, e) in enumerate(some):
+                    own = values[ends[k] : ends[k + 1]]
+                    known[i, s, e] = own, s + np.append(0, np.cumsum(self.lengths[own]))
+            for i, own in enumerate(spans):
+                if out[i] is None:
+                    out[i], spans[i] = _stitched([(s, e, *known[i, s, e]) for s, e in own])
+            if all(o is not None for o in out):
+                return out
 
     def batch(self, texts: pa.Array) -> Iterator[tuple[pa.Array, pa.Array]]:
         """(ids, decoded) of lots of texts, in their order; a null text is empty."""
@@ -246,8 +318,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     match of ``pattern`` may look behind or go on from another character to
     white space, as holds for the patterns of this family.  ``ids`` holds
     little-endian unsigned 32-bit integers.  ``decoded_sha256`` is of the bytes
-    that the ids decode to.  A null text is empty and has no tokens; texts and
-    pieces of any length take the same path; a null doc_id stays null; rows may
+    that the ids decode to.  A null text is empty and has no tokens; texts may have
+    any length; a long piece is contracted by windows, which give the same ids; a null doc_id stays null; rows may
     repeat; extra columns are ignored; an empty table gives an empty result.
     """
     with open(ranks_path, "rb") as file:

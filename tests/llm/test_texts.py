@@ -1,4 +1,4 @@
-"""Fill-in-the-middle, WARC archives and phrase mining: brute force, round trips, odd rows."""
+"""Fill-in-the-middle, WARC archives, phrase mining, long pieces: brute force, round trips, odd rows."""
 
 import base64
 import gzip
@@ -8,11 +8,13 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
-from presswell.llm import fim, phrases, warc
+from presswell.llm import bpe, fim, phrases, warc
 
 MIXED = ["", None, "a", "ab cd", "🙂a🙂🙂b", "é<P>x", "a<M>", "<<S>", "\n\nab\n", "a\U0001f600", "a\r\n b", "x<P", "\x85 a"]
 
@@ -236,3 +238,24 @@ def test_collocations_of_odd_rows_and_large_counts(spark, odd, monkeypatch):
     got = phrases.collocations(odd.repartition(3), least=2).collect()
     assert {r["lang"] for r in got} == {"en"} and any(r["phrase"] == "x x x" and r["a"] == 29_998 for r in got)
     assert phrases.collocations(odd.limit(0)).count() == 0
+
+
+# ---- long pieces of byte-level BPE --------------------------------------------
+
+def test_long_pieces_by_windows(monkeypatch):
+    """Windows of any length are joined to what the library gives; unbroken letters of tens of thousands too."""
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    library = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(6)
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "a", "ab", ["the", "ing", "tion", "re"], "=", "AaB", [chr(c) for c in range(0x4E00, 0x4F00)], ["abc"]]
+    text = lambda kind, n: "".join(rng.choice(kind) for _ in range(n))
+    for step in (2, 3, 7, 64):
+        monkeypatch.setattr(bpe, "STEP", step)
+        own = bpe.Codec(ranks, public_tokenizers.PATTERN)
+        texts = [text(kind, rng.randrange(1, 60 * step)) for kind in kinds for _ in range(4)]
+        got = [(i, d) for ids, decoded in own.batch(pa.array(texts)) for i, d in zip(ids.to_pylist(), decoded.to_pylist())]
+        assert got == [(library.encode_ordinary(t), t.encode()) for t in texts]
+    long = text(kinds[0], 50_000)
+    ((ids, decoded),) = own.batch(pa.array([long]))
+    assert ids[0].as_py() == library.encode_ordinary(long) and decoded[0].as_py() == long.encode()
