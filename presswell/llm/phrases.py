@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from presswell.llm.common import give_back, materialize, mix64, word_hashes
 
 #: Bytes of the texts that make one shard.
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 4_000_000
+#: Texts that are dealt to the shards of their languages at once.
+TEXTS = 512
 #: Phrases that are put into words at once.
 BATCH = 1 << 16
 #: What ends a piece, and what is between words.
@@ -152,7 +154,8 @@ def _counted(docs: DataFrame, depth: int, marks: bytes | None = None) -> DataFra
             for phrases, counts in shard_counts(pa.concat_arrays(held.pop(lang)), depth, lang, bitmap):
                 yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(pa.scalar(lang), phrases, "\n"), pa.array(counts, pa.int64())], ["key", "f"])
 
-        for part in parts:
+        # Few texts at a time, so that a batch of long ones is not held twice.
+        for part in (p.slice(i, TEXTS) for p in parts for i in range(0, len(p), TEXTS)):
             langs = pc.fill_null(part.column("lang"), "und").dictionary_encode()
             for k, lang in enumerate(langs.dictionary.to_pylist()):
                 own = part.column("text").filter(pc.equal(langs.indices, k))
