@@ -92,6 +92,23 @@ def source_type(source: Column) -> Column:
     return F.when(s.startswith("telegram:"), "telegram").when(s.startswith("rss:"), "rss").otherwise("other")
 
 
+def mined_source(source: Column, kind: Column, link: Column) -> Column:
+    """Struct (source, source_type) under which terms are counted.
+
+    A stated type of rss or telegram holds, then the prefix; else a source with
+    a dot is a domain, and a link to a domain makes it rss too.  Without a source
+    the link's domain, or the type, stands in.
+    """
+    s, stated, host = F.lower(strip(text(source))), F.lower(strip(text(kind))), text(domain(link))
+    first = F.when(stated.isin("rss", "telegram"), stated).otherwise(source_type(s))
+    linked = F.contains(host, F.lit("."))
+    found = F.when(first != "other", first).when(F.contains(s, F.lit(".")) | linked, "rss").otherwise("other")
+    by_link = (first == "other") & ~F.contains(s, F.lit(".")) & linked
+    name = F.when(s != "", s).when(by_link, host).otherwise(found)
+    prefixed = F.when((found == "other") | name.startswith(F.concat(found, F.lit(":"))), name).otherwise(F.concat(found, F.lit(":"), name))
+    return F.struct(prefixed.alias("source"), found.alias("source_type"))
+
+
 def source_name(source: Column, channel: Column, link: Column) -> Column:
     """telegram:<channel>, rss:<domain>, or what there is."""
     s = strip(text(source))

@@ -26,13 +26,15 @@ def best_rows(df: DataFrame, key: str, score: list[str], skip_null: tuple[str, .
     best = df.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
     for name in skip_null:
         known = df.where(F.col(name).isNotNull()).groupBy(key).agg(F.max_by(name, F.struct(*score, *TIES)).alias(name))
-        best = best.drop(name).join(known, key, "left")
+        best = best.drop(name).join(known.hint("merge"), key, "left")  # both are dealt out by the key as it is
     return best
 
 
 def _measured(articles: DataFrame, body: int) -> DataFrame:
     clean_len = F.length(text("clean_text")).cast("long")
-    return articles.withColumns({"dedup_key": dedup_key(), "clean_len": clean_len, "has_body": (clean_len >= body).cast("int")})
+    # A stored key, by which a table may be in buckets, stays as it is.
+    key = {} if "dedup_key" in articles.columns else {"dedup_key": dedup_key()}
+    return articles.withColumns(key | {"clean_len": clean_len, "has_body": (clean_len >= body).cast("int")})
 
 
 def by_load(articles: DataFrame, load_log: DataFrame, nullable: tuple[str, ...] = ()) -> DataFrame:
@@ -50,10 +52,14 @@ def by_load(articles: DataFrame, load_log: DataFrame, nullable: tuple[str, ...]
     return found.withColumnRenamed("clean_len", "best_clean_len")
 
 
-def by_enrichment(articles: DataFrame) -> DataFrame:
-    """Current dedup: source kind, body, length, enrichment, then load time."""
+#: The current score, best first, before the ties.
+ENRICHED = ("source_rank", "has_body", "clean_len", "has_nlp_extras", "has_persons_canon", "has_sentiment", "has_actions", "loaded_at", "published_at")
+
+
+def enriched(articles: DataFrame) -> DataFrame:
+    """Articles with their key and what the current score is made of."""
     labelled = (F.col("sentiment_label") != "neu") | (F.coalesce("sentiment_score", F.lit(0.0)) != 0)
-    rows = _measured(articles, 400).withColumns({
+    return _measured(articles, 400).withColumns({
         "source_type": F.when(F.col("source").startswith("telegram:"), "telegram").when(F.col("source").startswith("rss:"), "rss").otherwise("unknown"),
         "source_rank": F.when(F.col("source").startswith("telegram:"), 3).when(F.col("source").startswith("rss:"), 2).otherwise(1),
         "has_nlp_extras": ((F.col("lang") != "unknown") | (text("keyphrases") != "") | labelled).cast("int"),
@@ -62,8 +68,32 @@ def by_enrichment(articles: DataFrame) -> DataFrame:
         "has_actions": ((text("persons_actions") != "") | (text("actions_verbs") != "")).cast("int"),
         "loaded_at": loaded_at(),
     })
-    score = ["source_rank", "has_body", "clean_len", "has_nlp_extras", "has_persons_canon", "has_sentiment", "has_actions", "loaded_at", "published_at"]
-    return best_rows(rows, "dedup_key", score, ("sentiment_score",)).withColumnRenamed("clean_len", "best_clean_len")
+
+
+def by_enrichment(articles: DataFrame) -> DataFrame:
+    """Current dedup: source kind, body, length, enrichment, then load time."""
+    return best_rows(enriched(articles), "dedup_key", list(ENRICHED), ("sentiment_score",)).withColumnRenamed("clean_len", "best_clean_len")
+
+
+def states(articles: DataFrame) -> DataFrame:
+    """One row per key that later rows of the key can be merged with: the best
+    row, and ``known``, the score and sentiment of the best row that has one."""
+    rows = enriched(articles)
+    known = F.max(F.when(F.col("sentiment_score").isNotNull(), F.struct(*ENRICHED, *TIES, "sentiment_score")))
+    return best_rows(rows, "dedup_key", list(ENRICHED)).join(rows.groupBy("dedup_key").agg(known.alias("known")).hint("merge"), "dedup_key")
+
+
+def merged_states(*some: DataFrame) -> DataFrame:
+    """States of the union of what each was made of."""
+    both = some[0]
+    for more in some[1:]:
+        both = both.unionByName(more)
+    return best_rows(both.drop("known"), "dedup_key", list(ENRICHED)).join(both.groupBy("dedup_key").agg(F.max("known").alias("known")).hint("merge"), "dedup_key")
+
+
+def winners(found: DataFrame) -> DataFrame:
+    """States as ``by_enrichment`` gives them."""
+    return found.withColumn("sentiment_score", F.col("known.sentiment_score")).drop("known").withColumnRenamed("clean_len", "best_clean_len")
 
 
 def by_length(articles: DataFrame) -> DataFrame:
@@ -101,4 +131,7 @@ def latest_coverage(coverage: DataFrame) -> DataFrame:
     last = coverage.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank", "min_published_at", "max_published_at")
     at = F.struct("run_finished_at", "batch_id")
     known = coverage.groupBy(*key).agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), at)).alias(n) for n in ("min_published_at", "max_published_at")])
-    return last.join(known, key)
+    # A run without a source is a source too.
+    here, there = last.alias("l"), known.alias("k")
+    same = F.col("l.source_type").eqNullSafe(F.col("k.source_type")) & F.col("l.source").eqNullSafe(F.col("k.source"))
+    return here.join(there, same).select("l.*", "k.min_published_at", "k.max_published_at")

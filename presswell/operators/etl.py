@@ -1,4 +1,4 @@
-"""Raw to silver to gold, as one lazy plan."""
+"""Raw to silver to gold."""
 
 from __future__ import annotations
 
@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from presswell.functions import records as R
 from presswell.functions.compat import items, text
 from presswell.operators import dedup
-from presswell.operators.summary import VerbHook, no_verbs, persons_actions, summary
+from presswell.operators.summary import VerbHook, no_verbs, persons_actions, spoken, summary
 from presswell.operators.terms import canon_persons, tfidf_keywords
+from presswell.sources.shared import materialize
 
 
 def silver(raw: DataFrame) -> DataFrame:
@@ -27,13 +28,14 @@ def silver(raw: DataFrame) -> DataFrame:
 
 
 def gold(
-    found: DataFrame, published: bool = True, verbs: VerbHook = no_verbs, tagger=None, lemma=None, keep: Callable[[DataFrame], DataFrame] = lambda df: df,
+    found: DataFrame, published: bool = True, verbs: VerbHook = no_verbs, tagger=None, lemma=None, keep: Callable[[DataFrame], DataFrame] = lambda df: materialize(df, "gold-rows"),
 ) -> DataFrame:
     """Silver rows once each, of sufficient quality, with metrics and NLP columns.
 
     Rows keep their identity by what they are de-duplicated by, as ids may
-    repeat.  ``keep`` may write the rows that all later steps read, so that the
-    steps before run once.  ``verbs``, ``tagger`` and ``lemma`` are hooks.
+    repeat.  ``keep`` writes the rows that all later steps read, so that the
+    steps before run once.  ``verbs``, ``tagger`` and ``lemma`` are hooks;
+    verbs of speech count as one, and those that say nothing are left out.
     """
     rows = found.withColumn("published_at", R.published_at(F.col("published_at"))) if published else found
     uid = F.col("uid") if "uid" in rows.columns else F.lit("")
@@ -49,7 +51,7 @@ def gold(
     rows = rows.join(canon, "_row").withColumns({
         "entities_orgs_canon": R.canon_orgs(F.col("entities_orgs")), "entities_geo_canon": R.canon_geo(F.col("entities_geo")),
         "_persons": R.without_lone_surnames(F.col("entities_persons_canon"))})
-    rows = rows.join(persons_actions(rows.select("_row", "nlp_text", "_persons"), "_row", "nlp_text", "_persons", verbs), "_row")
+    rows = rows.join(persons_actions(rows.select("_row", "nlp_text", "_persons"), "_row", "nlp_text", "_persons", spoken(verbs)), "_row")
     phrases = R.merged_phrases(R.keyphrases(F.col("nlp_text"), F.col("lang"), lemma=lemma), F.col("keywords"))
     filled = F.trim("nlp_text") != ""
     rows = rows.withColumns({

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from presswell.functions import constants as K
 from presswell.functions.compat import text
 from presswell.functions.records import strip
+from presswell.operators.gazetteer import fold, named
 
 _WORD = re.compile(r"[A-Za-zА-Яа-яЁё]{2,}")
 _CAPITALISED = re.compile(r"\b(?:[А-ЯЁ][а-яё]+|[A-Z][a-z]+)(?:\s+(?:[А-ЯЁ][а-яё]+|[A-Z][a-z]+)){0,2}\b")
@@ -159,13 +160,15 @@ def person_verb_pairs(docs: DataFrame, body: str, persons: str, verbs: VerbHook)
 def persons_actions(docs: DataFrame, key: str, body: str, persons: str, verbs: VerbHook = no_verbs, each: int = 10, overall: int = 15) -> DataFrame:
     """(key, persons_actions, actions_verbs): what persons do, by sentence.
 
-    A person acts in the sentences that name them, in full or by the last word
-    of the name.  Verbs rank by count, then by first appearance.
+    A person acts in the sentences that name them as whole words, in full or,
+    of several words, by the last one, also with -а or -я; ё is е.  Verbs rank by
+    count, then by first appearance.
     """
-    sentence = F.split(F.lower(strip(text(body))), r"(?<=[.!?…])\s+")
-    rows = docs.select(key, F.filter(F.transform(F.split(F.lower(text(persons)), ";"), strip), lambda p: p != "").alias("ps"), F.posexplode(sentence).alias("at", "s"))
-    rows = rows.select(key, "at", "s", F.explode("ps").alias("person"), verbs(F.col("s")).alias("vs"))
-    rows = rows.where(F.contains("s", "person") | F.contains("s", F.element_at(F.split("person", " "), -1)))
+    folded = fold(F.regexp_replace(strip(text(body)), r"(?U)\s+", " "))
+    people = F.array_distinct(F.filter(F.transform(F.split(fold(text(persons)), ";"), strip), lambda p: p != ""))
+    rows = docs.select(key, people.alias("ps"), F.posexplode(F.split(folded, r"(?<=[.!?…])\s+")).alias("at", "s"))
+    rows = rows.select(key, "at", "s", F.explode("ps").alias("person"), verbs(F.col("s")).alias("vs")).where(F.size("vs") > 0)
+    rows = rows.where(named(F.col("s"), F.col("person")))
     hits = rows.select(key, "person", "at", F.posexplode("vs").alias("i", "verb"))
 
     def ranked(*by: str) -> DataFrame:
@@ -175,6 +178,7 @@ def persons_actions(docs: DataFrame, key: str, body: str, persons: str, verbs: V
 
     join = lambda rank: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "verb"))), lambda r: r["verb"]), rank)
     per = ranked(key, "person").where(F.col("rank") <= each).groupBy(key, "person").agg(F.concat(F.col("person"), F.lit(":"), join(",")).alias("packed"))
-    packed = per.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("packed")), "|").alias("persons_actions"))
+    by_name = F.transform(F.array_sort(F.collect_list(F.struct("person", "packed"))), lambda p: p["packed"])
+    packed = per.groupBy(key).agg(F.array_join(by_name, "|").alias("persons_actions"))
     top = ranked(key).where(F.col("rank") <= overall).groupBy(key).agg(join(";").alias("actions_verbs"))
     return docs.select(key).join(packed, key, "left").join(top, key, "left").na.fill("")

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from presswell.functions import constants as K
-from presswell.functions.compat import once, text
+from presswell.functions.compat import once, run_lengths, text
 from presswell.functions.records import _clean_name, _name_tokens, normalized, strip
 
 
 def terms_of(docs: DataFrame, key: str, column: str, longest: int = 3, stop: list[str] | None = None, lemma=None, keep=None) -> DataFrame:
     """(key, term, tf): counts of runs of one to ``longest`` kept words.
 
-    Texts are dealt out by key, so that a text's runs are counted where they
-    are made.  ``lemma`` takes a word to its base form and ``keep`` tells which
+    A text's runs are counted in its row, so that a row is shuffled for each
+    different one and no text is; the key must tell the rows apart.  ``lemma``
+    takes a word to its base form and ``keep`` tells which
     words count, as a tagger of parts of speech would.
     """
     stop = [*K.STOP_TFIDF, *K.DOMAIN_WORDS] if stop is None else stop
@@ -29,8 +33,30 @@ def terms_of(docs: DataFrame, key: str, column: str, longest: int = 3, stop: lis
         return F.transform(ws, joined) if n > 1 else ws
 
     grams = once(words, lambda ws: F.array_compact(F.concat(*[runs(ws, n) for n in range(1, longest + 1)])))
-    dealt = docs.select(key, column).repartition(key).select(key, F.explode(grams).alias("term"))
-    return dealt.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return docs.select(key, F.explode(run_lengths(grams)).alias("t")).select(key, "t.term", F.col("t.n").cast("long").alias("tf"))
+
+
+#: Characters of a dictionary up to which it is sent to all tasks.
+SENT_CHARS = 16_000_000
+
+
+def lemmatized(docs: DataFrame, key: str, column: str, lemmas: DataFrame, sent_chars: int = SENT_CHARS) -> DataFrame:
+    """(key, column): texts with each word as the dictionary (form, lemma) has it, in lower case and ё as е.
+
+    Words are taken out with their places, joined to the dictionary and put
+    back in order.  Up to ``sent_chars`` characters the dictionary is broadcast;
+    a larger one is shuffled, where Spark may split a word that very many texts
+    have.  Of several lemmas of a form the first by alphabet counts; a word that
+    the dictionary does not know stays; marks between words become a space; a
+    null text has no words.  The key must tell the rows apart.
+    """
+    fold = lambda c: F.replace(F.lower(c), F.lit("ё"), F.lit("е"))
+    known = lemmas.where("form IS NOT NULL AND lemma IS NOT NULL").select(fold(F.col("form")).alias("word"), "lemma").groupBy("word").agg(F.min("lemma").alias("lemma"))
+    size = known.agg(F.coalesce(F.sum(F.length("word") + F.length("lemma")), F.lit(0))).first()[0]
+    words = docs.select(key, F.posexplode(F.regexp_extract_all(fold(text(column)), F.lit("[A-Za-zА-Яа-яЁё]+"), F.lit(0))).alias("at", "word"))
+    joined = words.join(F.broadcast(known) if size <= sent_chars else known, "word", "left").select(key, F.struct("at", F.coalesce("lemma", "word").alias("w")).alias("t"))
+    whole = joined.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list("t")), lambda t: t["w"]), " ").alias(column))
+    return docs.select(key).join(whole, key, "left").select(key, text(column).alias(column))
 
 
 def tfidf_keywords(
@@ -81,16 +107,26 @@ def tf_df(docs: DataFrame, *keys: str, min_chars: int = K.MIN_CLEAN_CHARS, most_
     """(*keys, term, tf, df, df_ratio) from rows of (*keys, clean_text).
 
     Texts under ``min_chars`` and texts without tokens do not count.  With
-    ``most_docs`` only so many documents by ``order`` are looked at.
+    ``most_docs`` only so many documents by ``order`` are looked at.  Keys named
+    lang, source_type and source are in lower case, and 'unknown', 'other' and
+    the source type where there is none.  A text's words are counted in its row;
+    a task shuffles one row for each different term of its texts.
     """
     if most_docs is not None:
         docs = docs.orderBy(order).limit(most_docs)
     words = F.filter(F.regexp_extract_all(normalized(F.col("clean_text")), F.lit("[a-zа-я]+"), F.lit(0)), lambda w: (F.length(w) >= 2) | w.isin(*K.ONE_LETTER_TOKENS))
-    rows = docs.where(F.length(text("clean_text")) >= min_chars).select(*keys, words.alias("ws")).where(F.size("ws") > 0)
-    counts = rows.withColumn("doc", F.monotonically_increasing_id()).select(*keys, "doc", F.explode("ws").alias("term"))
-    counts = counts.groupBy(*keys, "doc", "term").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys, "term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
+    given = lambda value, other: F.coalesce(F.nullif(F.lower(value), F.lit("")), other)
+    known = {"lang": F.lit("unknown"), "source_type": F.lit("other")}
+    named = {k: given(F.col(k), known[k]) for k in keys if k in known}
+    if "source" in keys:
+        named["source"] = given(strip(text("source")), named.get("source_type", F.lit("other")))
+    rows = docs.where(F.length(text("clean_text")) >= min_chars).withColumns(named).select(*keys, run_lengths(words).alias("ts")).where(F.size("ts") > 0)
+    counts = rows.select(*keys, F.explode("ts").alias("t")).groupBy(*keys, "t.term").agg(F.sum("t.n").alias("tf"), F.count(F.lit(1)).alias("df"))
     totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("docs"))
-    return counts.join(totals, list(keys)).withColumn("df_ratio", F.col("df") / F.col("docs")).drop("docs")
+    here, there = counts.alias("c"), totals.alias("t")
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
+    joined = here.join(there, reduce(and_, same)) if keys else here.join(F.broadcast(there))
+    return joined.select("c.*", (F.col("df") / F.col("docs")).alias("df_ratio"))
 
 
 def candidates(stats: DataFrame, ratio: float = 0.6, tf: int = 50, most: int = 2000) -> DataFrame:
@@ -124,15 +160,18 @@ def domain_terms(stats: DataFrame, lang: str, hi: float = 0.15, lo: float = 0.08
     rss = stats.where((F.col("source_type") == "rss") & (F.col("lang") == lang)).select("source", "term", "tf", "df_ratio")
     stops = K.STOP_RU if stop is None else stop
     own = rss.where((F.col("df_ratio") >= hi) & (F.col("tf") >= tf) & ~F.lower("term").isin(*stops))
-    # One row per term that is typical of any source, with the ratios of all sources in order.
+    # One row per term that is typical of any source, with the three ratios of all sources around the place.
     wide = rss.join(own.select("term").distinct(), "term", "left_semi").groupBy("term").agg(
         F.sum("tf").alias("tf_all"), F.sort_array(F.collect_list("df_ratio")).alias("ratios"))
-    at = F.array_position("ratios", F.col("df_ratio")) - 1
     rest = F.size("ratios") - 1
-    # The k-th ratio of the others: from the own entry on, the one after.
-    other = lambda k: F.get("ratios", F.when(k >= at, k + 1).otherwise(k).cast("int"))
     place = (rest - 1) * 0.95
-    below, above = F.floor(place), F.ceil(place)
+    below, above = F.greatest(F.floor(place), F.lit(0)), F.ceil(place)
+    wide = wide.select("term", "tf_all", rest.alias("rest"), place.alias("place"), below.alias("below"), above.alias("above"), F.slice(
+        "ratios", (below + 1).cast("int"), F.lit(3)).alias("near"))
+    rest, place, below, above = (F.col(n) for n in ("rest", "place", "below", "above"))
+    # The k-th ratio of the others: from the own entry on, the one after.
+    at = lambda k: F.get("near", (k - below).cast("int"))
+    other = lambda k: F.when(F.col("df_ratio") <= at(k), at(k + 1)).otherwise(at(k))
     ratio = F.when(rest > 0, other(below) + (other(above) - other(below)) * (place - below)).otherwise(0.0)
     found = own.join(wide, "term").select(
         "source", "term", F.col("tf").alias("tf_hi"), F.col("df_ratio").alias("df_ratio_hi"), (F.col("tf_all") - F.col("tf")).alias("tf_lo"), ratio.alias("df_ratio_lo"))

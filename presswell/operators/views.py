@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from presswell.functions.compat import batch_key, dedup_key, element, hour, items, minutes_between, one_line, share, text
@@ -239,6 +239,23 @@ def sentiment_merged(state: DataFrame) -> DataFrame:
     return some.select("ts_hour", "source", "lang", "cnt", F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("sentiment_avg"), median.alias("sentiment_p50"))
 
 
+def sentiment_values(d: DataFrame) -> DataFrame:
+    """How often each sentiment occurs in an hour: counts that can be taken back."""
+    return count_by(d.withColumn("ts_hour", hour("published_at")), "ts_hour", "source", "lang", "sentiment_score")
+
+
+def sentiment_of_values(counts: DataFrame) -> DataFrame:
+    """The hourly sentiment from counts of its values; the median is the lower one."""
+    keys = ("ts_hour", "source", "lang")
+    whole = Window.partitionBy(*keys)
+    score = F.col("sentiment_score")
+    felt = F.when(score.isNotNull(), F.col("cnt")).otherwise(0)
+    run = counts.withColumns({"n": F.sum(felt).over(whole), "upto": F.sum(felt).over(whole.orderBy(score.asc_nulls_last()))})
+    return run.groupBy(*keys).agg(
+        F.sum("cnt").alias("cnt"), (F.sum(score * F.col("cnt")) / F.nullif(F.max("n"), F.lit(0))).alias("sentiment_avg"),
+        F.min(F.when(2 * F.col("upto") >= F.col("n"), score)).alias("sentiment_p50"))
+
+
 def events(d: DataFrame, column: str, name: str) -> DataFrame:
     return (d.where(text(column) != "").select("published_at", "source", "link", "title", F.explode(items(column, ";|")).alias(name))
             .withColumn(name, F.lower(name)))

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from presswell.functions import constants as K
 from presswell.functions import records as R
 from presswell.functions.compat import items
-from presswell.operators import dedup, etl, quality, summary, terms
+from presswell.operators import dedup, etl, gazetteer, quality, summary, terms
 from presswell.plans.registry import ORACLES, QUERIES
 from presswell.plans.warehouse import _a, _d, current
 from presswell.plans.warehouse_oracles import _ARTICLES, _DEDUP
 from presswell.schemas import ARTICLES, align
 from presswell.sources import adapter, sinks
-from presswell.sources.shared import materialize, shared_dir
+from presswell.sources.shared import shared_dir
 from presswell.streaming import rollups
 
 
@@ -107,7 +107,7 @@ def _gold(spark: SparkSession, d: str) -> DataFrame:
         F.when(n % 10 == 0, F.concat(F.lit("@"), F.col("source"))).otherwise("").alias("channel"),
         F.date_format(F.expr("timestamp_ntz '2024-01-01 00:00:00' + doc_id * 97 * interval '1' second"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_at"),
         F.col("text").alias("raw_text"), F.when(n % 17 == 0, "too_short").otherwise("ok").alias("body_status"))
-    found = etl.gold(etl.silver(raw), keep=lambda rows: materialize(rows, "gold-rows"))
+    found = etl.gold(etl.silver(raw))
     return found.select("id", "link", "source", "source_type", "published_at", "lang", F.length("clean_text").cast("long").alias("clean_chars"), "text_length_chars",
                         "keyphrases_ok", "sentiment_ok", F.size(items("entities_orgs")).alias("orgs"))
 
@@ -151,6 +151,18 @@ FELT = [
     (-3, "слово " * 25, "", None, 0, "lexicon", 149, 0.1), (-4, "прекрасно", "", None, 0, "empty", 0, None),
 ]
 
+ACTED = [
+    ("x1", "Кимоно продал магазин. Ким  купил его.", "Ким", "ким:купил", "купил"), ("x2", "Артём сказал. Его спросил Артем.", "Артем", "артем:сказал,спросил", "сказал;спросил"),
+    ("x3", "Вера Кобылаш купил. Без кобылаша продал; кобылашом сказал.", "Вера Кобылаш", "вера кобылаш:купил,продал,сказал", "купил;продал;сказал"),
+    ("x4", "Ёж_ким продал.", "Ким", "", ""), ("x5", "Анна сказал. Анна Б продал.", "Анна Б;анна", "анна:сказал,продал|анна б:продал", "продал;сказал"), ("x6", None, "Ким", "", ""),
+]
+ACTED_VERBS = ("купил", "продал", "сказал", "спросил")
+GAZETTEER_NAMES = [("person", "Ким"), ("person", "Вера Кобылаш"), ("place", "Орёл"), ("org", "ким"), ("place", " "), (None, "Елец")]
+GAZETTEER = [
+    ("x1", "Ким, кимоно; КИМ-2", "person", "ким", 2, 0), ("x1", None, "org", "ким", 2, 0), ("x2", "о Кобылаша и вера кобылаш", "person", "вера кобылаш", 3, 2),
+    ("x3", "Орел? орёлик", "place", "орел", 1, 0), ("x4", "у Ельца елец", None, "елец", 1, 8),
+]
+
 
 def _pivot(spark: SparkSession, d: str) -> DataFrame:
     return terms.keyword_pivot(current(spark, d), ["that", "with", "nicht", "para"])
@@ -159,6 +171,34 @@ def _pivot(spark: SparkSession, d: str) -> DataFrame:
 #: The verbs that the hooks of the queries know.
 VERBS = ("that", "with", "from")
 
+def _acts(spark: SparkSession, d: str) -> DataFrame:
+    rows = adapter.articles(spark, d).select("id", "clean_text", "entities_persons")
+    cases = spark.createDataFrame([c[:3] for c in ACTED], "id string, clean_text string, entities_persons string")
+    return summary.persons_actions(rows.distinct().union(cases), "id", "clean_text", "entities_persons", summary.listed_verbs(*VERBS, *ACTED_VERBS))
+
+
+def _gazetteer(chars: int):
+    """Articles tagged by the names that several of them have: two words as a person, and one as an organisation."""
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows, c = adapter.articles(spark, d).select("id", "clean_text", "entities_persons").distinct(), F.split("entities_persons", "; ")
+        pair = F.struct(F.lit("person").alias("kind"), F.concat_ws(" ", F.get(c, F.lit(0)), F.get(c, F.lit(1))).alias("name"))
+        one = F.struct(F.lit("org").alias("kind"), F.get(c, F.lit(2)).alias("name"))
+        names = rows.where(F.size(c) == 3).select(F.explode(F.array(pair, one)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("n.*")
+        cases = spark.createDataFrame([c[:2] for c in GAZETTEER if c[1]], "id string, clean_text string")
+        known = names.union(spark.createDataFrame(GAZETTEER_NAMES, "kind string, name string"))
+        return gazetteer.tagged(rows.select("id", "clean_text").union(cases), "id", "clean_text", known, chars)
+
+    return run
+
+
+def _mined_sources(spark: SparkSession, d: str) -> DataFrame:
+    docs, n = _table(spark, d, "documents"), F.col("doc_id")
+    raw = F.when(n % 6 == 0, F.concat(F.lit("Telegram:"), F.col("source"))).when(n % 6 == 1, F.concat(F.lit(" "), F.col("source"), F.lit(".Example.com "))).when(n % 6 == 2, "name").when(
+        n % 6 == 3, F.col("source")).otherwise("")
+    link = F.when(n % 6 == 3, "https://localhost/x").when(n % 6 == 4, "").otherwise(F.concat(F.lit("https://www."), F.col("source"), F.lit(".org/x")))
+    return docs.select("doc_id", R.mined_source(raw, F.when(n % 12 == 3, "RSS").otherwise("json"), link).alias("s")).select("doc_id", "s.source", "s.source_type")
+
+
 QUERIES |= {
     "w02_batch_dedup": _a(lambda a: dedup.within_batch(a).select("id", "source", "link", "title", "published_at")),
     "p10_quality_filter": _a(lambda a: a.where(R.passes_quality(F.when(F.col("is_digest") == 1, " too_short ").otherwise("ok"), F.col("clean_text"))).select("id")),
@@ -199,7 +239,10 @@ QUERIES |= {
     "n10_stopwords_final": lambda s, d: terms.final_list(
         s.createDataFrame([("The ",), ("# note",), ("of",)], "term string"), terms.auto_stopwords(_by_lang(s, d)), s.createDataFrame([("editor",)], "term string"),
         s.createDataFrame([("of",)], "term string")),
-    "f30_persons_actions": _a(lambda a: summary.persons_actions(a, "id", "clean_text", "entities_persons", summary.listed_verbs(*VERBS))),
+    "f30_persons_actions": _acts,
+    "f24_gazetteer": _gazetteer(gazetteer.AUTOMATON_CHARS),
+    "f24_gazetteer_join": _gazetteer(0),
+    "f07_mined_source": _mined_sources,
     "q03_gold_gate": _d(quality.gold_gate),
     "q04_nlp_gate": _d(quality.nlp_gate),
     "q08_nlp_coverage": _d(quality.nlp_coverage),
@@ -356,6 +399,23 @@ _ACTED = r"""s AS (SELECT id, ps, unnest(ss) AS s, generate_subscripts(ss, 1) AS
   h AS (SELECT id, pos, person, unnest(vs) AS verb, generate_subscripts(vs, 1) AS i FROM (
     SELECT id, pos, person, list_filter(regexp_extract_all(s, '[а-яёa-z]+'), lambda w: w IN ('that', 'with', 'from')) AS vs
     FROM (SELECT id, pos, s, unnest(ps) AS person FROM s) WHERE contains(s, person) OR contains(s, string_split(person, ' ')[-1])))"""
+#: The same where the person is named by whole words: in full, or by the last of several words, with -а or -я.
+_WORDED = r"""s AS (SELECT id, ps, unnest(ss) AS s, generate_subscripts(ss, 1) AS pos FROM (SELECT DISTINCT id,
+    list_distinct(list_filter(list_transform(string_split(lower(entities_persons), ';'), lambda x: trim(x)), lambda x: x <> '')) AS ps,
+    string_split(regexp_replace(replace(lower(trim(regexp_replace(clean_text, '\s+', ' ', 'g'))), 'ё', 'е'), '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM articles)),
+  h AS (SELECT id, pos, person, unnest(vs) AS verb, generate_subscripts(vs, 1) AS i FROM (
+    SELECT id, pos, person, list_filter(regexp_extract_all(s, '[а-яёa-z]+'), lambda w: w IN ('that', 'with', 'from')) AS vs
+    FROM (SELECT id, pos, s, unnest(ps) AS person FROM s)
+    WHERE CASE WHEN contains(s, string_split(person, ' ')[-1]) THEN regexp_matches(s, '(?:^|[^\p{L}\p{N}_])(?:' || person || CASE WHEN contains(person, ' ') THEN '|' || string_split(person, ' ')[-1] || '[ая]?' ELSE '' END || ')(?:$|[^\p{L}\p{N}_])') ELSE false END))"""
+#: Words beside one another in a text; ``mark`` is what follows each.
+_TAGGED = rf"""WITH {_ARTICLES}, a AS (SELECT DISTINCT id, clean_text, string_split(entities_persons, '; ') AS c, entities_persons FROM articles),
+  g AS (SELECT kind, name FROM (SELECT unnest(['person', 'org']) AS kind, unnest([lower(c[1] || ' ' || c[2]), lower(c[3])]) AS name FROM a WHERE len(c) = 3) GROUP BY ALL HAVING count(*) > 1),
+  f AS (SELECT kind, name, unnest(list_distinct(CASE WHEN contains(name, ' ') THEN [name, split_part(name, ' ', 2), split_part(name, ' ', 2) || 'а', split_part(name, ' ', 2) || 'я'] ELSE [name] END)) AS form FROM g),
+  w AS (SELECT id, clean_text, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT id, clean_text, string_split(regexp_replace(lower(clean_text), '[^\p{{L}}\p{{N}}_]', ' ', 'g'), ' ') AS ws FROM a)),
+  p AS (SELECT id, clean_text, w, lead(w) OVER o AS next, (sum(length(w) + 1) OVER (o ROWS UNBOUNDED PRECEDING) - length(w) - 1)::BIGINT AS place FROM w WINDOW o AS (PARTITION BY id ORDER BY i)),
+  m AS (SELECT id, kind, name, place FROM p JOIN f ON form = w UNION ALL SELECT id, kind, name, place FROM p JOIN f ON form = w || ' ' || next WHERE substr(clean_text, place + length(w) + 1, 1) = ' ')
+  SELECT id, kind, name, count(*) AS n, min(place) AS first FROM m GROUP BY ALL
+  UNION ALL SELECT * FROM (VALUES {", ".join(f"('{c[0]}', {'NULL' if c[2] is None else repr(c[2])}, '{c[3]}', {c[4]}::BIGINT, {c[5]}::BIGINT)" for c in GAZETTEER)}) AS t"""
 _NORMALIZED = _TOKENS.split("regexp_extract_all(", 1)[1].split(", '[a-zа-я]+')", 1)[0]
 
 ORACLES |= {
@@ -377,13 +437,18 @@ ORACLES |= {
       SELECT doc_id, array_to_string((list_filter(names, lambda x, i: list_position(list_transform(names, lambda y: lower(y)), lower(x)) = i))[1:10], ';') AS entities FROM c""",
     "f26_canon_orgs": f"{_distinct_names('entities_orgs', 'orgs')} UNION ALL {_values(ORGS, 'VARCHAR', 'VARCHAR')}",
     "f27_canon_geo": f"{_distinct_names('entities_geo', 'geo')} UNION ALL {_values(GEO, 'VARCHAR', 'VARCHAR')}",
-    "f30_persons_actions": f"""WITH {_ARTICLES}, {_ACTED},
+    "f30_persons_actions": f"""WITH {_ARTICLES}, {_WORDED},
       n AS (SELECT id, person, verb, count(*) AS n, min(pos * 1000000 + i) AS f FROM h GROUP BY ALL),
       r AS (SELECT *, row_number() OVER (PARTITION BY id, person ORDER BY n DESC, f, verb) AS r FROM n),
       p AS (SELECT id, person || ':' || string_agg(verb, ',' ORDER BY r) AS packed FROM r WHERE r <= 10 GROUP BY id, person),
       o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, f, verb) AS r FROM (SELECT id, verb, count(*) AS n, min(pos * 1000000 + i) AS f FROM h GROUP BY ALL)),
       x AS (SELECT id, string_agg(packed, '|' ORDER BY packed) AS persons_actions FROM p GROUP BY id), y AS (SELECT id, string_agg(verb, ';' ORDER BY r) AS actions_verbs FROM o WHERE r <= 15 GROUP BY id)
-      SELECT a.id, coalesce(x.persons_actions, '') AS persons_actions, coalesce(y.actions_verbs, '') AS actions_verbs FROM articles AS a LEFT JOIN x USING (id) LEFT JOIN y USING (id)""",
+      SELECT a.id, coalesce(x.persons_actions, '') AS persons_actions, coalesce(y.actions_verbs, '') AS actions_verbs FROM (SELECT DISTINCT id, clean_text, entities_persons FROM articles) AS a LEFT JOIN x USING (id) LEFT JOIN y USING (id)
+      UNION ALL SELECT * FROM (VALUES {", ".join(f"('{c[0]}', '{c[3]}', '{c[4]}')" for c in ACTED)}) AS t""",
+    "f24_gazetteer": _TAGGED, "f24_gazetteer_join": _TAGGED,
+    "f07_mined_source": """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'telegram:' || source WHEN 1 THEN 'rss:' || source || '.example.com' WHEN 2 THEN 'rss:name' WHEN 4 THEN 'other'
+        WHEN 5 THEN 'rss:' || source || '.org' ELSE CASE WHEN doc_id % 12 = 3 THEN 'rss:' || source ELSE source END END AS source,
+      CASE WHEN doc_id % 6 = 0 THEN 'telegram' WHEN doc_id % 6 = 4 OR doc_id % 12 = 9 THEN 'other' ELSE 'rss' END AS source_type FROM documents""",
     "f31_verbs_near": rf"""WITH {_ARTICLES}, s AS (SELECT id, ps, unnest(ss) AS s, generate_subscripts(ss, 1) AS pos FROM (SELECT DISTINCT id,
         list_distinct(list_filter(list_transform(string_split(replace(lower(entities_persons), 'ё', 'е'), ';'), lambda x: trim(x)), lambda x: length(x) >= 3)) AS ps,
         string_split(regexp_replace(replace(lower(trim(clean_text)), 'ё', 'е'), '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM articles)),

@@ -10,6 +10,7 @@ from presswell.operators import dedup
 from presswell.operators import views as v
 from presswell.plans.registry import QUERIES
 from presswell.sources import adapter
+from presswell.sources.shared import kept
 
 #: The clock of all queries that ask for one.
 AS_OF = datetime(2024, 1, 15)
@@ -20,7 +21,9 @@ def _a(build):
 
 
 def current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.by_enrichment(adapter.articles(spark, sf_dir))
+    """The de-duplicated articles: written once, and read by all queries until the tables they come from change."""
+    sources = [f"{sf_dir}/{name}.parquet" for name in ("documents", "labels")]
+    return kept(spark, "current-articles", sources, lambda: dedup.by_enrichment(adapter.articles(spark, sf_dir)))
 
 
 def _d(build):

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,3 +36,24 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Where results were written, by application, name and the state of their sources.
+_KEPT: dict[tuple, tuple[str, DataFrame]] = {}
+
+
+def kept(spark: SparkSession, name: str, sources: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """``build()``, written once and read by all who ask for it while its sources stay as they are.
+
+    The state of the sources is the number, the bytes and the last change of
+    their files, which are listed each time.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(sources)
+    state = listed.agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime").cast("long")).first()
+    key = (spark.sparkContext.applicationId, name, *sources, *state)
+    path, df = _KEPT.get(key, (None, None))
+    files = spark._jvm.org.apache.hadoop.fs.Path
+    if path is None or not files(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(files(f"{path}/_SUCCESS")):
+        df = materialize(build(), name)
+        _KEPT[key] = (df.inputFiles()[0].rpartition("/")[0], df) if df.inputFiles() else ("", df)
+    return df

@@ -6,13 +6,14 @@ import warnings
 from datetime import datetime
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from presswell.functions.compat import month
-from presswell.schemas import ARTICLES, COVERAGE, LOAD_LOG, align
+from presswell.schemas import ARTICLES, COVERAGE, align
+from presswell.sources.snapshots import Part, Snapshots
 
 
 def write_lines(df: DataFrame, path: str) -> None:
@@ -58,6 +59,16 @@ def create_views(views: dict[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
+def clustered_table(df: DataFrame, name: str, path: str, by: str = "dedup_key", sort: tuple[str, ...] = ("source", "published_at", "id"), buckets: int = 64) -> DataFrame:
+    """A catalog table in buckets by ``by``, each a file sorted by ``sort``; read back.
+
+    What is grouped, windowed or joined by ``by`` needs no shuffle then.
+    """
+    files = df.repartition(buckets, by).write.mode("overwrite").option("path", path)
+    files.bucketBy(buckets, by).sortBy(*sort).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def rebuild_table(df: DataFrame, path: str) -> DataFrame:
     """Write a table anew and read it back."""
     df.write.mode("overwrite").parquet(path)
@@ -76,53 +87,69 @@ def json_lines(df: DataFrame) -> DataFrame:
 
 
 class Warehouse:
-    """Articles by batch and object, their load log and the coverage of runs, as Parquet under one folder."""
+    """Articles by batch and object, their load log and the coverage of runs, under one folder.
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.articles_path, self.log_path, self.coverage_path = spark, f"{root}/articles", f"{root}/load_log", f"{root}/coverage"
+    Articles are parts of a snapshot table: what a load has staged is seen, and
+    logged, by one commit.
+    """
 
-    def _read(self, path: str, schema) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(path)
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            return self.spark.createDataFrame([], schema)
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.coverage_path, self.store = spark, f"{root}/coverage", Snapshots(spark, f"{root}/articles")
 
-    def articles(self) -> DataFrame:
-        return self._read(self.articles_path, ARTICLES)
+    def articles(self, version: int | None = None) -> DataFrame:
+        return self.store.read(self.store.parts("articles", version), ARTICLES)
 
     def load_log(self) -> DataFrame:
-        return self._read(self.log_path, LOAD_LOG)
+        rows = [("gold", p["object_name"], p["at"], p["rows"]) for p in self.store.parts("load_log")]
+        log = self.spark.createDataFrame(rows, "layer string, object_name string, at string, rows_loaded bigint")
+        return log.select("layer", "object_name", F.to_timestamp_ntz("at").alias("loaded_at"), "rows_loaded")
 
     def coverage(self) -> DataFrame:
-        return self._read(self.coverage_path, T.StructType([*COVERAGE.fields, T.StructField("month", T.StringType())])).drop("month")
+        schema = T.StructType([*COVERAGE.fields, T.StructField("month", T.StringType())])
+        try:
+            return self.spark.read.schema(schema).parquet(self.coverage_path).drop("month")
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            return self.spark.createDataFrame([], schema).drop("month")
 
     def load(self, gold: DataFrame, object_name: str, batch_id: str, at: datetime, force: bool = False) -> int:
         """Load one gold object; 0 rows if it was loaded before.
 
-        A batch may have many objects.  An object is a partition of its batch
-        that is overwritten, so that ``force``, and a repeated load after one
-        that failed half-way, replace its own rows and no others.
+        A batch may have many objects.  ``force`` replaces the object's own rows
+        and no others, also by none.  Rows are staged and counted before they are
+        seen; a load that fails at any step leaves all as it was.
         """
-        if not force and not self.load_log().where((F.col("layer") == "gold") & (F.col("object_name") == object_name)).isEmpty():
+        def loaded(parts: list[Part]) -> bool:
+            return any((p["table"], p["object_name"]) == ("load_log", object_name) for p in parts)
+
+        if not force and loaded(self.store.parts()):
             return 0
         rows = align(gold.withColumns({"ingest_object_name": F.lit(object_name), "batch_id": F.lit(batch_id)}), ARTICLES)
-        ordered = rows.sortWithinPartitions("source", "published_at", "id")
-        ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "ingest_object_name").parquet(self.articles_path)
-        count = self.articles().where((F.col("batch_id") == batch_id) & (F.col("ingest_object_name") == object_name)).count()
-        if count != rows.count():
+        seen = Observation()
+        path = self.store.stage(rows.observe(seen, F.count(F.lit(1)).alias("rows")).sortWithinPartitions("source", "published_at", "id"))
+        part: Part = {"table": "articles", "path": path, "object_name": object_name, "batch_id": batch_id}
+        count = self.store.read([part], ARTICLES).count()
+        if count != seen.get["rows"]:
             raise ValueError(f"{object_name}: stored rows differ from those loaded")
-        entry = self.spark.createDataFrame([("gold", object_name, at.strftime("%Y-%m-%d %H:%M:%S"), count)], "layer string, object_name string, at string, rows_loaded bigint")
-        entry.select("layer", "object_name", F.to_timestamp_ntz("at").alias("loaded_at"), "rows_loaded").write.mode("append").parquet(self.log_path)
-        return count
+        entry: Part = {"table": "load_log", "object_name": object_name, "at": at.strftime("%Y-%m-%d %H:%M:%S"), "rows": count}
+        done = []
+
+        def change(parts: list[Part]) -> list[Part]:
+            # Someone else may have loaded the object meanwhile.
+            done[:] = [force or not loaded(parts)]
+            own = lambda p: p["table"] == "articles" and (p["object_name"], p["batch_id"]) == (object_name, batch_id)
+            return [*(p for p in parts if not own(p)), part, entry] if done[0] else parts
+
+        self.store.commit(change)
+        return count if done[0] else 0
 
     def delete_batch(self, batch_id: str) -> bool:
         """Remove a batch with all its objects before it is loaded anew; whether there was one."""
-        jvm = self.spark._jvm
-        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString("batch_id", batch_id)
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.articles_path}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        if all(p["batch_id"] != batch_id for p in self.store.parts("articles")):
+            return False
+        self.store.commit(lambda parts: [p for p in parts if p["table"] != "articles" or p["batch_id"] != batch_id])
+        return True
 
     def append_coverage(self, runs: DataFrame) -> bool:
         """Add rows about collector runs, by month; a failure is a warning and false."""

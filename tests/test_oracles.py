@@ -3,7 +3,7 @@
 import compare
 import pytest
 
-from presswell.plans import registry, text, warehouse, warehouse_oracles  # noqa: F401
+from presswell.plans import kept, registry, text, warehouse, warehouse_oracles  # noqa: F401
 
 
 @pytest.fixture(scope="module")
