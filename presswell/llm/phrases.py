@@ -153,6 +153,7 @@ def _counted(docs: DataFrame, depth: int, marks: bytes | None = None) -> DataFra
             size.pop(lang)
             for phrases, counts in shard_counts(pa.concat_arrays(held.pop(lang)), depth, lang, bitmap):
                 yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(pa.scalar(lang), phrases, "\n"), pa.array(counts, pa.int64())], ["key", "f"])
+            give_back()
 
         # Few texts at a time, so that a batch of long ones is not held twice.
         for part in (p.slice(i, TEXTS) for p in parts for i in range(0, len(p), TEXTS)):
