@@ -105,8 +105,8 @@ def anchor_links(fps: DataFrame, threshold: int = 3, crowded: int = CROWDED, blo
     """(a, b) links that connect exactly the fingerprints within ``threshold``.
 
     Anchors with few home members compare by an equi-join.  At crowded anchors
-    both sides are cut into blocks of ``block``; each pair of blocks is its own
-    group and returns the spanning forest of its links, so that neither a task
+    both sides, members and replicas, are cut into blocks of ``block`` by their own
+    counts; each pair of blocks is its own group and returns the spanning forest of its links, so that neither a task
     nor the result grows with the square of a crowd.
     """
     if threshold > 3:
@@ -128,15 +128,19 @@ def anchor_links(fps: DataFrame, threshold: int = 3, crowded: int = CROWDED, blo
     )
 
     crowd = sizes.where(F.col("n") > crowded)
-    cuts = F.ceil(F.col("n") / block).cast("int")
-    cut = lambda c: F.pmod(F.xxhash64(c), F.col("cuts"))
+    # Written, as the replicas of a crowded anchor are counted before they are cut.
+    replicas = materialize(near.join(crowd.hint("merge"), ["half", "anchor"]), "crowded-replicas")
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+    cuts = replicas.groupBy("half", "anchor").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("r")).select("half", "anchor", blocks("n").alias("own"), blocks("r").alias("other"))
+    cut = lambda c, many: F.pmod(F.xxhash64(c), F.col(many))
+    each = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
     left = (
-        home.where(F.col("n") > crowded).withColumn("cuts", cuts)
-        .select("half", "anchor", F.col("a").alias("fp"), cut("a").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("j"), F.lit(True).alias("home"))
+        home.where(F.col("n") > crowded).join(cuts.hint("merge"), ["half", "anchor"])
+        .select("half", "anchor", F.col("a").alias("fp"), cut("a", "own").alias("i"), each("other").alias("j"), F.lit(True).alias("home"))
     )
     right = (
-        near.join(crowd.hint("merge"), ["half", "anchor"]).withColumn("cuts", cuts)
-        .select("half", "anchor", F.col("b").alias("fp"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("i"), cut("b").alias("j"), F.lit(False).alias("home"))
+        replicas.join(cuts.hint("merge"), ["half", "anchor"])
+        .select("half", "anchor", F.col("b").alias("fp"), each("own").alias("i"), cut("b", "other").alias("j"), F.lit(False).alias("home"))
     )
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:

@@ -174,6 +174,35 @@ def test_spans_of_repeated_beginnings():
     assert substring.matched_spans(word(60), word(60), 46, 0.8) == []
 
 
+def test_few_members_and_many_replicas(spark):
+    """Beside an anchor with few members lies a crowd: its replicas are cut by their own number, and no link is lost."""
+    rng = random.Random(13)
+    base = rng.getrandbits(64)
+    word = lambda bits: base ^ sum(1 << b for b in bits)
+    # One half is common to all; the other halves differ in many bits, but for a few planted pairs.
+    fps = {base ^ (rng.getrandbits(31) << 32) ^ (1 << rng.randrange(31)) for _ in range(400)} | {base ^ (rng.getrandbits(31) << 32) for _ in range(12)}
+    fps |= {word(bits) for bits in ((40,), (40, 41), (50, 3), (51, 4, 5))}
+    signed = [simhash._signed(x) for x in sorted(fps)]
+    df = spark.createDataFrame([(x,) for x in signed], "fp bigint")
+    got = {tuple(sorted(p)) for r in simhash.anchor_links(df, 3, 5, 16).collect() for p in [(r["a"], r["b"])]}
+    want = {(x, y) for i, x in enumerate(signed) for y in signed[i + 1 :] if bin((x ^ y) & (2**64 - 1)).count("1") <= 3}
+    root = {x: x for x in signed}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    def groups(links):
+        for x in signed:
+            root[x] = x
+        for x, y in links:
+            root[find(x)] = find(y)
+        return sorted(sorted(x for x in signed if find(x) == r) for r in {find(x) for x in signed})
+
+    assert groups(want) == groups(got) and got <= {tuple(sorted((x, y))) for g in groups(want) for x in g for y in g}
+
+
 def test_chains_are_those_of_all_pairs():
     """Each run follows the best of all runs before it, as when all are compared."""
     rng = random.Random(11)
