@@ -45,6 +45,27 @@ def missing_settings(found: dict[str, str], required: tuple[str, ...]) -> list[s
     return [n for n in required if not str(found.get(n) or "").strip()]
 
 
+#: Fixed values that stand for a setting that no one has filled in.
+PLACEHOLDERS = ("__FILL_ME__", "__REPLACE_ME__", "FILL_ME", "REPLACE_ME", "change-me-please")
+
+
+def setting_faults(
+    found: dict[str, str], required: tuple[str, ...], pairs: tuple[tuple[str, str], ...] = (), ports: tuple[str, ...] = (), one_of: tuple[tuple[str, ...], ...] = (),
+) -> list[str]:
+    """What is wrong with settings: absent or blank ones, placeholders, pairs that differ, ports that are no number from 1 to 65535.
+
+    Of the groups in ``one_of`` the first that has any of its settings must be whole.
+    """
+    begun = [group for group in one_of if any(found.get(n) for n in group)]
+    wanted = (*required, *(begun[0] if begun else ()))
+    faults = [f"missing: {n}" for n in missing_settings(found, wanted)]
+    if one_of and not begun:
+        faults.append("missing: one of " + ", ".join(group[0] for group in one_of))
+    faults += [f"placeholder: {n}" for n in wanted if found.get(n) in PLACEHOLDERS]
+    faults += [f"different: {a}, {b}" for a, b in pairs if found.get(a) != found.get(b)]
+    return faults + [f"no port: {n}" for n in ports if found.get(n) and not (str(found[n]).isdecimal() and 0 < int(found[n]) < 65536)]
+
+
 def media_stats(posts: DataFrame) -> DataFrame:
     """Posts, their lengths, and the shares with video and photo; one row."""
     size = F.length(text("content"))

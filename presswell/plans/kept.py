@@ -150,7 +150,18 @@ def lemma_texts(chars: int):
     return run
 
 
+def closed_hours(spark: SparkSession, d: str) -> DataFrame:
+    """Events by hour and type, as a stream gives them: the hours that the watermark has passed."""
+    root, events = _folder(spark, "hours"), spark.read.parquet(f"{d}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    events.repartition(3, "event_id").write.parquet(f"{root}/events")
+    found = rollups.tumbling_counts(spark.readStream.schema(events.schema).parquet(f"{root}/events")).withColumn("ts_start", F.col("ts_start").cast("timestamp_ntz"))
+    stream = found.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
+    stream.start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{root}/out")
+
+
 QUERIES |= {
+    "t01_closed_hours": closed_hours,
     "k05_footer_constants": constants,
     "s01_json_arrays": json_arrays,
     "n02_lemma_texts": lemma_texts(terms.SENT_CHARS),
@@ -176,6 +187,8 @@ _LEMMAS = r"""WITH x AS (SELECT doc_id, regexp_extract_all(replace(lower(text),
     j AS (SELECT doc_id, string_agg(coalesce(lemma, w), ' ' ORDER BY i) AS s FROM t LEFT JOIN m ON form = w GROUP BY doc_id)
     SELECT doc_id, length(coalesce(s, '')) AS chars, md5(coalesce(s, '')) AS digest FROM documents LEFT JOIN j USING (doc_id)"""
 ORACLES |= {
+    "t01_closed_hours": """SELECT * FROM (SELECT date_trunc('hour', ts) AS ts_start, event_type, count(*) AS cnt FROM events GROUP BY 1, 2)
+        WHERE ts_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""",
     "k05_footer_constants": f"""WITH {_ARTICLES} SELECT CASE ingest_object_name WHEN 'gold_1.parquet' THEN 'gold_0.parquet' ELSE ingest_object_name END AS object, count(*)::BIGINT AS rows,
         count(DISTINCT ingest_object_name) = 1 AS constant FROM articles GROUP BY object""",
     "s01_json_arrays": "SELECT doc_id, text, lang, source, n_chars FROM documents",

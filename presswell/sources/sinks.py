@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import warnings
 from datetime import datetime
 
@@ -47,6 +48,25 @@ def raw_key(source: str, at: datetime) -> str:
     return f"raw/{at:%Y-%m-%d}/{source}/articles_{at:%Y%m%d_%H%M%S}.json"
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """Rows as CSV with a header, quotes doubled, as the readers take it."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def store_report(spark: SparkSession, root: str, report: str, at: datetime, last_hours: int | None = None, commit: str = "") -> str:
+    """Put a report and what is known about it under keys of its own; the report's key."""
+    run, day = f"{at:%Y%m%d_%H%M%S}", f"{at:%Y-%m-%d}"
+    base = f"reports/dt={day}/run_id={run}"
+    facts = {"run_id": run, "dt": day, "report_object_key": f"{base}/daily_report.md", "last_hours": "" if last_hours is None else str(last_hours), "git_commit": commit,
+             "uploaded_at": f"{at:%Y-%m-%dT%H:%M:%SZ}"}
+    for name, content in (("daily_report.md", report), ("metadata.json", json.dumps(facts, indent=2, ensure_ascii=False))):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{base}/{name}")
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+        out.write(content.encode())
+        out.close()
+    return facts["report_object_key"]
+
+
 def write_months(df: DataFrame, path: str, column: str) -> None:
     """A table partitioned by the month of ``column``; the months that ``df`` has are replaced."""
     by_month = df.withColumn("month", month(column))

@@ -1,16 +1,19 @@
 """Names in texts, dictionaries, JSON arrays by ranges, footers: against slow versions."""
 
 import json
+import math
 import random
 import re
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from presswell.functions import records as R
 from presswell.functions.compat import run_lengths
-from presswell.operators import gazetteer, terms
-from presswell.sources import arrays, footers
+from presswell.operators import gazetteer, quality, terms
+from presswell.operators import summary as summaries
+from presswell.sources import arrays, footers, readers, sinks
 
 NAMES = [("p", "Ким"), ("p", "Иван  Ким "), ("p", "Анна-Мария Ёж"), ("o", "a.b"), ("o", "(x) y"), ("p", "Лия Река"), ("o", "$"), ("o", ""), ("o", None), (None, "\\E z")]
 PARTS = ["ким", "кима", "Кимоно", "иван", "Иван ким", "анна-мария", "ёж", "ежа", "a.b", "a.bc", "(x) y", "рекая", "река", "_ким", "x", "y", "\\E z", "kiḿ"]
@@ -134,3 +137,78 @@ def test_footers(spark, tmp_path):
     pq.write_table(pa.table({"s": ["a", "a"]}), tmp_path / "q" / "x.parquet", write_statistics=False)
     (doubt,) = footers.not_constant(spark, f"file://{tmp_path}/q", "s", "a").collect()
     assert not doubt["proven"] and footers.is_constant(spark, f"file://{tmp_path}/q", "s", "a") and not footers.is_constant(spark, f"file://{tmp_path}/q", "s", "b")
+
+
+def test_csv_and_reports(spark, tmp_path):
+    rows = [(1, 'a "quoted", b'), (2, None)]
+    sinks.write_csv(spark.createDataFrame(rows, "n int, t string"), f"file://{tmp_path}/x.csv")
+    assert sorted(map(tuple, readers.read(spark, f"file://{tmp_path}/x.csv", "n int, t string").collect())) == rows
+    key = sinks.store_report(spark, f"file://{tmp_path}/s", "# é\n", datetime(2026, 1, 2, 3, 4, 5), 24, "abc")
+    assert key == "reports/dt=2026-01-02/run_id=20260102_030405/daily_report.md" and (tmp_path / "s" / key).read_text() == "# é\n"
+    facts = json.loads((tmp_path / "s" / key).with_name("metadata.json").read_text())
+    assert facts["report_object_key"] == key and facts["last_hours"] == "24" and facts["git_commit"] == "abc" and facts["uploaded_at"] == "2026-01-02T03:04:05Z"
+
+
+def test_settings():
+    groups = (("ADMIN_USER", "ADMIN_PASSWORD"), ("WWW_USER",))
+    good = {"A": "1", "B": "1", "PORT": "8123", "ADMIN_USER": "u", "ADMIN_PASSWORD": "p"}
+    assert quality.setting_faults(good, ("A", "PORT"), (("A", "B"),), ("PORT",), groups) == []
+    bad = {"A": "FILL_ME", "B": "2", "PORT": "70000", "ADMIN_USER": "u"}
+    assert quality.setting_faults(bad, ("A", "C"), (("A", "B"),), ("PORT",), groups) == [
+        "missing: C", "missing: ADMIN_PASSWORD", "placeholder: A", "different: A, B", "no port: PORT"]
+    assert quality.setting_faults({}, (), one_of=groups) == ["missing: one of ADMIN_USER, WWW_USER"]
+
+
+# ---- summaries ----------------------------------------------------------------
+
+def slow_summary(text):
+    """The summary by dense vectors and plain loops."""
+    folded = re.sub(r"\s+", " ", (text or "").strip())
+    parts = [p.strip() for p in re.split(r"(?<=[.!?])\s+(?=[A-ZА-ЯЁ0-9])", folded) if p.strip()]
+    word = re.compile(r"[A-Za-zА-Яа-яЁё]{2,}")
+    parts = [p for p in parts if len(p) >= 25 and len(word.findall(p)) >= 5 and sum(c in "!?:;…" for c in p) < max(4, len(p) // 25)] or parts
+    if len(parts) <= 3:
+        return " ".join(parts)[:700].strip()
+    bags = []
+    for p in parts:
+        ws = [w.replace("ё", "е") for w in word.findall(p.lower())]
+        ws = [w for w in ws if w not in summaries._STOPS]
+        bags.append(ws + [f"{a} {b}" for a, b in zip(ws, ws[1:])])
+    n, df, total = len(parts), {}, {}
+    for bag in bags:
+        for g in set(bag):
+            df[g] = df.get(g, 0) + 1
+        for g in bag:
+            total[g] = total.get(g, 0) + 1
+    known = sorted((g for g in df if df[g] <= 0.95 * n), key=lambda g: (-total[g], g))[:4000]
+    rows = []
+    for bag in bags:
+        row = [bag.count(g) * (math.log((1 + n) / (1 + df[g])) + 1) if g in set(bag) else 0.0 for g in known]
+        norm = math.sqrt(sum(x * x for x in row))
+        rows.append([x / norm if norm else 0.0 for x in row])
+    if not any(map(any, rows)):
+        return " ".join(parts[:3])[:700].strip()
+    score = [sum(r) * (1.0 - 0.3 * i / (n - 1)) for i, r in enumerate(rows)]
+    names = summaries._names(text, 6)
+    hits = [sum(x in p.lower().replace("ё", "е") for x in names) for p in parts]
+    if max(hits):
+        mean = sum(score) / n
+        score = [s + 0.25 * (mean + 1e-9) * h / max(hits) for s, h in zip(score, hits)]
+    chosen, used = [], set()
+    for _ in range(3):
+        best = None
+        for i in range(n):
+            if i in chosen:
+                continue
+            near = max((sum(a * b for a, b in zip(rows[i], rows[j])) for j in chosen), default=0.0)
+            gain = score[i] - 0.7 * near - 0.15 * sum(x in used for x in summaries._names(parts[i], 5))
+            if best is None or gain > best[0] + 1e-9 or (abs(gain - best[0]) <= 1e-9 and score[i] > score[best[1]] + 1e-9):
+                best = (gain, i)
+        chosen.append(best[1])
+        used |= set(summaries._names(parts[best[1]], 5))
+    return " ".join(parts[i] for i in sorted(chosen))[:700].strip()
+
+
+def test_summaries_of_the_test_tables(spark, small):
+    rows = spark.read.parquet(f"{small}/documents.parquet").where("length(text) < 6000").select("text", summaries.summary("text").alias("s")).collect()
+    assert len(rows) > 100 and sum(r["s"] != slow_summary(r["text"]) for r in rows) == 0
