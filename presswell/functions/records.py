@@ -359,7 +359,7 @@ def _longest_first(phrases: Column, most: int) -> Column:
     A containing phrase comes earlier, and is itself kept or inside a kept one,
     so each phrase is only compared with those kept so far.
     """
-    ranked = F.array_sort(F.transform(phrases, lambda p: F.struct((-F.length(p)).alias("size"), p.alias("p"))))
+    ranked = F.sort_array(F.transform(phrases, lambda p: F.struct((-F.length(p)).alias("size"), p.alias("p"))))
     add = lambda kept, r: F.when((F.size(kept) >= most) | F.exists(kept, lambda q: F.contains(q, r["p"])), kept).otherwise(F.concat(kept, F.array(r["p"])))
     return F.aggregate(ranked, F.array().cast("array<string>"), add)
 

@@ -85,8 +85,10 @@ def entities_by_hour(d: DataFrame, persons: str = "entities_persons_canon") -> D
 
 
 def sentiment_by_hour(d: DataFrame) -> DataFrame:
-    return d.groupBy(hour("published_at").alias("ts_hour"), "source", "lang").agg(
-        _rows(), F.avg("sentiment_score").alias("sentiment_avg"), F.percentile("sentiment_score", 0.5).alias("sentiment_p50"))
+    # The exact median from how often each value occurs, so that a large hour costs its different values.
+    return sentiment_values(d).groupBy("ts_hour", "source", "lang").agg(
+        F.sum("cnt").alias("cnt"), (F.sum(F.col("sentiment_score") * F.col("cnt")) / F.sum(F.when(F.col("sentiment_score").isNotNull(), F.col("cnt")))).alias("sentiment_avg"),
+        F.percentile("sentiment_score", 0.5, F.col("cnt")).alias("sentiment_p50"))
 
 
 def topics_by_hour(d: DataFrame, limit: int = 50) -> DataFrame:
