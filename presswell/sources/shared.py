@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,13 +33,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     Cuts the lineage: what is read afterwards survives the loss of an executor
     and is never computed twice.
     """
+    path, schema = _written(df, tag)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def _written(df: DataFrame, tag: str) -> tuple[str, StructType]:
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path, df.schema
 
 
-#: Where results were written, by application, name and the state of their sources.
-_KEPT: dict[tuple, tuple[str, DataFrame]] = {}
+#: Where results were written and their schemas, by application, name and the state of their sources.
+_KEPT: dict[tuple, tuple[str, StructType]] = {}
 
 
 def kept(spark: SparkSession, name: str, sources: list[str], build: Callable[[], DataFrame]) -> DataFrame:
@@ -51,9 +56,9 @@ def kept(spark: SparkSession, name: str, sources: list[str], build: Callable[[],
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(sources)
     state = listed.agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime").cast("long")).first()
     key = (spark.sparkContext.applicationId, name, *sources, *state)
-    path, df = _KEPT.get(key, (None, None))
+    path, schema = _KEPT.get(key, (None, None))
     files = spark._jvm.org.apache.hadoop.fs.Path
     if path is None or not files(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(files(f"{path}/_SUCCESS")):
-        df = materialize(build(), name)
-        _KEPT[key] = (df.inputFiles()[0].rpartition("/")[0], df) if df.inputFiles() else ("", df)
-    return df
+        path, schema = _written(build(), name)
+        _KEPT[key] = path, schema
+    return spark.read.schema(schema).parquet(path)
