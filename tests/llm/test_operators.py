@@ -50,6 +50,14 @@ def test_quality_counts(spark):
     assert got == {i: slow_counts(t) for i, t in enumerate(texts)}
 
 
+def test_quality_rules_are_the_oracle_where_cutoffs_fire(spark):
+    """On ten thousand documents strata have enough good ones for cutoffs, and these reject rows."""
+    large = "/root/testdata/sf0.1"
+    found = queries.op2_quality_rules(spark, large)
+    assert found.where("NOT kept AND NOT base_failed").count() > 100
+    assert compare.differences(found, queries.ORACLES["op2_quality_rules"], compare.connect(large)) == ""
+
+
 def test_quality_cutoffs_keep_the_risk(spark):
     rng = random.Random(5)
     rows, marks = [], []
