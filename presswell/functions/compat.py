@@ -48,17 +48,6 @@ def once(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def run_lengths(values: Column) -> Column:
-    """The distinct elements of an array in order, each with how often it occurs: structs of term and n."""
-    def counted(ordered: Column) -> Column:
-        size = F.size(ordered)
-        places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
-        begins = F.filter(places, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
-        return once(begins, lambda bs: F.transform(bs, lambda b, k: F.struct(F.get(ordered, b).alias("term"), (F.coalesce(F.get(bs, k + 1), size) - b).alias("n"))))
-
-    return once(F.sort_array(values), counted)
-
-
 def hour(c: Column | str) -> Column:
     return F.date_trunc("HOUR", c).cast("timestamp_ntz")
 

@@ -9,16 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from presswell.functions import constants as K
-from presswell.functions.compat import once, run_lengths, text
+from presswell.functions.compat import once, text
 from presswell.functions.records import _clean_name, _name_tokens, normalized, strip
 
 
 def terms_of(docs: DataFrame, key: str, column: str, longest: int = 3, stop: list[str] | None = None, lemma=None, keep=None) -> DataFrame:
     """(key, term, tf): counts of runs of one to ``longest`` kept words.
 
-    A text's runs are counted in its row, so that a row is shuffled for each
-    different one and no text is; the key must tell the rows apart.  ``lemma``
-    takes a word to its base form and ``keep`` tells which
+    Texts are dealt out by key, so that a text's runs are counted where they
+    are made.  ``lemma`` takes a word to its base form and ``keep`` tells which
     words count, as a tagger of parts of speech would.
     """
     stop = [*K.STOP_TFIDF, *K.DOMAIN_WORDS] if stop is None else stop
@@ -33,7 +32,8 @@ def terms_of(docs: DataFrame, key: str, column: str, longest: int = 3, stop: lis
         return F.transform(ws, joined) if n > 1 else ws
 
     grams = once(words, lambda ws: F.array_compact(F.concat(*[runs(ws, n) for n in range(1, longest + 1)])))
-    return docs.select(key, F.explode(run_lengths(grams)).alias("t")).select(key, "t.term", F.col("t.n").cast("long").alias("tf"))
+    dealt = docs.select(key, column).repartition(key).select(key, F.explode(grams).alias("term"))
+    return dealt.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 #: Characters of a dictionary up to which it is sent to all tasks.
@@ -109,8 +109,7 @@ def tf_df(docs: DataFrame, *keys: str, min_chars: int = K.MIN_CLEAN_CHARS, most_
     Texts under ``min_chars`` and texts without tokens do not count.  With
     ``most_docs`` only so many documents by ``order`` are looked at.  Keys named
     lang, source_type and source are in lower case, and 'unknown', 'other' and
-    the source type where there is none.  A text's words are counted in its row;
-    a task shuffles one row for each different term of its texts.
+    the source type where there is none.
     """
     if most_docs is not None:
         docs = docs.orderBy(order).limit(most_docs)
@@ -120,8 +119,9 @@ def tf_df(docs: DataFrame, *keys: str, min_chars: int = K.MIN_CLEAN_CHARS, most_
     named = {k: given(F.col(k), known[k]) for k in keys if k in known}
     if "source" in keys:
         named["source"] = given(strip(text("source")), named.get("source_type", F.lit("other")))
-    rows = docs.where(F.length(text("clean_text")) >= min_chars).withColumns(named).select(*keys, run_lengths(words).alias("ts")).where(F.size("ts") > 0)
-    counts = rows.select(*keys, F.explode("ts").alias("t")).groupBy(*keys, "t.term").agg(F.sum("t.n").alias("tf"), F.count(F.lit(1)).alias("df"))
+    rows = docs.where(F.length(text("clean_text")) >= min_chars).withColumns(named).select(*keys, words.alias("ws")).where(F.size("ws") > 0)
+    counts = rows.withColumn("doc", F.monotonically_increasing_id()).select(*keys, "doc", F.explode("ws").alias("term"))
+    counts = counts.groupBy(*keys, "doc", "term").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys, "term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
     totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("docs"))
     here, there = counts.alias("c"), totals.alias("t")
     same = [F.col(f"c.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]

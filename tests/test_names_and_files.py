@@ -10,7 +10,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from presswell.functions import records as R
-from presswell.functions.compat import run_lengths
 from presswell.operators import gazetteer, quality, terms
 from presswell.operators import summary as summaries
 from presswell.sources import arrays, footers, readers, sinks
@@ -50,12 +49,6 @@ def test_named(spark):
     assert all(r["got"] == r["want"] for r in df.withColumn("got", gazetteer.named(F.col("s"), F.col("n"))).collect())
 
 
-def test_run_lengths(spark):
-    rows = [([],), (["a"],), (["b", "a", "b", "b"],), (None,)]
-    got = [r[0] for r in spark.createDataFrame(rows, "x array<string>").select(run_lengths(F.col("x"))).collect()]
-    assert [[tuple(t) for t in g] if g is not None else None for g in got][:3] == [[], [("a", 1)], [("a", 1), ("b", 3)]]
-
-
 def test_terms_of_texts_without_lang_or_source(spark):
     body = "word other " * 40
     rows = [(None, None, None, body), (None, "", "RSS", body), ("EN", " A ", "rss", body), ("en", "a", "rss", "third " * 80)]
@@ -65,14 +58,6 @@ def test_terms_of_texts_without_lang_or_source(spark):
                    ("rss", "rss", "unknown", "other", 40, 1, 1.0), ("a", "rss", "en", "word", 40, 1, 0.5), ("a", "rss", "en", "other", 40, 1, 0.5), ("a", "rss", "en", "third", 80, 1, 0.5)}
 
 
-def test_counts_shuffle_no_text(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    counted = terms.terms_of(docs, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in counted
-    plan = terms.tf_df(docs.withColumnRenamed("text", "clean_text"), "lang")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("hashpartitioning") <= 4 and "monotonically" not in plan
-
-
 @pytest.mark.parametrize("chars", [10**6, -1])
 def test_lemmas(spark, chars):
     docs = spark.createDataFrame([(1, "Ёжики бегали, Ёжик бегал."), (2, None), (3, "... 12"), (4, "бегали бегали")], "id int, t string")
