@@ -321,47 +321,43 @@ def keyphrases(c: Column, lang: Column, most: int = 30, longest: int = 3, lemma=
 
     A phrase inside a longer one is left out; the longest come first, then by
     alphabet.  Frequency plays no part in the order, so nothing is counted.
-    ``lemma`` takes a word to its base form; ``domain`` adds Russian stop words.
+    Between stop words, runs of ``longest`` words are looked at, and where there
+    are fewer all of them: a shorter phrase lies inside one of these, and is no
+    better than it, so it would be left out.  ``lemma`` takes a word to its base
+    form; ``domain`` adds Russian stop words.
     """
     words = F.regexp_extract_all(F.lower(text(c)), F.lit("[A-Za-zА-Яа-яЁё-]+"), F.lit(0))
     if lemma is not None:
         words = F.transform(words, lambda w: F.when(lang == "ru", lemma(w)).otherwise(w))
-    listed = lang.isin("ru", "en")
+    listed = F.coalesce(lang.isin("ru", "en"), F.lit(False))
     stops = lambda w: F.when(lang == "ru", w.isin(*K.STOP_RU, *(domain or []))).when(lang == "en", w.isin(*K.STOP_EN)).otherwise(F.lit(False))
 
-    def grams(ws: Column, n: int) -> Column:
-        """Joined runs of n words; null where one is a stop word, all are short, or all only make noise."""
+    def widest(ws: Column) -> Column:
+        """The run of words from each place: of full width, or a whole shorter run; else null."""
         def one(w: Column, i: Column) -> Column:
-            own = [w, *[F.get(ws, i + k) for k in range(1, n)]]
-            noise = own[0].isin(*K.DOMAIN_TERMS)
-            for other in own[1:]:
-                noise = noise & other.isin(*K.DOMAIN_TERMS)
-            good = (F.greatest(*[F.length(x) for x in own]) if n > 1 else F.length(w)) > 2
-            joined = own[0]
-            for other in own[1:]:
-                joined = F.concat(joined, F.lit(" "), other)
-            return F.when(good & ~(noise & (listed if n > 1 else F.lit(True))), joined)
+            # A stop word is null in place, and so is all that reaches across it.
+            joined = [F.concat(w, *[x for k in range(1, n) for x in (F.lit(" "), F.get(ws, i + k))]) if n > 1 else w for n in range(longest, 0, -1)]
+            return F.coalesce(joined[0], F.when(F.get(ws, i - 1).isNull(), F.coalesce(*joined[1:]))) if longest > 1 else w
 
-        return F.transform(ws, one)
+        return F.array_distinct(F.array_compact(F.transform(ws, one)))
 
-    def phrases(ws: Column) -> Column:
-        # A stop word is null in place, so that no gram reaches across it.
-        marked = F.transform(ws, lambda w: F.when(~stops(w), w))
-        found = once(marked, lambda m: F.array_distinct(F.array_compact(F.concat(*[grams(m, n) for n in range(1, longest + 1)]))))
-        return F.filter(found, lambda p: ~p.isin(*K.GENERIC_SINGLE))
+    def useless(p: Column) -> Column:
+        """Whether all words are short, or all only make noise."""
+        noise = F.forall(F.split(p, " "), lambda w: w.isin(*K.DOMAIN_TERMS)) & (listed | ~F.contains(p, F.lit(" ")))
+        return ~p.rlike("[^ ]{3}") | noise | p.isin(*K.GENERIC_SINGLE)
 
-    return once(words, lambda ws: _longest_first(phrases(ws), most))
+    return _longest_first(once(F.transform(words, lambda w: F.when(~stops(w), w)), widest), most, useless)
 
 
-def _longest_first(phrases: Column, most: int) -> Column:
-    """The first ``most`` by length, then alphabet, that no longer one contains.
+def _longest_first(phrases: Column, most: int, useless) -> Column:
+    """The first ``most`` useful ones by length, then alphabet, that no longer one contains.
 
     A containing phrase comes earlier, and is itself kept or inside a kept one,
     so each phrase is only compared with those kept so far.
     """
     ranked = F.sort_array(F.transform(phrases, lambda p: F.struct((-F.length(p)).alias("size"), p.alias("p"))))
-    add = lambda kept, r: F.when((F.size(kept) >= most) | F.exists(kept, lambda q: F.contains(q, r["p"])), kept).otherwise(F.concat(kept, F.array(r["p"])))
-    return F.aggregate(ranked, F.array().cast("array<string>"), add)
+    passed = lambda kept, p: (F.size(kept) >= most) | F.exists(kept, lambda q: F.contains(q, p)) | useless(p)
+    return F.aggregate(ranked, F.array().cast("array<string>"), lambda kept, r: F.when(passed(kept, r["p"]), kept).otherwise(F.concat(kept, F.array(r["p"]))))
 
 
 def merged_phrases(phrases: Column, keywords: Column, most: int = 15) -> Column:

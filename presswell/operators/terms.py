@@ -13,12 +13,11 @@ from presswell.functions.compat import once, text
 from presswell.functions.records import _clean_name, _name_tokens, normalized, strip
 
 
-def terms_of(docs: DataFrame, key: str, column: str, longest: int = 3, stop: list[str] | None = None, lemma=None, keep=None) -> DataFrame:
-    """(key, term, tf): counts of runs of one to ``longest`` kept words.
+def grams_of(column: str, longest: int = 3, stop: list[str] | None = None, lemma=None, keep=None) -> Column:
+    """All runs of one to ``longest`` kept words of a text.
 
-    Texts are dealt out by key, so that a text's runs are counted where they
-    are made.  ``lemma`` takes a word to its base form and ``keep`` tells which
-    words count, as a tagger of parts of speech would.
+    ``lemma`` takes a word to its base form and ``keep`` tells which words
+    count, as a tagger of parts of speech would.
     """
     stop = [*K.STOP_TFIDF, *K.DOMAIN_WORDS] if stop is None else stop
     words = F.regexp_extract_all(F.lower(text(column)), F.lit("[A-Za-zА-Яа-яЁё]{2,}"), F.lit(0))
@@ -31,14 +30,27 @@ def terms_of(docs: DataFrame, key: str, column: str, longest: int = 3, stop: lis
         joined = lambda w, i: F.concat(w, *[x for k in range(1, n) for x in (F.lit(" "), F.get(ws, i + k))])
         return F.transform(ws, joined) if n > 1 else ws
 
-    grams = once(words, lambda ws: F.array_compact(F.concat(*[runs(ws, n) for n in range(1, longest + 1)])))
-    dealt = docs.select(key, column).repartition(key).select(key, F.explode(grams).alias("term"))
-    return dealt.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return once(words, lambda ws: F.array_compact(F.concat(*[runs(ws, n) for n in range(1, longest + 1)])))
+
+
+def frequencies(rows: DataFrame, found: str, *keys: str) -> DataFrame:
+    """(*keys, term, tf, df): how often the terms of the arrays ``found`` occur, and in how many rows.
+
+    Each row gives its terms and then, once each, its different ones, so that
+    both numbers are sums by term: they are added up where the rows are, and
+    only a term's sums are shuffled, no row's own counts.
+    """
+    listed = rows.select(*keys, F.size(found).alias("size"), F.posexplode(F.concat(found, F.array_distinct(found))).alias("at", "term"))
+    again = F.col("at") >= F.col("size")
+    return listed.groupBy(*keys, "term").agg(F.count_if(~again).alias("tf"), F.count_if(again).alias("df"))
 
 
 #: Characters of a dictionary up to which it is sent to all tasks.
 SENT_CHARS = 16_000_000
 
+#: Terms of a vocabulary up to which it is sent to all tasks.
+SENT_FEATURES = 100_000
+
 
 def lemmatized(docs: DataFrame, key: str, column: str, lemmas: DataFrame, sent_chars: int = SENT_CHARS) -> DataFrame:
     """(key, column): texts with each word as the dictionary (form, lemma) has it, in lower case and ё as е.
@@ -70,17 +82,21 @@ def tfidf_keywords(
     left out, then the ``max_features`` most frequent are kept.  Of the best
     ``most`` terms those that only make noise, and those inside another one,
     are dropped.  Under three documents, frequency alone ranks the single words.
+    The key must tell the rows apart.  The kept terms, at most ``max_features``,
+    meet the documents' terms before these are counted by document; up to
+    ``SENT_FEATURES`` they are broadcast, which is their only use at the driver.
     """
     n = docs.count()
-    counted = terms_of(docs, key, column, 3 if n >= 3 else 1, stop, lemma, keep)
+    grams = docs.select(key, grams_of(column, 3 if n >= 3 else 1, stop, lemma, keep).alias("found"))
+    listed = grams.select(key, F.explode("found").alias("term"))
     if n >= 3:
-        seen = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-        seen = seen.where(F.col("df") <= (n if n < 5 else max_df * n))
-        kept = seen.orderBy(F.col("total").desc(), "term").limit(max_features)
+        seen = frequencies(grams, "found").where(F.col("df") <= (n if n < 5 else max_df * n))
+        kept = seen.orderBy(F.col("tf").desc(), "term").limit(max_features).select("term", "df")
+        met = listed.join(F.broadcast(kept) if max_features <= SENT_FEATURES else kept, "term")
         weight = F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
-        counted = counted.join(kept.select("term", "df"), "term").withColumn("weight", weight)
+        counted = met.groupBy(key, "term", "df").agg(F.count(F.lit(1)).alias("tf")).withColumn("weight", weight)
     else:
-        counted = counted.withColumn("weight", F.col("tf").cast("double"))
+        counted = listed.groupBy(key, "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     whole = Window.partitionBy(key)
     scaled = counted.withColumn("weight", F.round(F.col("weight") / F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(whole)), 9))
     best = Window.partitionBy(key).orderBy(F.col("weight").desc(), "term")
@@ -120,8 +136,7 @@ def tf_df(docs: DataFrame, *keys: str, min_chars: int = K.MIN_CLEAN_CHARS, most_
     if "source" in keys:
         named["source"] = given(strip(text("source")), named.get("source_type", F.lit("other")))
     rows = docs.where(F.length(text("clean_text")) >= min_chars).withColumns(named).select(*keys, words.alias("ws")).where(F.size("ws") > 0)
-    counts = rows.withColumn("doc", F.monotonically_increasing_id()).select(*keys, "doc", F.explode("ws").alias("term"))
-    counts = counts.groupBy(*keys, "doc", "term").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys, "term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
+    counts = frequencies(rows, "ws", *keys)
     totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("docs"))
     here, there = counts.alias("c"), totals.alias("t")
     same = [F.col(f"c.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
