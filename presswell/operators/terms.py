@@ -87,7 +87,7 @@ def tfidf_keywords(
     ``SENT_FEATURES`` they are broadcast, which is their only use at the driver.
     """
     n = docs.count()
-    grams = docs.select(key, grams_of(column, 3 if n >= 3 else 1, stop, lemma, keep).alias("found"))
+    grams = docs.select(key, column).repartition(key).select(key, grams_of(column, 3 if n >= 3 else 1, stop, lemma, keep).alias("found"))
     listed = grams.select(key, F.explode("found").alias("term"))
     if n >= 3:
         seen = frequencies(grams, "found").where(F.col("df") <= (n if n < 5 else max_df * n))

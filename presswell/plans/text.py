@@ -16,6 +16,7 @@ from presswell.plans.warehouse import _a, _d, current
 from presswell.plans.warehouse_oracles import _ARTICLES, _DEDUP
 from presswell.schemas import ARTICLES, align
 from presswell.sources import adapter, sinks
+from presswell.sources.readers import spread
 from presswell.sources.shared import shared_dir
 from presswell.streaming import rollups
 
@@ -34,13 +35,13 @@ def _pages(build):
 
 def _mined(spark: SparkSession, d: str) -> DataFrame:
     """Term statistics by source, with its type, over documents."""
-    docs = _table(spark, d, "documents").select(
+    docs = spread(_table(spark, d, "documents"), "doc_id").select(
         "lang", "source", F.when(F.col("source").isin("src0", "src1", "src2"), "telegram").otherwise("rss").alias("source_type"), F.col("text").alias("clean_text"))
     return terms.tf_df(docs, "source", "source_type", "lang")
 
 
 def _by_lang(spark: SparkSession, d: str) -> DataFrame:
-    return terms.tf_df(_table(spark, d, "documents").withColumnRenamed("text", "clean_text"), "lang")
+    return terms.tf_df(spread(_table(spark, d, "documents"), "doc_id").withColumnRenamed("text", "clean_text"), "lang")
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -215,7 +216,7 @@ QUERIES |= {
     "f22_capitalised": _docs(lambda t: t.select("doc_id", F.array_join(R.capitalised(F.col("text")), ";").alias("entities"))),
     "f26_canon_orgs": _a(lambda a: _with(a, "id", "entities_orgs", ORGS).select("id", R.canon_orgs(F.col("entities_orgs")).alias("orgs"))),
     "f27_canon_geo": _a(lambda a: _with(a, "id", "entities_geo", GEO).select("id", R.canon_geo(F.translate("entities_geo", "|", ";")).alias("geo"))),
-    "f28_keyphrases": _docs(lambda t: t.select("doc_id", F.array_join(R.keyphrases(F.col("text"), F.col("lang")), ";").alias("keyphrases"))),
+    "f28_keyphrases": _docs(lambda t: spread(t, "doc_id").select("doc_id", F.array_join(R.keyphrases(F.col("text"), F.col("lang")), ";").alias("keyphrases"))),
     "f32_lexicon_sentiment": _docs(lambda t: _with(t, "doc_id", "text", LEXICON).select("doc_id", R.lexicon_score(F.col("text")).alias("score")).select(
         "doc_id", F.round("score", 6).alias("score"), R.sentiment_label(F.col("score")).alias("label"))),
     "f33_sentiment": _sentiment,

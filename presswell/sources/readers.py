@@ -35,6 +35,26 @@ def read_folder(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return out
 
 
+#: Bytes that a task reads at most by Spark's default.
+SPLIT_BYTES = 1 << 27
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """The rows, dealt out by ``by`` where the files that they come from would not fill the cores.
+
+    A file of one row group is read by one task.  Rows of as many files as there
+    are cores, of more bytes than a split for each core, or of no files stay
+    where they are, so that no large table is shuffled.
+    """
+    spark, paths = df.sparkSession, df.inputFiles()
+    cores = spark.sparkContext.defaultParallelism
+    if not paths or len(paths) >= cores:
+        return df
+    files = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    size = sum(f.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(f).getLen() for f in files)
+    return df.repartition(cores, *by) if size <= cores * SPLIT_BYTES else df
+
+
 def listing(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     """(path, modified, length) of files; contents are not read."""
     return (spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)

@@ -197,3 +197,25 @@ def slow_summary(text):
 def test_summaries_of_the_test_tables(spark, small):
     rows = spark.read.parquet(f"{small}/documents.parquet").where("length(text) < 6000").select("text", summaries.summary("text").alias("s")).collect()
     assert len(rows) > 100 and sum(r["s"] != slow_summary(r["text"]) for r in rows) == 0
+
+
+def test_few_small_files_are_dealt_out_and_many_are_not(spark, tmp_path):
+    from presswell.sources.readers import spread
+
+    rows, cores = spark.range(1000).withColumn("t", F.col("id").cast("string")), spark.sparkContext.defaultParallelism
+    one, many = str(tmp_path / "one"), str(tmp_path / "many")
+    rows.coalesce(1).write.parquet(one)
+    rows.repartition(cores).write.parquet(many)
+    dealt = spread(spark.read.parquet(one), "id")
+    assert dealt.rdd.getNumPartitions() == cores
+    assert sorted(r["t"] for r in dealt.collect()) == sorted(r["t"] for r in rows.collect())
+    assert spread(rows, "id") is rows
+    stored = spark.read.parquet(many)
+    assert spread(stored, "id") is stored
+
+
+def test_frequencies_in_one_shuffle(spark):
+    rows = spark.createDataFrame([(1, "a", ["x", "y", "x"]), (2, "a", ["x"]), (3, None, ["y"]), (4, "a", []), (5, "a", None)], "id int, lang string, ws array<string>")
+    found = terms.frequencies(rows, "ws", "lang")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {tuple(r) for r in found.collect()} == {("a", "x", 3, 2), ("a", "y", 1, 1), (None, "y", 1, 1)}

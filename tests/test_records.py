@@ -112,6 +112,10 @@ def test_keyphrases_leave_noise_out(spark):
     got = value(spark, lambda c: R.keyphrases(c, F.lit("en")), "news said the report of interview market prices")
     assert got == ["interview market prices"]
     assert value(spark, lambda c: R.keyphrases(c, F.lit("en"), lemma=None), "news said") == []
+    # Runs of four and two words; noise and short words; other languages have no stop words and keep runs of noise.
+    assert value(spark, lambda c: R.keyphrases(c, F.lit("en")), "alpha beta gamma delta of epsilon eta of news report said of ab cd") == ["alpha beta gamma", "beta gamma delta", "epsilon eta"]
+    assert value(spark, lambda c: R.keyphrases(c, F.lit(None).cast("string")), "news report") == ["news report"]
+    assert value(spark, lambda c: R.keyphrases(c, F.lit("de"), most=1), "news of report") == ["news of report"]
 
 
 def test_site_bodies():
