@@ -43,6 +43,15 @@ def test_gazetteer(spark, chars):
     assert gazetteer.tagged(df, "id", "t", names.limit(0), chars).count() == 0 == gazetteer.tagged(df.limit(0), "id", "t", names, chars).count()
 
 
+def test_forms_are_counted_in_their_texts(spark):
+    df = spark.createDataFrame([(1, "ким " * 1000 + "вера кобылаш"), (2, "кобылаш. " * 50), (3, "никто")], "id int, t string")
+    names = spark.createDataFrame([("person", f"{n} кобылаш") for n in ("вера", "анна", "иван")] + [("person", "ким"), ("org", "ким")], "kind string, name string")
+    forms = gazetteer.patterns(names)
+    assert {tuple(r) for r in gazetteer._form_counts(df, "id", "t", forms).collect()} == {(1, "ким", 1000, 0), (1, "вера кобылаш", 1, 4000), (1, "кобылаш", 1, 4005), (2, "кобылаш", 50, 0)}
+    counted = gazetteer._gram_counts(df, "id", "t", gazetteer._beginnings(forms))
+    assert {tuple(r) for r in counted.select("id", "gram", "n", "at").collect()} == {(1, "ким", 1000, 0), (1, "вера кобылаш", 1, 4000), (1, "кобылаш", 1, 4005), (2, "кобылаш", 50, 0)}
+
+
 def test_named(spark):
     rows = [("кимоно", "ким", False), ("-ким.", "ким", True), ("у кима", "ким", False), ("у кобылаша", "вера кобылаш", True), ("реки", "лия река", False), ("a\\eb", "\\e", False), ("a \\E q", "\\E q", True)]
     df = spark.createDataFrame(rows, "s string, n string, want boolean")
