@@ -43,6 +43,18 @@ def test_text_function(spark, name):
     assert apply(spark, build, *cases) == list(cases.values())
 
 
+def test_white_space_of_any_script(spark):
+    odd = ["", " ", "\u2003a\u00a0", "a", " a  b\n", "\n\n a\tb \U0001f642\u3000", "\x85a\u2028b\x85", " " * 30_000, "a" + " " * 30_000 + "b", "x\r\ny z"]
+    assert apply(spark, R.strip, *odd, None) == [x.strip() for x in odd] + [None]
+    assert apply(spark, R.squeeze, *odd, None) == [" ".join(x.split()) for x in odd] + [None]
+
+
+@pytest.mark.parametrize("build", [R.language, lambda c: R.language_reason(c, F.lit("en")), lambda c: R.coarse_language(c, F.lit(None)), lambda c: R.sentiment(c, c)["label"]])
+def test_letters_are_counted_once(spark, build):
+    plan = spark.range(1).select(F.repeat(F.lit("x"), F.col("id").cast("int")).alias("t")).select(build(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert max(plan.count(p) for p in ("[^A-z]", "[а-яa-zё]+", r"(.*\S)")) <= 8
+
+
 def test_published_at(spark):
     got = apply(spark, R.published_at, "2024-01-01T00:00:00Z", "Mon, 01 Jan 2024 00:00:00 GMT", "01 Jan 2024 03:00:00 +0300", "1999-12-31T00:00:00Z", "soon", "", None)
     assert got == [datetime(2024, 1, 1, 3)] * 3 + [None] * 4
