@@ -166,6 +166,18 @@ def test_view_follows_loads_reloads_and_deletes(spark, tmp_path):
 
 # ---- compaction ---------------------------------------------------------------
 
+def test_states_without_texts_are_those_of_the_articles(spark, small, tmp_path):
+    rows, views = align(adapter.articles(spark, small), ARTICLES), []
+    for name, without in (("whole", ()), ("bare", rollups.BODIES)):
+        store = Snapshots(spark, f"{tmp_path}/{name}")
+        for i in range(2):
+            rollups.apply_batch(store, rows.where(F.pmod(F.xxhash64("id", "ingest_object_name"), F.lit(2)) == i), i, (), buckets=2, without=without)
+        views.append(rollups.current_view(store, without=without))
+    whole, bare = views
+    assert not set(rollups.BODIES) & set(bare.columns) and set(whole.columns) - set(bare.columns) == set(rollups.BODIES)
+    assert bare.exceptAll(whole.select(*bare.columns)).isEmpty() and whole.select(*bare.columns).exceptAll(bare).isEmpty()
+
+
 def test_compaction_folds_months_and_keeps_what_came_meanwhile(spark, tmp_path, monkeypatch):
     rows, store = random_articles(spark, 10), Snapshots(spark, f"file://{tmp_path}/c")
     states = [views.sentiment_state(rows.where(F.pmod(F.xxhash64("id"), F.lit(4)) == i)) for i in range(4)]
