@@ -159,6 +159,39 @@ def test_crowded_passages(spark):
     assert {r["doc_id"] for r in got} == {*range(1, 90), 101} and all(r["source_doc_id"] < r["doc_id"] for r in got)
 
 
+@pytest.mark.parametrize("crowd", [4096, 4])
+def test_near_passages_between_others_of_their_keys(spark, crowd):
+    """A passage that is alike neither to the first of its keys nor to the one before, but to one between."""
+    rng, groups = random.Random(11), []
+    for g in range(20):
+        passage, near = prose(rng, 60), None
+        near = [*passage[:30], "changed", *passage[31:]]
+        edited = [[f"edit{k}" if i in at else w for i, w in enumerate(passage)] for k in range(24) for at in [{rng.randint(8, 16), rng.randint(26, 34), rng.randint(43, 51)}]]
+        groups.append([*edited[:12], near, *edited[12:], passage])
+    docs = planted(spark, groups)
+    found = {(r["doc_id"], r["source_doc_id"]) for r in substring.repeated_passages(docs, crowd=crowd).collect()}
+    assert len({(100 * g + 25, 100 * g + 12) for g in range(20)} & found) >= 17
+
+
+def test_pairs_by_tokens_against_brute_force(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(substring, "PAIRS_AT_ONCE", 50)
+    rng, rows = random.Random(12), []
+    for key in range(3):
+        for d in range(30):
+            ts = np.array(sorted(rng.sample(range(40), rng.randint(1, 15))), np.int64)
+            rows.append((key, 0, d, 0, ts))
+            if d % 3 == 0:
+                rows.append((key, 0, d, rng.randint(2, 5), ts))
+    want = {(d, key, e, len({*ts} & {*us})) for key, _, d, least, ts in rows if least for k, _, e, no, us in rows
+            if k == key and not no and e < d and len({*ts} & {*us}) >= least}
+    table = pd.DataFrame(rows, columns=["key", "part", "d", "least", "ts"])
+    table = table.assign(last=table["least"] == 0).sort_values(["key", "part", "last", "d"]).drop(columns="last")
+    got = [tuple(r) for part in substring._alike(iter([table[:40], table[40:77], table[77:]])) for r in part.itertuples(index=False)]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_spans_of_repeated_beginnings():
     rng = np.random.default_rng(8)
     word = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
