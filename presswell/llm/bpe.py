@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from presswell.llm.common import give_back
 
 #: Different words, and pieces, that a worker remembers (about 50 bytes each).
-REMEMBERED = 1_500_000
+REMEMBERED = 750_000
 #: Characters of a lot of texts; pieces and bytes of one query.
 LOT_CHARS, AT_ONCE, AT_ONCE_BYTES = 6_000_000, 50_000, 2_000_000
 #: Bytes from one window of a long piece to the next; a window is of two steps.
