@@ -4,6 +4,7 @@ import json
 import math
 import random
 import re
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -228,3 +229,34 @@ def test_frequencies_in_one_shuffle(spark):
     found = terms.frequencies(rows, "ws", "lang")
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert {tuple(r) for r in found.collect()} == {("a", "x", 3, 2), ("a", "y", 1, 1), (None, "y", 1, 1)}
+
+
+def test_long_runs_are_counted_only_where_short_ones_are_frequent(spark):
+    """The most frequent terms are those of a count of all runs; rare runs are never counted."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefgh") * 2 if rng.random() < 0.7 else f"w{''.join(rng.choices('xyz', k=9))}" for _ in range(60)) for _ in range(40)]
+    rows = spark.createDataFrame([(t.split(),) for t in texts], "ws array<string>")
+    runs = [" ".join(ws[i : i + k]) for t in texts for ws in [t.split()] for k in (1, 2, 3) for i in range(len(ws) - k + 1)]
+    every = Counter(runs)
+    for most, limit in ((20, 34.0), (60, 1000.0), (100_000, 34.0)):
+        found = {r["term"]: r["tf"] for r in terms.common_runs(rows, most, limit).collect()}
+        assert all(every[t] == n for t, n in found.items())
+        possible = sorted((-n, t) for t, n in every.items() if sum(f" {t} " in f" {x} " for x in texts) <= limit)[:most]
+        assert {t for _, t in possible} <= set(found)
+        assert most == 100_000 or len(found) < len(every) / 5
+
+
+def test_keywords_are_those_of_a_count_of_all_runs(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("kmnprs") * 3 for _ in range(rng.randrange(30))) for _ in range(30)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    found = {r["id"]: r["keywords"] for r in terms.tfidf_keywords(docs, "id", "t", max_df=0.5, max_features=25).collect()}
+    grams = [Counter(" ".join(ws[i : i + k]) for ws in [(t or "").split()] for k in (1, 2, 3) for i in range(len(ws) - k + 1)) for t in texts]
+    n, tf, df = len(texts), sum(grams, Counter()), Counter(g for c in grams for g in c)
+    kept = sorted((-tf[g], g) for g in tf if df[g] <= 0.5 * n)[:25]
+    for i, own in enumerate(grams):
+        weight = {g: own[g] * (math.log((1 + n) / (1 + df[g])) + 1) for _, g in kept if g in own}
+        norm = sum(w * w for w in weight.values()) ** 0.5
+        best = sorted(weight, key=lambda g: (-round(weight[g] / norm, 9), g))[:8]
+        ranked = sorted(best, key=lambda g: (-len(g.split()), -len(g), best.index(g)))
+        assert found[i] == "; ".join(g for g in ranked if not any(s != g and f" {g} " in f" {s} " for s in ranked))
