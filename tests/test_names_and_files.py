@@ -260,3 +260,20 @@ def test_keywords_are_those_of_a_count_of_all_runs(spark):
         best = sorted(weight, key=lambda g: (-round(weight[g] / norm, 9), g))[:8]
         ranked = sorted(best, key=lambda g: (-len(g.split()), -len(g), best.index(g)))
         assert found[i] == "; ".join(g for g in ranked if not any(s != g and f" {g} " in f" {s} " for s in ranked))
+
+
+def test_source_terms_reads_its_statistics_once(spark):
+    rows = [("telegram", "en", "a", 50, 0.5), ("telegram", "en", "b", 50, 0.4), ("rss", "en", "a", 5, 0.01), ("rss", "de", "b", 5, 0.9)]
+    stats = spark.createDataFrame(rows, "source_type string, lang string, term string, tf long, df_ratio double")
+    tagged = stats.withColumn("term", F.concat("term", F.lit(""))).withColumn("tf", F.col("tf") + 0 * F.monotonically_increasing_id())
+    found = terms.source_terms(tagged, "telegram", "rss", "en")
+    assert [(r["term"], r["tf_lo"]) for r in found.collect()] == [("a", 5), ("b", 0)]
+    assert "monotonically" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_counted_along_with_their_terms(spark):
+    rows = [("a", "one two " * 20), ("a", "two " * 30), ("a", "1 " * 60), ("b", "one " * 30), ("b", None)]
+    docs = spark.createDataFrame(rows, "lang string, clean_text string").withColumn("clean_text", F.concat("clean_text", F.substring(F.uuid(), 1, 0)))
+    found = terms.tf_df(docs, "lang", min_chars=10)
+    assert {tuple(r) for r in found.collect()} == {("a", "one", 20, 1, 0.5), ("a", "two", 50, 2, 1.0), ("b", "one", 30, 1, 1.0)}
+    assert "uuid" not in found._jdf.queryExecution().optimizedPlan().toString()
