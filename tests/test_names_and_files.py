@@ -277,3 +277,12 @@ def test_texts_are_counted_along_with_their_terms(spark):
     found = terms.tf_df(docs, "lang", min_chars=10)
     assert {tuple(r) for r in found.collect()} == {("a", "one", 20, 1, 0.5), ("a", "two", 50, 2, 1.0), ("b", "one", 30, 1, 1.0)}
     assert "uuid" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_sentences_with_a_name_are_taken_apart(spark):
+    rows = [(1, "Ann Lee said it. Nobody said it. Lee went, said.  Leeds said", "Ann Lee;Lea"), (2, "Bob said", None), (3, None, "Bob"), (4, "bob-b said. bob said", "Bob")]
+    docs = spark.createDataFrame(rows, "id int, t string, p string")
+    found = summaries.actions_near(docs, "id", "t", "p", lambda w: F.when(w.isin("said", "went"), w))
+    assert {tuple(r) for r in found.collect()} == {(1, "ann lee", "said,went"), (4, "bob", "said")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and "Contains(s" in plan
