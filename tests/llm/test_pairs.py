@@ -1,14 +1,17 @@
 """SimHash and passages against brute force; odd rows; crowded anchors."""
 
+import inspect
 import random
 import time
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
 from presswell.llm import simhash, substring
+from presswell.llm.common import batches_of
 from presswell.llm.graph import connected_components, forest
 
 
@@ -305,3 +308,14 @@ def test_passages_of_odd_rows(spark, odd):
 def test_without():
     assert substring.without("  a b\n\nc d ", [(1, 2)]) == "  a c d "
     assert substring.without("a b", [(0, 2)]) is None and substring.without("a  b", []) == "a  b" and substring.without(None, [(0, 1)]) is None
+
+
+def test_workers_take_few_texts_at_once(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    sizes = lambda parts: (pd.DataFrame({"n": [len(part)]}) for part in parts)
+    with pytest.raises(ValueError), batches_of(spark, 7):
+        assert max(r["n"] for r in spark.range(100).mapInPandas(sizes, "n long").collect()) <= 7
+        raise ValueError
+    assert spark.conf.get(name) == before
+    assert "with batches_of(" in inspect.getsource(substring._passages)
