@@ -195,6 +195,61 @@ def test_pairs_by_tokens_against_brute_force(monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def family(rng, n, edits):
+    """Regions of 110 tokens, each with edits of its own: five tokens changed at so many places."""
+    base, out = rng.integers(0, 2**40, 110), []
+    for _ in range(n):
+        own = base.copy()
+        for at in rng.permutation(11)[:edits] * 10 + rng.integers(0, 5):
+            own[at : at + 5] = rng.integers(0, 2**40, len(own[at : at + 5]))
+        out.append(own)
+    return out
+
+
+def asked(rows):
+    table = pd.DataFrame([(0, 0, d, least, ts) for least in (36, 0) for d, ts in enumerate(rows)], columns=["key", "part", "d", "least", "ts"])
+    return {(r.d, r.e) for part in substring._alike(iter([table]), 46, 0.8) for r in part.itertuples()}
+
+
+def test_pairs_of_a_family_that_are_not_alike():
+    """Near copies with edits of their own share many tokens, but only what could be alike is told of, so that their number does not grow with the square."""
+    rng = np.random.default_rng(14)
+    for n in (40, 80):
+        rows = family(rng, n, 7)
+        plain = pd.DataFrame([(0, 0, d, least, np.unique(ts)) for least in (36, 0) for d, ts in enumerate(rows)], columns=["key", "part", "d", "least", "ts"])
+        assert sum(map(len, substring._alike(iter([plain])))) > n * n / 3
+        near = rows[3].copy()
+        near[50:55] = rng.integers(0, 2**40, 5)
+        found = asked([*rows, near])
+        assert (n, 3) in found and len(found) <= n / 4
+
+
+def test_passages_around_a_long_edit_are_asked_for(monkeypatch):
+    """Whatever has a passage by ``matched_spans`` could be alike, also where no run of the least length is."""
+    rng, alike, told = np.random.default_rng(15), 0, 0
+    for i in range(400):
+        if i == 200:
+            monkeypatch.setattr(substring, "PAIRS_AT_ONCE", 100)
+        base = rng.integers(0, 2**40, 80).astype(np.uint64)
+        other = base.copy()
+        for _ in range(rng.integers(1, 4)):
+            at, many = rng.integers(0, 75), rng.integers(1, 9)
+            other[at : at + many] = rng.integers(0, 2**40, len(other[at : at + many]))
+        if i % 3 == 0:
+            other = np.delete(other, slice(30, 30 + rng.integers(1, 6)))
+        is_alike = bool(substring.matched_spans(base, other, 46, 0.8))
+        asks = substring._could_be_alike(base, [other, np.concatenate([other[:20], other[:20] + np.uint64(1), other[20:40]])], 46, 0.8).tolist()
+        assert not asks[1] and (asks[0] or not is_alike)
+        alike, told = alike + is_alike, told + asks[0]
+    assert 100 < alike <= told < 400
+    edited = base[:67].copy()
+    edited[31:38] = rng.integers(0, 2**40, 7)
+    other, tail = (rng.integers(0, 2**40, 30).astype(np.uint64) for _ in range(2))
+    tail = np.concatenate([tail, base[67:], tail[::-1]])
+    spans = substring.matched_spans(np.concatenate([base[:67], other, tail]), np.concatenate([edited, other[::-1] + np.uint64(1), tail]), 46, 0.8)
+    assert (0, 67, 0, 67) in {s[:4] for s in spans} and substring._could_be_alike(base[:67], [edited], 46, 0.8).all()
+
+
 def test_spans_of_repeated_beginnings():
     rng = np.random.default_rng(8)
     word = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
