@@ -1,6 +1,7 @@
 """Snapshots, clustered tables, keyed states, compaction: what a reader sees at every step."""
 
 import random
+import time
 import uuid
 from datetime import datetime, timedelta
 
@@ -220,3 +221,19 @@ def test_kept_results_follow_their_sources(spark, tmp_path):
     assert shared.kept(spark, "x", [path], build).count() == shared.kept(spark, "x", [path], build).count() == 3 and len(built) == 1
     spark.range(4).write.mode("append").parquet(path)
     assert shared.kept(spark, "x", [path], build).count() == 7 and len(built) == 2
+
+
+def test_a_written_step_leaves_no_shuffle_files(spark):
+    def shuffled() -> int:
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffled(), spark.conf.get(name, None)
+    step = shared.materialize(spark.range(100_000).groupBy((F.col("id") % 5003).alias("k")).agg(F.count(F.lit(1)).alias("n")), "step")
+    till = time.monotonic() + 20
+    while shuffled() > before and time.monotonic() < till:
+        time.sleep(0.2)
+    assert shuffled() <= before
+    assert step.agg(F.sum("n")).first()[0] == 100_000
+    assert spark.conf.get(name, None) == setting
