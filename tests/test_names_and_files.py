@@ -4,6 +4,7 @@ import json
 import math
 import random
 import re
+import sys
 from collections import Counter
 from datetime import datetime
 
@@ -53,6 +54,28 @@ def test_forms_are_counted_in_their_texts(spark):
     assert {tuple(r) for r in counted.select("id", "gram", "n", "at").collect()} == {(1, "ким", 1000, 0), (1, "вера кобылаш", 1, 4000), (1, "кобылаш", 1, 4005), (2, "кобылаш", 50, 0)}
 
 
+@pytest.mark.parametrize("chars", [10**6, 0])
+def test_names_are_put_together_where_they_are_found(spark, monkeypatch, chars):
+    rng = random.Random(5)
+    texts = [(i % 40 or None, " ".join(rng.choice(PARTS + ["ким", "."]) for _ in range(rng.randrange(1, 14)))) for i in range(120)]
+    df = spark.createDataFrame(texts, "id long, t string").repartition(7)
+    own = NAMES + [("p", f"{n} Ким") for n in ("вера", "анна", "(x) y")] + [("o", "Ким .")]
+    monkeypatch.setattr(sys.modules[__name__], "NAMES", own)
+    names, want = spark.createDataFrame(own, "kind string, name string"), {}
+    for i, t in texts:
+        for k, (n, first) in slow_tags(t).items():
+            had = want.get((i, *k), (0, first))
+            want[(i, *k)] = had[0] + n, min(had[1], first)
+    monkeypatch.setattr(gazetteer, "AUTOMATON_CHARS", 20)
+    monkeypatch.setattr(gazetteer, "LOT_CHARS", 400)
+    found = gazetteer.tagged(df, "id", "t", names, chars)
+    assert {(r["id"], r["kind"], r["name"]): (r["n"], r["first"]) for r in found.collect()} == want
+    assert found.count() == len(want)
+    # What is found passes no shuffle.
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert 0 <= plan.index("MapInArrow") < plan.index("Exchange")
+
+
 def test_named(spark):
     rows = [("кимоно", "ким", False), ("-ким.", "ким", True), ("у кима", "ким", False), ("у кобылаша", "вера кобылаш", True), ("реки", "лия река", False), ("a\\eb", "\\e", False), ("a \\E q", "\\E q", True)]
     df = spark.createDataFrame(rows, "s string, n string, want boolean")
