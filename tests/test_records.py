@@ -1,5 +1,6 @@
 """Text functions on hand-computed rows."""
 
+import time
 from datetime import datetime
 
 import compare
@@ -89,6 +90,18 @@ def test_summary_weighs_a_long_text_as_a_whole():
     assert summarize(" ".join(long)) == " ".join([long[0], long[380], long[430]])
 
 
+def test_the_words_of_a_long_text_are_counted_once():
+    def seconds(many):
+        text = " ".join(f"Word{i}a {' '.join(f'w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + j)}' for j in range(12))}." for i in range(many))
+        begin = time.process_time()
+        assert len(summarize(text).split(". ")) == 3
+        return time.process_time() - begin
+
+    # In proportion; a copy of all words for each sentence took more than three times as long for each doubling.
+    seconds(50)
+    assert seconds(2000) < 8 * seconds(500)
+
+
 def test_summary():
     long = "Alpha beta gamma delta epsilon words. " * 1 + "Zeta eta theta iota kappa lambda. " + "Mu nu xi omicron pi rho sigma. " + "Tau upsilon phi chi psi omega one."
     assert summarize(None) == summarize("") == ""
